@@ -67,8 +67,13 @@ def _sum_columns(meta: ForestMeta) -> list[str]:
     return ["_swv", "_sw"]
 
 
-def finalize(sums: DataFrame, key: str, meta: ForestMeta) -> DataFrame:
-    """Per-row sums -> ``key, score, prediction`` (the combine rule)."""
+def finalize(sums: DataFrame, key: str, meta: ForestMeta, carry: Sequence[str] = ()) -> DataFrame:
+    """Per-row sums -> ``key, score, prediction`` (the combine rule).
+
+    ``carry`` columns (e.g. the label) ride along, so evaluating needs no
+    join back to the input.
+    """
+    key_cols = [F.col(key), *[F.col(c) for c in carry]]
     base = F.lit(float(meta.base))
     cls = meta.task == "classification"
     if meta.combine == "vote":
@@ -77,7 +82,7 @@ def finalize(sums: DataFrame, key: str, meta: ForestMeta) -> DataFrame:
         pred = (F.array_position(arr, best) - 1).cast("int")
         total = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
         score = F.when(total > 0, best / total).otherwise(F.lit(0.0))
-        return sums.select(F.col(key), score.alias("score"), pred.alias("prediction"))
+        return sums.select(*key_cols, score.alias("score"), pred.alias("prediction"))
     if meta.combine == "sum":
         score = base + F.col("_swv")
     elif meta.combine == "mean":
@@ -86,12 +91,12 @@ def finalize(sums: DataFrame, key: str, meta: ForestMeta) -> DataFrame:
         margin = base + F.col("_swv")
         prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(float(meta.margin_scale)) * margin))
         pred = (margin > 0).cast("int") if cls else prob
-        return sums.select(F.col(key), margin.alias("margin"), prob.alias("score"),
+        return sums.select(*key_cols, margin.alias("margin"), prob.alias("score"),
                            pred.alias("prediction"))
     else:
         raise ValueError(f"unknown combine {meta.combine!r}")
     pred = (score > F.lit(float(meta.cut))).cast("int") if cls else score
-    return sums.select(F.col(key), score.alias("score"), pred.alias("prediction"))
+    return sums.select(*key_cols, score.alias("score"), pred.alias("prediction"))
 
 
 def _leaf_terms(meta: ForestMeta) -> list[Column]:
@@ -119,7 +124,7 @@ def tree_groups(meta: ForestMeta, max_group_nodes: int = MAX_GROUP_NODES) -> lis
 # ---------------------------------------------------------------------------
 
 def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
-          lookup) -> DataFrame:
+          lookup, carry: Sequence[str] = ()) -> DataFrame:
     """Walk every (row, tree) pair ``max_depth`` levels down.
 
     ``rows`` has ``key, tree_id, node_id`` plus whatever ``lookup`` needs;
@@ -127,37 +132,41 @@ def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
     """
     step_nodes = F.broadcast(nodes.select("tree_id", "node_id", "feature", "threshold", "op",
                                           "left", "right", "default_left"))
-    carry = [c for c in rows.columns if c not in ("node_id",)]
+    keep = [c for c in rows.columns if c != "node_id"]
     for _ in range(meta.max_depth):
         j = rows.join(step_nodes, ["tree_id", "node_id"])
         nxt = F.when(goes_left(lookup(F.col("feature")), F.col("threshold"), F.col("op"),
                                F.col("default_left")), F.col("left")).otherwise(F.col("right"))
-        rows = j.select(*carry, F.when(F.col("feature").isNull(), F.col("node_id"))
+        rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("node_id"))
                         .otherwise(nxt).alias("node_id"))
     leaf_nodes = F.broadcast(nodes.select("tree_id", "node_id", "value", "class_counts",
                                           "tree_weight"))
-    return rows.join(leaf_nodes, ["tree_id", "node_id"]).select(F.col(key), *_leaf_terms(meta))
+    return rows.join(leaf_nodes, ["tree_id", "node_id"]).select(
+        F.col(key), *[F.col(c) for c in carry], *_leaf_terms(meta))
 
 
-def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta) -> DataFrame:
-    return terms.groupBy(key).agg(*[F.sum(c).alias(c) for c in _sum_columns(meta)])
+def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
+                     carry: Sequence[str] = ()) -> DataFrame:
+    return terms.groupBy(key).agg(*[F.first(c).alias(c) for c in carry],
+                                  *[F.sum(c).alias(c) for c in _sum_columns(meta)])
 
 
 def score_relational(forest: Forest, df: DataFrame, key: str, features,
-                     max_group_nodes: int = MAX_GROUP_NODES) -> DataFrame:
+                     carry: Sequence[str] = (), max_group_nodes: int = MAX_GROUP_NODES) -> DataFrame:
     meta = forest.meta
-    x = df.select(F.col(key), feature_array(features).alias("_x"))
+    carry = list(carry)
+    x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"))
     parts = []
     for a, b in tree_groups(meta, max_group_nodes):
         g_nodes = forest.nodes.where(F.col("tree_id").between(a, b - 1))
-        rows = x.select(F.col(key), F.col("_x"),
+        rows = x.select(F.col(key), *[F.col(c) for c in carry], F.col("_x"),
                         F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"),
                         F.lit(0).alias("node_id"))
-        parts.append(_walk(rows, g_nodes, key, meta, lambda f: F.get(F.col("_x"), f)))
+        parts.append(_walk(rows, g_nodes, key, meta, lambda f: F.get(F.col("_x"), f), carry))
     terms = parts[0]
     for p in parts[1:]:
         terms = terms.unionByName(p)
-    return finalize(_aggregate_terms(terms, key, meta), key, meta)
+    return finalize(_aggregate_terms(terms, key, meta, carry), key, meta, carry)
 
 
 # ---------------------------------------------------------------------------
@@ -243,11 +252,13 @@ def _sum_schema(key_field: T.StructField, meta: ForestMeta) -> T.StructType:
     return T.StructType([key_field] + [T.StructField(c, T.DoubleType()) for c in _sum_columns(meta)])
 
 
-def score_vectorised(forest: Forest, df: DataFrame, key: str, features) -> DataFrame:
+def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
+                     carry: Sequence[str] = ()) -> DataFrame:
     meta = forest.meta
+    carry = list(carry)
     if meta.n_nodes > MAX_SHIPPED_NODES:
-        # exact fallback: score tree groups separately and add the sums
-        return score_relational(forest, df, key, features)
+        # exact fallback: walk relationally in broadcast tree groups
+        return score_relational(forest, df, key, features, carry)
     arrays = forest.to_arrays()
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(arrays)
@@ -257,9 +268,11 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features) -> DataF
         fcols = [F.get(F.col(features), F.lit(i)).cast("double").alias(f"_f{i}") for i in range(width)]
     else:
         fcols = [c.cast("double").alias(f"_f{i}") for i, c in enumerate(_feature_cols(features))]
-    x = df.select(F.col(key), *fcols)
+    x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
     names = [f"_f{i}" for i in range(len(fcols))]
     schema = _sum_schema(x.schema[key], meta)
+    for c in carry:
+        schema.add(x.schema[c])
     combine = meta.combine
     sum_cols = _sum_columns(meta)
 
@@ -275,9 +288,11 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features) -> DataF
             else:
                 swv, sw = walk_arrays(a, X, combine)
                 out["_swv"], out["_sw"] = swv, sw
+            for c in carry:
+                out[c] = pdf[c]
             yield pd.DataFrame(out)
 
-    return finalize(x.mapInPandas(run, schema), key, meta)
+    return finalize(x.mapInPandas(run, schema), key, meta, carry)
 
 
 # ---------------------------------------------------------------------------
@@ -325,9 +340,10 @@ def _add(terms: list[Column]) -> Column:
     return out
 
 
-def score_expression(forest: Forest, df: DataFrame, key: str, features) -> DataFrame:
-    sums = df.select(F.col(key), *forest_expressions(forest, features))
-    return finalize(sums, key, forest.meta)
+def score_expression(forest: Forest, df: DataFrame, key: str, features,
+                     carry: Sequence[str] = ()) -> DataFrame:
+    sums = df.select(F.col(key), *[F.col(c) for c in carry], *forest_expressions(forest, features))
+    return finalize(sums, key, forest.meta, carry)
 
 
 # ---------------------------------------------------------------------------
@@ -366,7 +382,8 @@ def choose_strategy(meta: ForestMeta) -> str:
     return "relational"
 
 
-def score(forest: Forest, df: DataFrame, key: str, features, strategy: str = "auto") -> DataFrame:
+def score(forest: Forest, df: DataFrame, key: str, features, strategy: str = "auto",
+          carry: Sequence[str] = ()) -> DataFrame:
     if strategy == "auto":
         strategy = choose_strategy(forest.meta)
-    return STRATEGIES[strategy](forest, df, key, features)
+    return STRATEGIES[strategy](forest, df, key, features, carry=carry)
