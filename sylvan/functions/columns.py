@@ -36,7 +36,7 @@ def as_int32(c) -> Column:
 
 def try_as(c, type_name: str) -> Column:
     """Cast that yields null for dirty input instead of failing (ANSI on)."""
-    return F.try_cast(col_(c), type_name) if hasattr(F, "try_cast") else col_(c).try_cast(type_name)
+    return col_(c).try_cast(type_name)
 
 
 # --- P6 / P7: labels ------------------------------------------------------

@@ -37,42 +37,42 @@ def classification_report(df: DataFrame, y: str, p: str, digits: int = 6) -> Dat
     prediction; a zero denominator gives 0.
 
     Columns: label (string), precision, recall, f1_score (double), support (long).
+
+    Plan: one ``cube`` over the scored rows (the only pass over them), then
+    two tiny aggregates: per class, then per report line.  No branch of the
+    plan is evaluated twice.
     """
     cube = (df.select(F.col(y).cast("long").alias("y"), F.col(p).cast("long").alias("p"))
             .cube("y", "p").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")))
-    # g: 0 = (y,p), 1 = (y), 2 = (p), 3 = ()
-    both = cube.where((F.col("g") == 0) & (F.col("y") == F.col("p"))).select(F.col("y").alias("c"), F.col("n").alias("tp"))
-    sup = cube.where(F.col("g") == 1).select(F.col("y").alias("c"), F.col("n").alias("support"))
-    pred = cube.where(F.col("g") == 2).select(F.col("p").alias("c"), F.col("n").alias("predicted"))
-    classes = sup.select("c").union(pred.select("c")).distinct()
-    per = (classes.join(both, "c", "left").join(sup, "c", "left").join(pred, "c", "left")
-           .select("c", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in ("tp", "support", "predicted")]))
-    per = per.select("c", "tp", "support",
-                     _ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-                     _ratio(F.col("tp"), F.col("support")).alias("recall"))
-    per = per.withColumn("f1_score", F.when(F.col("precision") + F.col("recall") == 0, F.lit(0.0))
-                         .otherwise(2 * F.col("precision") * F.col("recall")
-                                    / (F.col("precision") + F.col("recall"))))
-    class_rows = per.select(F.col("c").cast("string").alias("label"), "precision", "recall",
-                            "f1_score", F.col("support").cast("long").alias("support"))
-    summary = per.agg(
-        F.sum("tp").alias("tp"), F.sum("support").alias("n"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
-    acc = summary.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                         F.lit(None).cast("double").alias("recall"),
-                         _ratio(F.col("tp"), F.col("n")).alias("f1_score"),
-                         F.col("n").cast("long").alias("support"))
-    macro = summary.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                           F.col("mr").alias("recall"), F.col("mf").alias("f1_score"),
-                           F.col("n").cast("long").alias("support"))
-    weighted = summary.select(F.lit("weighted avg").alias("label"), _ratio(F.col("wp"), F.col("n")).alias("precision"),
-                              _ratio(F.col("wr"), F.col("n")).alias("recall"),
-                              _ratio(F.col("wf"), F.col("n")).alias("f1_score"),
-                              F.col("n").cast("long").alias("support"))
-    out = class_rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    # g: 0 = (y, p), 1 = (y), 2 = (p), 3 = ()
+    g = F.col("g")
+    per = (cube.where(g < 3)
+           .select(F.when(g == 2, F.col("p")).otherwise(F.col("y")).alias("c"),
+                   F.when((g == 0) & (F.col("y") == F.col("p")), F.col("n")).otherwise(0).alias("tp"),
+                   F.when(g == 1, F.col("n")).otherwise(0).alias("sup"),
+                   F.when(g == 2, F.col("n")).otherwise(0).alias("pred"))
+           .groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("pred").alias("pred")))
+    per = per.select("c", "tp", "sup", _ratio(F.col("tp"), F.col("pred")).alias("pr"),
+                     _ratio(F.col("tp"), F.col("sup")).alias("rc"))
+    per = per.withColumn("f1", F.when(F.col("pr") + F.col("rc") == 0, F.lit(0.0))
+                         .otherwise(2 * F.col("pr") * F.col("rc") / (F.col("pr") + F.col("rc"))))
+    lines = per.select(F.explode(F.array(*[
+        F.struct(lab.alias("label"), F.col("tp"), F.col("sup"), F.col("pr"), F.col("rc"), F.col("f1"))
+        for lab in (F.col("c").cast("string"), F.lit("accuracy"), F.lit("macro avg"), F.lit("weighted avg"))
+    ])).alias("r")).select("r.*")
+    lab = F.col("label")
+    n = F.sum("sup")
+
+    def wmean(c):
+        return _ratio(F.sum(F.col(c) * F.col("sup")), n)
+    out = lines.groupBy("label").agg(
+        F.when(lab == "accuracy", F.lit(None).cast("double"))
+         .when(lab == "weighted avg", wmean("pr")).otherwise(F.avg("pr")).alias("precision"),
+        F.when(lab == "accuracy", F.lit(None).cast("double"))
+         .when(lab == "weighted avg", wmean("rc")).otherwise(F.avg("rc")).alias("recall"),
+        F.when(lab == "accuracy", _ratio(F.sum("tp"), n))
+         .when(lab == "weighted avg", wmean("f1")).otherwise(F.avg("f1")).alias("f1_score"),
+        n.cast("long").alias("support"))
     return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
                       "support")
 

@@ -91,13 +91,16 @@ def read_jdbc(spark: SparkSession, url: str, table_or_query: str, partition_colu
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their file and a line order key.
 
-    ``line_order`` = (file block start, position in the task); within one
-    file it orders lines as they appear, even when a big file is split
-    across tasks.  The file path is percent-decoded.
+    ``line_order`` = (file name, block start, position in the task): it
+    orders lines as they appear in a file, even when a big file is split
+    across tasks, and orders a log written as several part files by part
+    name.  The file path is percent-decoded.
     """
     df = spark.read.text(path)
+    path_col = F.url_decode(F.col("_metadata.file_path"))
     return df.select(
-        F.url_decode(F.col("_metadata.file_path")).alias("file_path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
+        path_col.alias("file_path"),
+        F.struct(F.col("_metadata.file_name").alias("file"),
+                 F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("pos")).alias("line_order"),
         F.col("value").alias("line"))

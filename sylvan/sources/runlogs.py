@@ -63,5 +63,5 @@ def stage_lines(spark: SparkSession, path: str) -> DataFrame:
     name = run_name(F.col("file_path"))
     return lines.select(name.alias("run"), *run_attributes(name), F.col("line_order"),
                         stage.alias("stage"),
-                        F.try_cast(F.element_at(F.split(F.col("line"), " "), -1), "double").alias("value")) \
+                        F.element_at(F.split(F.col("line"), " "), -1).try_cast("double").alias("value")) \
         .where(F.col("stage").isNotNull())
