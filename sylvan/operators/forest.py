@@ -61,6 +61,14 @@ class Forest:
     def with_meta(self, **kw) -> "Forest":
         return Forest(self.nodes, replace(self.meta, **kw))
 
+    def checkpointed(self) -> "Forest":
+        """Cut the node relation's lineage (imports join and window it; the
+        scoring plans read it once per tree level).  Written to the shared
+        checkpoint folder, so it survives executor loss."""
+        from sylvan.session import shared_dir
+        shared_dir(self.nodes.sparkSession)
+        return Forest(self.nodes.coalesce(1).checkpoint(eager=True), self.meta)
+
     def used_features(self) -> DataFrame:
         """the feature indexes any split reads (a tiny relation)."""
         return self.nodes.where(F.col("feature").isNotNull()).select("feature").distinct()
@@ -214,20 +222,19 @@ def fit_grid_ranges(df: DataFrame, features: list) -> list[tuple[float, float]]:
 # Per-tree statistics
 # ---------------------------------------------------------------------------
 
-def node_depths(nodes: DataFrame, max_levels: int = 64) -> DataFrame:
+def node_depths(nodes: DataFrame, max_levels: int) -> DataFrame:
     """(tree_id, node_id, depth) by walking down from the roots.
 
-    The node relation is model-sized; each level is one small join.
+    ``max_levels`` bounds the depth (the forest's ``max_depth`` + 1); each
+    level is one small join on the model-sized node relation, no data rows.
     """
     level = nodes.where(F.col("node_id") == 0).select("tree_id", "node_id", F.lit(0).alias("depth"))
     parts = [level]
     edges = nodes.where(F.col("feature").isNotNull()).select("tree_id", "node_id", "left", "right")
-    for d in range(1, max_levels + 1):
+    for d in range(1, max_levels):
         level = (level.join(edges, ["tree_id", "node_id"])
                  .select("tree_id", F.explode(F.array("left", "right")).alias("node_id"))
                  .select("tree_id", "node_id", F.lit(d).alias("depth")))
-        if level.isEmpty():
-            break
         parts.append(level)
     out = parts[0]
     for p in parts[1:]:

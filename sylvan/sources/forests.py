@@ -70,9 +70,9 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
     nodes = data.select(
         F.col("treeID").cast("int").alias("tree_id"),
         n["id"].cast("int").alias("node_id"),
-        F.when(~leaf, n["split.featureIndex"]).cast("int").alias("feature"),
+        F.when(~leaf, n["split"]["featureIndex"]).cast("int").alias("feature"),
         # leaves carry an empty threshold array: F.get gives null, not an error
-        F.when(~leaf, F.get(n["split.leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(~leaf, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
         F.lit("le").alias("op"),
         F.when(~leaf, n["leftChild"]).cast("int").alias("left"),
         F.when(~leaf, n["rightChild"]).cast("int").alias("right"),
@@ -84,7 +84,7 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
     meta = ForestMeta(n_trees=int(counts_row["t"]), max_depth=int(params.get("maxDepth", 5)),
                       n_nodes=int(counts_row["n"]), n_features=n_features, task=task,
                       combine=combine, n_classes=n_classes, margin_scale=scale)
-    return Forest(nodes, meta)
+    return Forest(nodes, meta).checkpointed()
 
 
 # --- tabular dump (one CSV per tree) ----------------------------------------------
@@ -159,7 +159,7 @@ def forest_from_tabular(spark: SparkSession, path: str, meta: ForestMeta) -> For
     # tree weight is per tree: take the root's
     tw = nodes.where(F.col("node_id") == 0).select("tree_id", F.col("tree_weight").alias("_tw"))
     nodes = nodes.join(tw, "tree_id").withColumn("tree_weight", F.col("_tw")).select(*NODE_COLUMNS)
-    return Forest(nodes, meta)
+    return Forest(nodes, meta).checkpointed()
 
 
 # --- nested JSON dump ---------------------------------------------------------------
@@ -253,4 +253,4 @@ def forest_from_json(spark: SparkSession, path: str, meta: ForestMeta, op: str =
                        F.lit(op).alias("op"), F.col("left").cast("int"), F.col("right").cast("int"),
                        "default_left", "value", F.lit(None).cast("array<double>").alias("class_counts"),
                        F.lit(1.0).alias("tree_weight"))
-    return Forest(nodes, meta)
+    return Forest(nodes, meta).checkpointed()
