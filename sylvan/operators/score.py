@@ -123,25 +123,38 @@ def tree_groups(meta: ForestMeta, max_group_nodes: int = MAX_GROUP_NODES) -> lis
 # relation-centric plan
 # ---------------------------------------------------------------------------
 
+_TREE_SHIFT = 1 << 32
+
+
+def _node_key(tree: Column, node: Column) -> Column:
+    """One long per (tree, node): the broadcast side becomes a long-keyed
+    hash map (the fast single-long-key path of the hash join)."""
+    return tree.cast("long") * F.lit(_TREE_SHIFT) + node.cast("long")
+
+
 def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
           lookup, carry: Sequence[str] = ()) -> DataFrame:
     """Walk every (row, tree) pair ``max_depth`` levels down.
 
     ``rows`` has ``key, tree_id, node_id`` plus whatever ``lookup`` needs;
-    ``lookup(feature_col)`` returns the row's value of that feature.
+    ``lookup(feature_col)`` returns the row's value of that feature.  Each
+    level is one broadcast equi-join on the (tree, node) long key; leaves
+    map to themselves, so rows that finish early stay put.
     """
-    step_nodes = F.broadcast(nodes.select("tree_id", "node_id", "feature", "threshold", "op",
-                                          "left", "right", "default_left"))
-    keep = [c for c in rows.columns if c != "node_id"]
+    t = F.col("tree_id")
+    step_nodes = F.broadcast(nodes.select(
+        _node_key(t, F.col("node_id")).alias("_k"), "feature", "threshold", "op", "default_left",
+        _node_key(t, F.col("left")).alias("_lk"), _node_key(t, F.col("right")).alias("_rk")))
+    keep = [c for c in rows.columns if c not in ("tree_id", "node_id")]
+    rows = rows.select(*keep, _node_key(F.col("tree_id"), F.col("node_id")).alias("_k"))
     for _ in range(meta.max_depth):
-        j = rows.join(step_nodes, ["tree_id", "node_id"])
+        j = rows.join(step_nodes, "_k")
         nxt = F.when(goes_left(lookup(F.col("feature")), F.col("threshold"), F.col("op"),
-                               F.col("default_left")), F.col("left")).otherwise(F.col("right"))
-        rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("node_id"))
-                        .otherwise(nxt).alias("node_id"))
-    leaf_nodes = F.broadcast(nodes.select("tree_id", "node_id", "value", "class_counts",
-                                          "tree_weight"))
-    return rows.join(leaf_nodes, ["tree_id", "node_id"]).select(
+                               F.col("default_left")), F.col("_lk")).otherwise(F.col("_rk"))
+        rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("_k")).otherwise(nxt).alias("_k"))
+    leaf_nodes = F.broadcast(nodes.select(_node_key(t, F.col("node_id")).alias("_k"), "value",
+                                          "class_counts", "tree_weight"))
+    return rows.join(leaf_nodes, "_k").select(
         F.col(key), *[F.col(c) for c in carry], *_leaf_terms(meta))
 
 
