@@ -153,6 +153,14 @@ def runlog_stage_times(spark, sf_dir):
     return wide.drop("run")
 
 
+@query("stage_totals",
+       f"SELECT dataset, algo, framework, trees, batch_size, read + write + infer AS total FROM ({_SQL_STAGES})")
+def stage_totals(spark, sf_dir):
+    """Derived total = read + write + infer per run."""
+    return runlog_stage_times(spark, sf_dir).select("dataset", "algo", "framework", "trees", "batch_size",
+                                                    "total")
+
+
 # --- the same operators straight on events -------------------------------------
 
 @query("running_flag_max",

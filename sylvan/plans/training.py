@@ -207,3 +207,16 @@ def score_stream(spark, sf_dir):
 
 
 del node_depths
+
+
+@query("train_metric")
+def train_metric(spark, sf_dir):
+    """M7: the classification report of the fitted forest on its own
+    training rows (A2 on ``model.transform(train)``)."""
+    from sylvan.operators.evaluate import classification_report
+    train, _ = _train_test(spark, sf_dir)
+    model = train_forest(train, EVENT_FEATURES, "y", "randomforest", "classification", n_trees=10,
+                         max_depth=8, key="event_id")
+    scored = S.score_mllib(model, train.select("event_id", "y", *EVENT_FEATURES), "event_id",
+                           EVENT_FEATURES)
+    return classification_report(scored.join(train.select("event_id", "y"), "event_id"), "y", "prediction")
