@@ -233,24 +233,36 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
     """Walk all trees for a batch ``X`` (rows x features, NaN = missing).
 
     Returns (sum of w*value, sum of w) or the per-class sums for 'vote'.
+    Leaves are their own children, so every row simply takes
+    ``max_depth`` steps; each step is four gathers (feature, value,
+    threshold, child) over a rows x trees index matrix.
     """
     n = X.shape[0]
     roots = a["root"]
     weights = a["tree_weight"]
     vote = combine == "vote"
+    if X.shape[1] == 0:
+        X = np.full((n, 1), np.nan)
+    feature = np.where(a["feature"] < 0, 0, a["feature"])
+    threshold = a["threshold"]
+    kids = np.stack([a["left"], a["right"]], axis=1).ravel()
+    any_lt = bool(a["is_lt"].any())
+    any_missing = bool(np.isnan(X).any())
     if vote:
         acc = np.zeros((n, a["class_counts"].shape[1]))
     else:
         swv = np.zeros(n)
-    rix = np.arange(n)[:, None]
+    rows = np.arange(n)[:, None]
     for s in range(0, len(roots), tree_chunk):
         node = np.broadcast_to(roots[s:s + tree_chunk], (n, len(roots[s:s + tree_chunk]))).copy()
         for _ in range(a["max_depth"]):
-            f = a["feature"][node]
-            leaf = f < 0
-            x = X[rix, np.where(leaf, 0, f)] if X.shape[1] else np.full(node.shape, np.nan)
-            left = goes_left_np(x, a["threshold"][node], a["is_lt"][node], a["default_left"][node])
-            node = np.where(leaf, node, np.where(left, a["left"][node], a["right"][node]))
+            x = X[rows, feature[node]]
+            t = threshold[node]
+            if any_missing or any_lt:
+                left = goes_left_np(x, t, a["is_lt"][node], a["default_left"][node])
+            else:
+                left = x <= t
+            node = kids[2 * node + (~left)]
         w = weights[s:s + tree_chunk][None, :]
         if vote:
             acc += np.einsum("ntk,nt->nk", a["class_counts"][node], np.broadcast_to(w, node.shape))
@@ -308,6 +320,31 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
     return finalize(x.mapInPandas(run, schema), key, meta, carry)
 
 
+def score_with_function(df: DataFrame, key: str, features: Sequence[str], predict_fn,
+                        out: str = "score", carry: Sequence[str] = ()) -> DataFrame:
+    """Pluggable ``predict(batch)``: any function from a float64 matrix
+    (rows x features, NaN = missing) to one number per row, applied to each
+    Arrow batch with ``mapInPandas``.  The function is shipped with the
+    task closure, so it must be picklable and model-sized."""
+    carry = list(carry)
+    fcols = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
+    x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
+    names = [f"_f{i}" for i in range(len(fcols))]
+    schema = T.StructType([x.schema[key], *[x.schema[c] for c in carry],
+                           T.StructField(out, T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            X = pdf[names].to_numpy(dtype=np.float64, na_value=np.nan)
+            res = {key: pdf[key]}
+            for c in carry:
+                res[c] = pdf[c]
+            res[out] = np.asarray(predict_fn(X), dtype=np.float64)
+            yield pd.DataFrame(res)
+
+    return x.mapInPandas(run, schema)
+
+
 # ---------------------------------------------------------------------------
 # compiled-expression plan
 # ---------------------------------------------------------------------------

@@ -56,6 +56,20 @@ def sql_predict(spark, sf_dir):
         f"SELECT event_id, forest_predict(array(f0, f1, f2, f3)) AS score FROM {view})")
 
 
+@query("score_pluggable", SQL_SCORE)
+def score_pluggable(spark, sf_dir):
+    """2.11: a user ``predict(batch)`` function applied per Arrow batch."""
+    forest = events_forest(spark, T_, D_)
+    arrays = forest.to_arrays()  # model-sized, shipped with the function
+
+    def predict(X):
+        swv, _ = S.walk_arrays(arrays, X, "sum")
+        return swv
+
+    out = S.score_with_function(event_features(spark, sf_dir), "event_id", FEATS, predict)
+    return out.select("event_id", "score", (F.col("score") > 0).cast("int").alias("prediction"))
+
+
 @query("score_pruned", SQL_SCORE)
 def score_pruned(spark, sf_dir):
     """only the feature columns some split reads are scanned."""
