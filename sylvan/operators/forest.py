@@ -89,22 +89,29 @@ class Forest:
 
 
 def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
+    """Flat NumPy arrays from node rows sorted by (tree_id, node_id)."""
     n = len(rows)
     tree = rows["tree_id"].to_numpy(np.int64)
     node = rows["node_id"].to_numpy(np.int64)
     trees = np.unique(tree)
-    # map (tree, node) -> global index
-    index = {(int(t), int(i)): g for g, (t, i) in enumerate(zip(tree, node))}
+    keys = tree * (1 << 32) + node            # sorted, since rows are ordered
+    if n and not np.all(keys[1:] > keys[:-1]):
+        raise ValueError("node relation has duplicate (tree_id, node_id) pairs")
 
     def glob(col):
+        child = rows[col].astype("float64").to_numpy()
+        have = ~np.isnan(child)
         out = np.full(n, -1, np.int64)
-        vals = rows[col].to_numpy()
-        for g in range(n):
-            v = vals[g]
-            if v is not None and not (isinstance(v, float) and np.isnan(v)):
-                out[g] = index[(int(tree[g]), int(v))]
+        want = tree[have] * (1 << 32) + child[have].astype(np.int64)
+        pos = np.searchsorted(keys, want)
+        if np.any(pos >= n) or np.any(keys[np.minimum(pos, n - 1)] != want):
+            raise ValueError(f"{col} points to a node that does not exist")
+        out[have] = pos
         return out
 
+    root_pos = np.searchsorted(keys, trees * (1 << 32))
+    if np.any(node[root_pos] != 0):
+        raise ValueError("every tree needs a root node 0")
     feature = rows["feature"].astype("float64").fillna(-1).to_numpy().astype(np.int64)
     left = glob("left")
     right = glob("right")
@@ -112,7 +119,7 @@ def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
     leaf = feature < 0
     left[leaf] = np.arange(n)[leaf]
     right[leaf] = np.arange(n)[leaf]
-    root = np.array([index[(int(t), 0)] for t in trees], np.int64)
+    root = root_pos.astype(np.int64)
     weight_by_tree = rows.groupby("tree_id")["tree_weight"].first()
     out = {
         "feature": feature,

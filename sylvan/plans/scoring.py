@@ -169,9 +169,8 @@ def _sql_batches():
 def score_batches(spark, sf_dir):
     forest = events_forest(spark, T_, D_)
     x = with_batches(event_features(spark, sf_dir), "event_id", BATCH_Q)
-    scored = S.score_vectorised(forest, x, "event_id", FEATS)
-    return x.select("event_id", "batch_id").join(scored, "event_id") \
-        .select("event_id", "batch_id", "prediction")
+    scored = S.score_vectorised(forest, x, "event_id", FEATS, carry=["batch_id"])
+    return scored.select("event_id", "batch_id", "prediction")
 
 
 @query("predict_batch", _sql_batches())
