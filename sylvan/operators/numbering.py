@@ -23,14 +23,21 @@ _LOW_33_BITS = (1 << 33) - 1
 
 def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
                       n_partitions: int | None = None) -> DataFrame:
-    """``df`` plus a 0-based ``out`` following ``order_cols`` (ties: any order)."""
+    """``df`` plus a 0-based ``out`` following ``order_cols`` (ties: any order).
+
+    Ties are broken by a row id, so rows sharing one order value -- even a
+    value held by a third of the table -- are range-split over many tasks
+    instead of landing in one.
+    """
     if isinstance(order_cols, str):
         order_cols = [order_cols]
     spark = df.sparkSession
     shared_dir(spark)
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
+    order = [*order_cols, "_tie"]
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(n, *order)
+              .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS))))
     ranged = ranged.checkpoint(eager=True)

@@ -159,27 +159,37 @@ def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
 
 
 def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
-                     carry: Sequence[str] = ()) -> DataFrame:
-    return terms.groupBy(key).agg(*[F.first(c).alias(c) for c in carry],
-                                  *[F.sum(c).alias(c) for c in _sum_columns(meta)])
+                     carry: Sequence[str] = (), group_key: str | None = None) -> DataFrame:
+    g = group_key or key
+    firsts = [c for c in ([key] if group_key else []) + list(carry)]
+    return terms.groupBy(g).agg(*[F.first(c).alias(c) for c in firsts],
+                                *[F.sum(c).alias(c) for c in _sum_columns(meta)])
 
 
 def score_relational(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = (), max_group_nodes: int = MAX_GROUP_NODES) -> DataFrame:
+    """Relation-centric scoring.
+
+    The per-row aggregate groups on an internal row id (unique by
+    construction, fixed per input partition), not on ``key``: a key that
+    repeats -- or one value holding a third of the table -- can neither
+    merge rows nor skew the aggregate.
+    """
     meta = forest.meta
     carry = list(carry)
-    x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"))
+    x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"),
+                  F.monotonically_increasing_id().alias("_rid"))
     parts = []
     for a, b in tree_groups(meta, max_group_nodes):
         g_nodes = forest.nodes.where(F.col("tree_id").between(a, b - 1))
-        rows = x.select(F.col(key), *[F.col(c) for c in carry], F.col("_x"),
+        rows = x.select(F.col("_rid"), F.col(key), *[F.col(c) for c in carry], F.col("_x"),
                         F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"),
                         F.lit(0).alias("node_id"))
-        parts.append(_walk(rows, g_nodes, key, meta, lambda f: F.get(F.col("_x"), f), carry))
+        parts.append(_walk(rows, g_nodes, key, meta, lambda f: F.get(F.col("_x"), f), ["_rid", *carry]))
     terms = parts[0]
     for p in parts[1:]:
         terms = terms.unionByName(p)
-    return finalize(_aggregate_terms(terms, key, meta, carry), key, meta, carry)
+    return finalize(_aggregate_terms(terms, key, meta, carry, group_key="_rid"), key, meta, carry)
 
 
 # ---------------------------------------------------------------------------

@@ -21,8 +21,10 @@ def test_relational_plan_has_one_fact_exchange_and_no_cartesian(spark):
     df = S.score_relational(events_forest(spark, 10, 4), event_features(spark, SF), "event_id", EVENT_FEATURES)
     plan = _plan(df)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    # the forest walk: broadcast joins only; one hash exchange for the per-row sums
-    assert plan.count("hashpartitioning(event_id") == 1
+    # the forest walk: broadcast joins only; one hash exchange for the per-row
+    # sums, keyed by the internal row id (never by a data value)
+    assert plan.count("hashpartitioning(_rid") == 1
+    assert "hashpartitioning(event_id" not in plan
     assert "SortMergeJoin" not in plan
 
 
