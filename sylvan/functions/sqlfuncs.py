@@ -36,6 +36,13 @@ def _combined(a: dict, meta, X: np.ndarray) -> np.ndarray:
 
 
 def _stack(series: pd.Series, width: int) -> np.ndarray:
+    """Rows of feature arrays -> matrix; null arrays / elements -> NaN."""
+    try:
+        X = np.stack(series.to_numpy()).astype(np.float64)
+        if X.ndim == 2 and X.shape[1] >= width:
+            return X[:, :width]
+    except (TypeError, ValueError):
+        pass
     X = np.full((len(series), width), np.nan)
     for r, v in enumerate(series):
         if v is not None:
@@ -74,14 +81,15 @@ def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def batch_scores(batches: pd.Series) -> pd.Series:
         out = []
-        for rows in batches:
-            X = _stack(pd.Series([r["x"] for r in rows]), width) if len(rows) else np.zeros((0, width))
-            out.append(_combined(bc.value, meta, X).tolist())
+        for xs in batches:
+            X = _stack(pd.Series(list(xs)), width) if len(xs) else np.zeros((0, width))
+            out.append(_combined(bc.value, meta, X))
         return pd.Series(out)
 
     xs = F.array(*[F.col(c).cast("double") for c in features])
     grouped = (df.select(F.col(batch_col), F.struct(F.col(key).alias("k"), xs.alias("x")).alias("r"))
                .groupBy(batch_col).agg(F.collect_list("r").alias("rows")))
+    # keys and feature arrays leave the group in the same order
     zipped = grouped.select(batch_col, F.arrays_zip(F.col("rows.k").alias("k"),
-                                                    batch_scores("rows").alias("s")).alias("z"))
+                                                    batch_scores(F.col("rows.x")).alias("s")).alias("z"))
     return zipped.select(F.explode("z").alias("e"), batch_col).select(F.col("e.k").alias(key), F.col(batch_col), F.col("e.s").alias("score"))

@@ -4,10 +4,10 @@ A global ``row_number() OVER (ORDER BY key)`` puts every row through one
 task (a ``SinglePartition`` exchange).  Here the rows are range-partitioned
 on the order key and sorted inside each partition; each row's place inside
 its partition plus the row count of all earlier partitions is its global
-number.  The ranged rows are checkpointed to the shared folder first, so
-the count pass and the numbering pass see the very same partitions even if
-an executor is lost in between.  Only one count per partition reaches the
-driver.
+number.  The ranged rows are written once as a table in the shared folder,
+so the count pass and the numbering pass see the very same partitions even
+if an executor is lost in between.  Only one count per partition reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions.columns import batch_of
-from sylvan.session import shared_dir
+from sylvan.session import scratch_path, shared_dir
 
 _LOW_33_BITS = (1 << 33) - 1
 
@@ -40,7 +40,12 @@ def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS))))
-    ranged = ranged.checkpoint(eager=True)
+    # materialise once in the shared folder: both passes below then see the
+    # same partitions (range boundaries come from a sample and could differ
+    # between two executions of the plan)
+    path = scratch_path(spark, "ranged")
+    ranged.write.parquet(path)
+    ranged = spark.read.parquet(path)
     counts = dict(ranged.groupBy("_pid").count().collect())
     n_parts = max(counts) + 1 if counts else 0
     offsets, acc = [], 0
