@@ -246,3 +246,20 @@ def batch_arithmetic(spark, sf_dir):
         C.n_batches(n, 1000).alias("n_batches"),
         (n % 1000).cast("long").alias("remainder"),
         F.floor(n / 8).cast("long").alias("per_worker"))
+
+
+@query("doc_features",
+       "WITH d AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS code "
+       "FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) x) "
+       "SELECT l.doc_id, l.quality AS label, CAST(doc.n_chars AS DOUBLE) AS n_chars, "
+       "CAST(coalesce(d.code, -1) AS INTEGER) AS lang_code, l.toxic "
+       "FROM labels l JOIN documents doc ON doc.doc_id = l.doc_id LEFT JOIN d ON doc.lang = d.lang")
+def doc_features(spark, sf_dir):
+    """Labels joined to their documents for features: length and language
+    code (P5 on ``lang``); the label first, then the features."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "lang", "n_chars"])
+    coded = category_codes(docs, "lang", out="lang_code")
+    labels = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    j = labels.join(coded, "doc_id")
+    return j.select("doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"),
+                    "lang_code", "toxic")

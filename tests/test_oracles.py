@@ -37,4 +37,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_unique_name():
-    assert len(E.queries()) >= 73
+    assert len(E.queries()) >= 74
