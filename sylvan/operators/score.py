@@ -359,51 +359,56 @@ def score_with_function(df: DataFrame, key: str, features: Sequence[str], predic
 # compiled-expression plan
 # ---------------------------------------------------------------------------
 
-def _tree_expr(a: dict, g: int, xs: list[Column], leaf_value) -> Column:
+def _sql_double(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def _tree_sql(a: dict, g: int, xs: list[str], leaf_value) -> str:
+    """One tree as nested ``CASE WHEN`` SQL text over feature columns ``xs``."""
     f = int(a["feature"][g])
     if f < 0:
         return leaf_value(g)
-    cond = goes_left_lit(xs[f], float(a["threshold"][g]), "lt" if a["is_lt"][g] else "le",
-                         bool(a["default_left"][g]))
-    return F.when(cond, _tree_expr(a, int(a["left"][g]), xs, leaf_value)) \
-        .otherwise(_tree_expr(a, int(a["right"][g]), xs, leaf_value))
+    x = xs[f]
+    cmp = f"{x} {'<' if a['is_lt'][g] else '<='} {_sql_double(a['threshold'][g])}"
+    missing = f"({x} IS NULL OR isnan({x}))"
+    cond = f"({missing} OR {cmp})" if a["default_left"][g] else f"(NOT {missing} AND {cmp})"
+    return (f"CASE WHEN {cond} THEN {_tree_sql(a, int(a['left'][g]), xs, leaf_value)} "
+            f"ELSE {_tree_sql(a, int(a['right'][g]), xs, leaf_value)} END")
 
 
-def forest_expressions(forest: Forest, features) -> list[Column]:
-    """One summed expression per sum column (see ``_sum_columns``)."""
+def forest_expressions(forest: Forest, names: list[str]) -> list[Column]:
+    """One summed expression per sum column (see ``_sum_columns``), built as
+    SQL text over the feature columns ``names`` and parsed once."""
     meta = forest.meta
     if meta.n_nodes > MAX_EXPRESSION_NODES:
         raise ValueError(f"forest of {meta.n_nodes} nodes is too large to compile; "
                          "use the vectorised or relational plan")
     a = forest.to_arrays()
-    if isinstance(features, str):
-        xs = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(meta.n_features)]
-    else:
-        xs = [c.cast("double") for c in _feature_cols(features)]
     w = a["tree_weight"]
+    xs = [f"`{n}`" for n in names]
     if meta.combine == "vote":
         exprs = []
         for c in range(meta.n_classes):
-            terms = [_tree_expr(a, int(r), xs, lambda g, c=c: F.lit(float(a["class_counts"][g, c])))
-                     * F.lit(float(w[t])) for t, r in enumerate(a["root"])]
-            exprs.append(_add(terms).alias(f"_c{c}"))
+            terms = [f"({_tree_sql(a, int(r), xs, lambda g, c=c: _sql_double(a['class_counts'][g, c]))})"
+                     f" * {_sql_double(w[t])}" for t, r in enumerate(a["root"])]
+            exprs.append(F.expr(" + ".join(terms)).alias(f"_c{c}"))
         return exprs
-    terms = [_tree_expr(a, int(r), xs, lambda g: F.lit(float(a["value"][g]))) * F.lit(float(w[t]))
+    terms = [f"({_tree_sql(a, int(r), xs, lambda g: _sql_double(a['value'][g]))}) * {_sql_double(w[t])}"
              for t, r in enumerate(a["root"])]
-    return [_add(terms).alias("_swv"), F.lit(float(w.sum())).alias("_sw")]
-
-
-def _add(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    return [F.expr(" + ".join(terms)).alias("_swv"), F.lit(float(w.sum())).alias("_sw")]
 
 
 def score_expression(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = ()) -> DataFrame:
-    sums = df.select(F.col(key), *[F.col(c) for c in carry], *forest_expressions(forest, features))
-    return finalize(sums, key, forest.meta, carry)
+    meta = forest.meta
+    if isinstance(features, str):
+        fcols = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(meta.n_features)]
+    else:
+        fcols = [c.cast("double") for c in _feature_cols(features)]
+    names = [f"_f{i}" for i in range(len(fcols))]
+    x = df.select(F.col(key), *[F.col(c) for c in carry], *[c.alias(n) for c, n in zip(fcols, names)])
+    sums = x.select(F.col(key), *[F.col(c) for c in carry], *forest_expressions(forest, names))
+    return finalize(sums, key, meta, carry)
 
 
 # ---------------------------------------------------------------------------
