@@ -28,6 +28,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # list up to this many folders on the driver instead of launching a
+        # listing job (per-run log folders number in the thousands)
+        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "8192")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
