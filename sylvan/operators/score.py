@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.functions.splits import goes_left, goes_left_lit, goes_left_np
+from sylvan.functions.splits import goes_left, goes_left_np
 from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest, ForestMeta
 
 # Largest forest turned into one compiled expression.

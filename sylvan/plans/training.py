@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sylvan.operators import score as S
-from sylvan.operators.forest import forest_stats, node_depths
+from sylvan.operators.forest import forest_stats
 from sylvan.operators.numbering import ordered_split
 from sylvan.operators.train import save_model, train_forest, train_from_table as _train_from_table
 from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_grid_nodes, \
@@ -206,8 +206,6 @@ def score_stream(spark, sf_dir):
         .select("event_id", "score", "prediction")
 
 
-del node_depths
-
 
 @query("train_metric")
 def train_metric(spark, sf_dir):

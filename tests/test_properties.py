@@ -75,3 +75,27 @@ def test_running_flag_window_matches_join_form(spark):
     a = {r[0]: r[1] for r in seen_flag(ev, "user_id", "ts", flag).select("event_id", "seen").collect()}
     b = {r[0]: r[1] for r in seen_flag_window(ev, "user_id", "ts", flag).select("event_id", "seen").collect()}
     assert a == b
+
+
+def test_report_with_a_class_never_predicted(spark):
+    df = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (0, 0)], "y int, p int")
+    rep = {r["label"]: r for r in E.classification_report(df, "y", "p").collect()}
+    assert set(rep) == {"0", "1", "2", "accuracy", "macro avg", "weighted avg"}
+    assert rep["1"]["precision"] == 0.0 and rep["1"]["recall"] == 0.0 and rep["1"]["f1_score"] == 0.0
+    assert rep["0"]["recall"] == 1.0 and rep["0"]["precision"] == 0.5
+    assert rep["accuracy"]["f1_score"] == 0.5 and rep["accuracy"]["support"] == 4
+
+
+def test_imported_random_forest_leaf_probabilities_sum_to_one(spark):
+    from sylvan.operators.train import save_model, train_forest
+    from sylvan.plans.features import EVENT_FEATURES, event_features
+    from sylvan.session import scratch_path
+    from sylvan.sources.forests import forest_from_mllib_dir
+    x = event_features(spark, "/root/testdata/sf0.001", keep=("event_type",))
+    x = x.withColumn("y", (F.col("event_type") == "purchase").cast("double"))
+    model = train_forest(x, EVENT_FEATURES, "y", "randomforest", "classification", n_trees=3, max_depth=3)
+    forest = forest_from_mllib_dir(spark, save_model(model, scratch_path(spark, "rf")))
+    sums = forest.nodes.where(F.col("feature").isNull()).select(
+        F.aggregate("class_counts", F.lit(0.0), lambda a, v: a + v).alias("s")).collect()
+    assert sums and all(abs(r["s"] - 1.0) < 1e-12 for r in sums)
+    assert forest.meta.combine == "vote" and forest.meta.n_trees == 3
