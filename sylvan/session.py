@@ -64,3 +64,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "sylvan", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_conf(input_bytes: int, total_cores: int,
+                 shuffle_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the input and the slots.
+
+    * scan splits of 512 MB: 100 TB gives ~200k scan tasks;
+    * shuffle partitions so one holds ~256 MB of shuffled rows (AQE
+      coalesces smaller ones and splits skewed ones);
+    * Arrow batches of 10k rows for the vectorised plan (rows x trees of
+      node indexes per batch stay within a few hundred MB for 1,600 trees).
+    """
+    parts = max(2 * total_cores, int(input_bytes // shuffle_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
