@@ -1,8 +1,10 @@
 """Run-log queries.
 
-The profiler's logs are derived from ``events`` by Spark (one run per user):
-each event becomes one resource sample line and one timing line, written
-as text under a folder per run, in time order.  The parsing plans then read
+The profiler's logs are derived from ``events`` by Spark: a sweep of 97
+runs (run = user_id % 97), each event one resource sample line and one
+timing line of its run, written as text under a folder per run in
+(ts, event_id) order.  The number of log files stays fixed while the logs
+grow with the data, as a profiler's sampling logs do.  The parsing plans then read
 them back like the profiler's files, and the SQL twins compute the same
 answers straight from ``events``.
 
@@ -28,7 +30,8 @@ from sylvan.session import scratch_path, shared_dir
 from sylvan.sources.runlogs import resource_samples, stage_lines
 from sylvan.sources.tables import table
 
-# Names used to label the derived runs.
+# Number of derived runs and the names that label them.
+N_RUNS = 97
 DATASETS = ["higgs", "airline", "fraud", "year", "epsilon", "bosch", "covtype"]
 ALGOS = ["randomforest", "xgboost", "lightgbm"]
 FRAMEWORKS = ["Sklearn", "ONNX", "TreeLite", "HummingbirdPytorchCPU"]
@@ -40,7 +43,7 @@ def _pick(values, idx):
 
 
 def run_name_col(kind: str):
-    u = F.col("user_id")
+    u = F.col("user_id") % N_RUNS
     b = (F.lit(100) + u).cast("string")
     return F.concat(F.lit("python_test_model.py_-d_"), _pick(DATASETS, (u % 7).cast("int")),
                     F.lit("_-m_"), _pick(ALGOS, (u % 3).cast("int")),
@@ -51,13 +54,13 @@ def run_name_col(kind: str):
 
 def _write_logs(spark, sf_dir, kind: str, line) -> str:
     """Write one text log per run, lines in time order.  Rows are range
-    partitioned on (run, ts), so a long run spans several files whose names
+    partitioned on (run, ts, event_id), so a long run spans several files whose names
     follow the range order."""
     path = scratch_path(spark, f"logs_{kind}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    (ev.select(run_name_col(kind).alias("run"), F.col("ts"), line.alias("line"))
-     .repartitionByRange(n, "run", "ts").sortWithinPartitions("run", "ts")
+    (ev.select(run_name_col(kind).alias("run"), F.col("ts"), F.col("event_id"), line.alias("line"))
+     .repartitionByRange(n, "run", "ts", "event_id").sortWithinPartitions("run", "ts", "event_id")
      .select("line", "run").write.partitionBy("run").text(path))
     return path
 
@@ -98,16 +101,22 @@ def _sql_pick(values, idx: str) -> str:
 
 
 _SQL_RUN_ATTRS = (
-    f"{_sql_pick(DATASETS, 'user_id % 7')} AS dataset, {_sql_pick(ALGOS, 'user_id % 3')} AS algo, "
-    f"{_sql_pick(FRAMEWORKS, 'user_id % 4')} AS framework, "
-    f"CAST({_sql_pick([str(t) for t in TREES], 'user_id % 3')} AS INTEGER) AS trees, "
-    "CAST(100 + user_id AS INTEGER) AS batch_size")
+    f"{_sql_pick(DATASETS, 'r % 7')} AS dataset, {_sql_pick(ALGOS, 'r % 3')} AS algo, "
+    f"{_sql_pick(FRAMEWORKS, 'r % 4')} AS framework, "
+    f"CAST({_sql_pick([str(t) for t in TREES], 'r % 3')} AS INTEGER) AS trees, "
+    "CAST(100 + r AS INTEGER) AS batch_size")
+
+# events with their run and line number inside the run's log
+_SQL_RUN_EVENTS = (
+    f"SELECT *, user_id % {N_RUNS} AS r, "
+    f"row_number() OVER (PARTITION BY user_id % {N_RUNS} ORDER BY ts, event_id) AS line_no FROM events")
 
 _SQL_SAMPLES = (
-    f"SELECT user_id, ts, {_SQL_RUN_ATTRS}, "
+    f"SELECT r, line_no, {_SQL_RUN_ATTRS}, "
     "CAST(CASE WHEN event_type = 'error' THEN 0 ELSE CAST(trunc(value) AS INTEGER) % 100 + 1 END AS INTEGER) AS gpu, "
     "CAST(trunc(value * 10) AS INTEGER) AS mem, 15109 AS max_mem, "
-    "CAST(CASE WHEN event_type = 'signup' THEN 0 ELSE event_id % 1000 END AS INTEGER) AS pyt FROM events")
+    "CAST(CASE WHEN event_type = 'signup' THEN 0 ELSE event_id % 1000 END AS INTEGER) AS pyt "
+    f"FROM ({_SQL_RUN_EVENTS}) re")
 
 
 @query("runlog_samples",
@@ -118,12 +127,12 @@ def runlog_samples(spark, sf_dir):
 
 
 @query("runlog_max",
-       f"WITH s AS ({_SQL_SAMPLES}), f AS (SELECT user_id, min(ts) FILTER (WHERE gpu = 0) AS t0 FROM s GROUP BY user_id) "
+       f"WITH s AS ({_SQL_SAMPLES}), f AS (SELECT r, min(line_no) FILTER (WHERE gpu = 0) AS l0 FROM s GROUP BY r) "
        "SELECT dataset, algo, framework, trees, batch_size, "
-       "CAST(coalesce(max(gpu) FILTER (WHERE s.ts >= f.t0), -1) AS INTEGER) AS max_gpu, "
-       "CAST(coalesce(max(mem) FILTER (WHERE s.ts >= f.t0), -1) AS INTEGER) AS max_mem, "
-       "CAST(coalesce(max(pyt) FILTER (WHERE s.ts >= f.t0), -1) AS INTEGER) AS max_pyt "
-       "FROM s JOIN f USING (user_id) GROUP BY dataset, algo, framework, trees, batch_size")
+       "CAST(coalesce(max(gpu) FILTER (WHERE s.line_no >= f.l0), -1) AS INTEGER) AS max_gpu, "
+       "CAST(coalesce(max(mem) FILTER (WHERE s.line_no >= f.l0), -1) AS INTEGER) AS max_mem, "
+       "CAST(coalesce(max(pyt) FILTER (WHERE s.line_no >= f.l0), -1) AS INTEGER) AS max_pyt "
+       "FROM s JOIN f USING (r) GROUP BY dataset, algo, framework, trees, batch_size")
 def runlog_max(spark, sf_dir):
     """gauges' maxima from the first idle sample of each run on."""
     s = resource_samples(spark, write_resource_logs(spark, sf_dir))
@@ -135,11 +144,11 @@ def runlog_max(spark, sf_dir):
 
 _SQL_STAGES = (
     f"SELECT {_SQL_RUN_ATTRS}, "
-    "coalesce(arg_max(value, ts) FILTER (WHERE event_type = 'view'), -1.0) AS read, "
-    "coalesce(arg_max(value, ts) FILTER (WHERE event_type = 'purchase'), -1.0) AS infer, "
-    "coalesce(arg_max(value, ts) FILTER (WHERE event_type = 'signup'), -1.0) AS write, "
-    "coalesce(arg_max(value, ts) FILTER (WHERE event_type = 'click'), -1.0) AS load "
-    "FROM events GROUP BY user_id")
+    "coalesce(arg_max(value, line_no) FILTER (WHERE event_type = 'view'), -1.0) AS read, "
+    "coalesce(arg_max(value, line_no) FILTER (WHERE event_type = 'purchase'), -1.0) AS infer, "
+    "coalesce(arg_max(value, line_no) FILTER (WHERE event_type = 'signup'), -1.0) AS write, "
+    "coalesce(arg_max(value, line_no) FILTER (WHERE event_type = 'click'), -1.0) AS load "
+    f"FROM ({_SQL_RUN_EVENTS}) re GROUP BY r")
 
 
 @query("runlog_stage_times",
