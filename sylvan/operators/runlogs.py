@@ -19,30 +19,55 @@ def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
 
-def first_flag_position(df: DataFrame, group, order: str, flag: Column) -> DataFrame:
-    """Per group, the order value of the first row where ``flag`` holds."""
-    g = _cols(group)
-    return df.groupBy(*g).agg(F.min(F.when(flag, F.col(order))).alias("_first"))
+def _lex_extreme(df: DataFrame, g: list[str], order: list[str], pick) -> DataFrame:
+    """Rows holding, per group, the smallest (``F.min``) or largest
+    (``F.max``) value of the order columns taken lexicographically.
+
+    One hash aggregate per order column, each followed by a semi join with
+    the (per-group) result: no sort, no struct-typed aggregate buffer.
+    """
+    cand = df
+    for c in order:
+        best = cand.groupBy(*g).agg(pick(F.col(c)).alias(c))
+        cand = cand.join(best, [*g, c], "left_semi")
+    return cand
+
+
+def _after(order: list[str], firsts: list[str]) -> Column:
+    """Lexicographic ``order >= firsts``."""
+    expr = F.col(order[-1]) >= F.col(firsts[-1])
+    for c, f in zip(reversed(order[:-1]), reversed(firsts[:-1])):
+        expr = (F.col(c) > F.col(f)) | ((F.col(c) == F.col(f)) & expr)
+    return expr
 
 
-def seen_flag(df: DataFrame, group, order: str, flag: Column, out: str = "seen") -> DataFrame:
+def first_flag_position(df: DataFrame, group, order, flag: Column) -> DataFrame:
+    """Per group, the order value(s) of the first row where ``flag`` holds
+    (only flagged rows reach the aggregates)."""
+    g, o = _cols(group), _cols(order)
+    first = _lex_extreme(df.where(flag), g, o, F.min)
+    return first.select(*g, *[F.col(c).alias(f"_first_{i}") for i, c in enumerate(o)])
+
+
+def seen_flag(df: DataFrame, group, order, flag: Column, out: str = "seen") -> DataFrame:
     """Running "seen the flag yet" marker in order, as a join with the
     per-group first position (no per-group window)."""
-    g = _cols(group)
-    first = first_flag_position(df, g, order, flag)
+    g, o = _cols(group), _cols(order)
+    first = first_flag_position(df, g, o, flag)
+    firsts = [f"_first_{i}" for i in range(len(o))]
     return df.join(first, g, "left").withColumn(
-        out, (F.col("_first").isNotNull() & (F.col(order) >= F.col("_first"))).cast("int")).drop("_first")
+        out, (F.col(firsts[0]).isNotNull() & _after(o, firsts)).cast("int")).drop(*firsts)
 
 
-def seen_flag_window(df: DataFrame, group, order: str, flag: Column, out: str = "seen") -> DataFrame:
+def seen_flag_window(df: DataFrame, group, order, flag: Column, out: str = "seen") -> DataFrame:
     """W1 as a running window (one task per group; for bounded groups)."""
     from pyspark.sql import Window
-    w = (Window.partitionBy(*_cols(group)).orderBy(order)
+    w = (Window.partitionBy(*_cols(group)).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out, F.coalesce(F.max(F.when(flag, 1)).over(w), F.lit(0)))
 
 
-def running_flag_max(df: DataFrame, group, order: str, flag: Column, values: Sequence[str],
+def running_flag_max(df: DataFrame, group, order, flag: Column, values: Sequence[str],
                      default: float = -1) -> DataFrame:
     """A10: per group the maximum of each value, counted only from the first
     flagged row on (inclusive); ``default`` when no row qualifies."""
@@ -66,9 +91,11 @@ def position_in_group(df: DataFrame, group, order, out: str = "pos") -> DataFram
     return numbered.join(first, g).select(*df.columns, (F.col("_rn") - F.col("_first")).alias(out))
 
 
-def last_value(df: DataFrame, group, order: str, value: str, out: str) -> DataFrame:
-    """Value of the last row per group (``max_by``)."""
-    return df.groupBy(*_cols(group)).agg(F.max_by(F.col(value), F.col(order)).alias(out))
+def last_value(df: DataFrame, group, order, value: str, out: str) -> DataFrame:
+    """Value of the last row per group (order columns unique per row)."""
+    g = _cols(group)
+    last = _lex_extreme(df, g, _cols(order), F.max)
+    return last.groupBy(*g).agg(F.max(F.col(value)).alias(out))
 
 
 def stage_table(stage_values: DataFrame, group, stage: str, value: str,

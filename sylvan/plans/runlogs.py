@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sylvan.operators import runlogs as R
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path, shared_dir
+from sylvan.sources.files import LINE_ORDER
 from sylvan.sources.runlogs import resource_samples, stage_lines
 from sylvan.sources.tables import table
 
@@ -137,7 +138,7 @@ def runlog_max(spark, sf_dir):
     """gauges' maxima from the first idle sample of each run on."""
     s = resource_samples(spark, write_resource_logs(spark, sf_dir))
     out = R.running_flag_max(s, ["run", "dataset", "algo", "framework", "trees", "batch_size"],
-                             "line_order", F.col("gpu") == 0, ["gpu", "mem", "pyt"])
+                             LINE_ORDER, F.col("gpu") == 0, ["gpu", "mem", "pyt"])
     return out.select("dataset", "algo", "framework", "trees", "batch_size",
                       F.col("max_gpu"), F.col("max_mem"), F.col("max_pyt"))
 
@@ -157,7 +158,7 @@ def runlog_stage_times(spark, sf_dir):
     """Last value per stage and run, -1 when absent; total."""
     lines = stage_lines(spark, write_timing_logs(spark, sf_dir))
     g = ["run", "dataset", "algo", "framework", "trees", "batch_size"]
-    last = R.last_value(lines, g + ["stage"], "line_order", "value", "value")
+    last = R.last_value(lines, g + ["stage"], LINE_ORDER, "value", "value")
     wide = R.stage_table(last, g, "stage", "value", ["read", "infer", "write", "load"])
     return wide.drop("run")
 

@@ -89,18 +89,24 @@ def read_jdbc(spark: SparkSession, url: str, table_or_query: str, partition_colu
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and a line order key.
-
-    ``line_order`` = (file name, block start, position in the task): it
-    orders lines as they appear in a file, even when a big file is split
-    across tasks, and orders a log written as several part files by part
-    name.  The file path is percent-decoded.
+    """Text lines with their file and a two-part line order.
+
+    ``line_major`` = (part number of the file, split start in bytes) packed
+    in one long (a log written by Spark as several part files is ordered by
+    part number; up to 8 M parts and 1 TB per file); ``line_minor`` = the
+    row's place in its task.  Lines of one split are read by one task in
+    file order, so (major, minor) orders the lines of a log even when a big
+    file is split across tasks.  Both are longs, so aggregates over them
+    stay hash aggregates.  The file path is percent-decoded.
     """
     df = spark.read.text(path)
     path_col = F.url_decode(F.col("_metadata.file_path"))
-    return df.select(
-        path_col.alias("file_path"),
-        F.struct(F.col("_metadata.file_name").alias("file"),
-                 F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("pos")).alias("line_order"),
-        F.col("value").alias("line"))
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+                      .try_cast("long"), F.lit(0).cast("long"))
+    major = F.shiftleft(part, 40).bitwiseOR(F.col("_metadata.file_block_start"))
+    minor = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select(path_col.alias("file_path"), major.alias("line_major"), minor.alias("line_minor"),
+                     F.col("value").alias("line"))
+
+
+LINE_ORDER = ["line_major", "line_minor"]
