@@ -151,6 +151,15 @@ def score_sparse_long(spark, sf_dir):
     return out.select("vec_id", "score")
 
 
+@query("score_sparse_vectorised", _sql_sparse_fast())
+def score_sparse_vectorised(spark, sf_dir):
+    """F5 vectorised: used features pivoted to a narrow matrix, no densify."""
+    forest = grid_forest(spark, T_, D_, EMBEDDING_RANGES)
+    keys = table(spark, sf_dir, "embeddings", ["vec_id"])
+    out = S.score_sparse_vectorised(forest, sparse_entries(spark, sf_dir), "vec_id", absent=0.0, keys=keys)
+    return out.select("vec_id", "score")
+
+
 # --- batches (F12 batch form, A9 / F11) ---------------------------------------
 
 _SQL_BATCH_PREFIX_FEATS = sql_event_features(extra=", CAST(floor((row_number() OVER (ORDER BY e.event_id) - 1) / "

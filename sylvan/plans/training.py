@@ -166,6 +166,19 @@ def scan_libsvm(spark, sf_dir):
     return df.select("label", F.size(F.filter(dense, lambda v: v != 0)).cast("int").alias("nnz"))
 
 
+@query("scan_libsvm_long",
+       "SELECT CAST(label AS DOUBLE) AS label, "
+       "CAST(len(list_filter(embedding, lambda e: abs(e) > 0.2)) AS BIGINT) AS nnz, "
+       "CAST(list_position(list_transform(embedding, lambda e: abs(e) > 0.2), true) - 1 AS INTEGER) AS first_feature "
+       "FROM embeddings WHERE len(list_filter(embedding, lambda e: abs(e) > 0.2)) > 0")
+def scan_libsvm_long(spark, sf_dir):
+    """S6 sparse-native: libsvm lines to long entries, counted per row."""
+    from sylvan.sources.files import read_libsvm_long
+    long = read_libsvm_long(spark, write_libsvm_from_embeddings(spark, sf_dir))
+    return long.groupBy("row").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("nnz"),
+                                   F.min("feature").alias("first_feature")).drop("row")
+
+
 @query("sparse_to_dense")
 def sparse_to_dense(spark, sf_dir):
     """A sparse vector to its dense array (rows: label, width)."""

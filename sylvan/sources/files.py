@@ -66,6 +66,25 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
     return spark.read.format("libsvm").option("numFeatures", num_features).load(path)
 
 
+def read_libsvm_long(spark: SparkSession, path: str, one_based: bool = True) -> DataFrame:
+    """S6, sparse-native: libsvm text straight into long entries
+    ``(row, label, feature, value)`` -- never a dense or 1M-wide vector.
+
+    ``row`` identifies the line (file, split, place in the task); features
+    are 0-based in the output.
+    """
+    lines = read_text_lines(spark, path).where(F.trim(F.col("line")) != "")
+    tok = F.split(F.trim(F.col("line")), r"\s+")
+    rows = lines.select(F.struct("file_path", "line_major", "line_minor").alias("row"),
+                        F.get(tok, F.lit(0)).cast("double").alias("label"),
+                        F.slice(tok, 2, F.size(tok)).alias("pairs"))
+    shift = 1 if one_based else 0
+    pair = F.split(F.col("pair"), ":")
+    return (rows.select("row", "label", F.explode("pairs").alias("pair"))
+            .select("row", "label", (F.get(pair, F.lit(0)).cast("int") - shift).alias("feature"),
+                    F.get(pair, F.lit(1)).cast("double").alias("value")))
+
+
 def read_jdbc(spark: SparkSession, url: str, table_or_query: str, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, n_partitions: int | None = None,
               properties: dict | None = None) -> DataFrame:
