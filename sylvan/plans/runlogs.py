@@ -33,9 +33,9 @@ from sylvan.sources.tables import table
 
 # Number of derived runs and the names that label them.
 N_RUNS = 97
-DATASETS = ["higgs", "airline", "fraud", "year", "epsilon", "bosch", "covtype"]
-ALGOS = ["randomforest", "xgboost", "lightgbm"]
-FRAMEWORKS = ["Sklearn", "ONNX", "TreeLite", "HummingbirdPytorchCPU"]
+DATASETS = ["events", "orders", "lineitem", "customer", "part", "embeddings", "labels"]
+ALGOS = ["randomforest", "gbt", "grid"]
+FRAMEWORKS = ["vectorised", "relational", "expression", "mllib"]
 TREES = [10, 500, 1600]
 
 
