@@ -44,6 +44,9 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, algorithm:
     count limits and L2 are not available).
     ``positive_weighting``: weight positive rows by n / positives (A6).
     """
+    if df.isEmpty():
+        # an all-test split (train fraction 0) leaves nothing to fit
+        raise ValueError("the training table is empty (train fraction 0?)")
     if algorithm == "randomforest":
         require_no_nulls(df, features)
     data = assemble(_ordered(df, key), features)

@@ -37,3 +37,11 @@ def test_random_forest_rejects_missing(spark):
     x = event_features(spark, SF, missing=True).withColumn("y", F.lit(1.0))
     with pytest.raises(ValueError):
         train_forest(x, EVENT_FEATURES, "y", "randomforest", "classification", n_trees=2, max_depth=2)
+
+
+def test_empty_training_table_is_a_clear_error(spark):
+    from sylvan.operators.numbering import ordered_split
+    x = event_features(spark, SF).withColumn("y", F.lit(1.0))
+    train = ordered_split(x, "event_id", 0.0).where("split = 'train'")
+    with pytest.raises(ValueError, match="empty"):
+        train_forest(train, EVENT_FEATURES, "y", "gbt", "classification", n_trees=2, max_depth=2)
