@@ -19,18 +19,29 @@ def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
 
-def _lex_extreme(df: DataFrame, g: list[str], order: list[str], pick) -> DataFrame:
-    """Rows holding, per group, the smallest (``F.min``) or largest
-    (``F.max``) value of the order columns taken lexicographically.
-
-    One hash aggregate per order column, each followed by a semi join with
-    the (per-group) result: no sort, no struct-typed aggregate buffer.
+def _lex_extreme(df: DataFrame, g: list[str], order: list[str], pick,
+                 value: str | None = None) -> DataFrame:
+    """Per group, the smallest (``F.min``) or largest (``F.max``) value of
+    the order columns taken lexicographically -- and, with ``value``, that
+    row's value.
+
+    One hash aggregate per order column; the rows tied on the columns so
+    far are found with a semi join against the (per-group) result.  No
+    sort and no struct-typed aggregate buffer; ``len(order)`` passes over
+    ``df``.
     """
+    found = None
     cand = df
-    for c in order:
-        best = cand.groupBy(*g).agg(pick(F.col(c)).alias(c))
-        cand = cand.join(best, [*g, c], "left_semi")
-    return cand
+    for i, c in enumerate(order):
+        aggs = [pick(F.col(c)).alias(c)]
+        if value and i == len(order) - 1:
+            by = F.max_by if pick is F.max else F.min_by
+            aggs.append(by(F.col(value), F.col(c)).alias(value))
+        best = cand.groupBy(*g).agg(*aggs)
+        found = best if found is None else found.join(best, g)
+        if i < len(order) - 1:
+            cand = cand.join(best.select(*g, c), [*g, c], "left_semi")
+    return found
 
 
 def _after(order: list[str], firsts: list[str]) -> Column:
@@ -94,8 +105,8 @@ def position_in_group(df: DataFrame, group, order, out: str = "pos") -> DataFram
 def last_value(df: DataFrame, group, order, value: str, out: str) -> DataFrame:
     """Value of the last row per group (order columns unique per row)."""
     g = _cols(group)
-    last = _lex_extreme(df, g, _cols(order), F.max)
-    return last.groupBy(*g).agg(F.max(F.col(value)).alias(out))
+    last = _lex_extreme(df, g, _cols(order), F.max, value)
+    return last.select(*g, F.col(value).alias(out))
 
 
 def stage_table(stage_values: DataFrame, group, stage: str, value: str,
