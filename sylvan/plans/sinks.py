@@ -99,3 +99,18 @@ def insert_select_predict(spark, sf_dir):
     spark.sql(f"INSERT INTO {name} SELECT event_id, CAST(forest_predict_33(array(f0, f1, f2, f3)) > 0 AS INT) "
               f"FROM {view}")
     return spark.table(name)
+
+
+@query("observed_write_stats",
+       "SELECT CAST(count(*) AS BIGINT) AS n, sum(l_quantity) AS sum_qty, "
+       "CAST(count(DISTINCT l_returnflag) AS BIGINT) AS n_flags FROM lineitem")
+def observed_write_stats(spark, sf_dir):
+    """Row count and sums observed while the table is written (one pass);
+    the metrics come back as one row next to the written table."""
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"])
+    path = scratch_path(spark, "lineitem_copy")
+    got = W.write_parquet_observed(li, path, [F.count(F.lit(1)).alias("n"),
+                                              F.sum("l_quantity").alias("sum_qty")])
+    written = spark.read.parquet(path)
+    return written.agg(F.countDistinct("l_returnflag").cast("long").alias("n_flags")).select(
+        F.lit(int(got["n"])).cast("long").alias("n"), F.lit(float(got["sum_qty"])).alias("sum_qty"), "n_flags")

@@ -74,5 +74,14 @@ def write_runs_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def write_parquet_observed(df: DataFrame, path: str, metrics) -> dict:
+    """Write and count in the same pass (``observe``); returns the
+    observed metrics once the write has finished."""
+    from pyspark.sql import Observation
+    obs = Observation("write_stats")
+    df.observe(obs, *metrics).write.mode("overwrite").parquet(path)
+    return obs.get
+
+
 def keep_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)

@@ -37,4 +37,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_unique_name():
-    assert len(E.queries()) >= 76
+    assert len(E.queries()) >= 77
