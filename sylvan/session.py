@@ -43,14 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint folder).  Only when neither is set (local tests) a fresh
-    folder is created and registered, so later calls agree.
+    checkpoint folder).  Only when neither is set and the master is local
+    (tests) a fresh folder is created and registered, so later calls agree;
+    on a cluster an unset folder is an error, never a machine-local guess.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not be shared by the executors
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(HDFS, object store or a shared mount)")
         d = tempfile.mkdtemp(prefix="sylvan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
