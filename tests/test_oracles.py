@@ -38,3 +38,13 @@ def test_entry(spark):
 
 def test_every_query_has_unique_name():
     assert len(E.queries()) >= 77
+
+
+@pytest.mark.parametrize("name", ["datetime_split", "scan_csv_typed", "score_vectorised", "runlog_stage_times"])
+def test_time_zone_independent(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_matches_duckdb(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
