@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.functions.splits import split_sql
 from sylvan.operators.encode import category_codes
 from sylvan.operators.forest import GRID_STEPS, Forest, grid_forest
 from sylvan.sources.tables import table
@@ -106,9 +107,7 @@ def sql_walk_sums(x_sql: str, key: str, xs: str, n_trees: int, depth: int, range
     ``xs`` is the SQL list expression of the row's features, over alias x.
     """
     nodes = sql_grid_nodes(n_trees, depth, ranges, n_classes)
-    v = f"{xs}[n.feature + 1]"
-    rule = (f"CASE WHEN {v} IS NULL OR isnan({v}) THEN n.default_left "
-            f"WHEN n.op = 'lt' THEN {v} < n.threshold ELSE {v} <= n.threshold END")
+    rule = split_sql(f"{xs}[n.feature + 1]", "n.threshold", "n.op", "n.default_left")
     return (
         f"WITH RECURSIVE x AS ({x_sql}), nodes AS ({nodes}), "
         f"walk(k, tree_id, node_id) AS ("

@@ -6,8 +6,6 @@ caller passes its own; nothing is written to a machine-local folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +80,3 @@ def write_parquet_observed(df: DataFrame, path: str, metrics) -> dict:
     df.observe(obs, *metrics).write.mode("overwrite").parquet(path)
     return obs.get
 
-
-def keep_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)

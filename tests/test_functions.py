@@ -49,3 +49,36 @@ def test_batch_arithmetic(spark):
     assert r["b"] == 3
     rows = spark.range(2501).select(C.batch_of("id", 1000).alias("b")).groupBy("b").count().collect()
     assert sorted((r["b"], r["count"]) for r in rows) == [(0, 1000), (1, 1000), (2, 501)]
+
+
+def test_encode_all_text_and_json_struct(spark):
+    from sylvan.operators.encode import encode_all_text
+    df = spark.createDataFrame([(1, "x", "p", '{"n_estimators": 10, "max_depth": 8}'),
+                                (2, "y", "p", '{"n_estimators": 500}')],
+                               "k int, a string, b string, params string")
+    coded = encode_all_text(df, exclude=("params",))
+    assert {f.name: f.dataType.simpleString() for f in coded.schema.fields}["a"] == "int"
+    rows = {r["k"]: r for r in coded.select(
+        "k", "a", "b", C.json_struct("params", "n_estimators int, max_depth int").alias("hp"),
+        C.json_field("params", "$.max_depth").alias("depth")).collect()}
+    assert (rows[1]["a"], rows[2]["a"], rows[1]["b"]) == (0, 1, 0)
+    assert rows[1]["hp"]["n_estimators"] == 10 and rows[2]["hp"]["max_depth"] is None
+    assert rows[1]["depth"] == 8 and rows[2]["depth"] is None
+
+
+def test_runs_csv_append_keeps_every_row(spark):
+    from sylvan.session import scratch_path
+    from sylvan.sinks.writers import write_runs_csv
+    path = scratch_path(spark, "runs_csv")
+    for i in range(2):
+        write_runs_csv(spark.createDataFrame([("events", i, 1.5 * i)], "dataset string, run int, total double"), path)
+    back = spark.read.option("header", True).schema("dataset string, run int, total double").csv(path)
+    assert sorted(r["run"] for r in back.collect()) == [0, 1]
+
+
+def test_cluster_conf_sizes_partitions():
+    from sylvan.session import cluster_conf
+    c = cluster_conf(100 * 2 ** 40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(10 ** 6, 16)["spark.sql.shuffle.partitions"]) == 32
