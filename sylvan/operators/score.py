@@ -168,18 +168,23 @@ def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
 
 
 def score_relational(forest: Forest, df: DataFrame, key: str, features,
-                     carry: Sequence[str] = (), max_group_nodes: int = MAX_GROUP_NODES) -> DataFrame:
+                     carry: Sequence[str] = (), max_group_nodes: int = MAX_GROUP_NODES,
+                     key_is_unique: bool = False) -> DataFrame:
     """Relation-centric scoring.
 
-    The per-row aggregate groups on an internal row id (unique by
-    construction, fixed per input partition), not on ``key``: a key that
+    By default the per-row aggregate groups on an internal row id (unique
+    by construction, fixed per input partition), not on ``key``: a key that
     repeats -- or one value holding a third of the table -- can neither
-    merge rows nor skew the aggregate.
+    merge rows nor skew the aggregate.  With ``key_is_unique=True`` it
+    groups on ``key`` itself, so an input already partitioned on the key
+    (bucketed table, earlier ``repartition(key)``) is aggregated with no
+    exchange at all.
     """
     meta = forest.meta
     carry = list(carry)
+    rid = F.col(key) if key_is_unique else F.monotonically_increasing_id()
     x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"),
-                  F.monotonically_increasing_id().alias("_rid"))
+                  rid.alias("_rid"))
     parts = []
     for a, b in tree_groups(meta, max_group_nodes):
         g_nodes = forest.nodes.where(F.col("tree_id").between(a, b - 1))

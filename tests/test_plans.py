@@ -54,3 +54,17 @@ def test_category_dictionary_is_broadcast(spark):
     part = table(spark, SF, "part", ["p_partkey", "p_brand"])
     plan = _plan(category_codes(part, "p_brand", out="code"))
     assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+
+
+def test_relational_reuses_key_partitioning(spark):
+    x = event_features(spark, SF).repartition(8, "event_id")
+    f = events_forest(spark, 10, 4)
+    df = S.score_relational(f, x, "event_id", EVENT_FEATURES, key_is_unique=True)
+    plan = _plan(df)
+    # the only hash exchange on the key is the caller's repartition
+    assert plan.count("hashpartitioning(event_id") == 1
+    assert "hashpartitioning(_rid" not in plan
+    base = S.score_vectorised(f, event_features(spark, SF), "event_id", EVENT_FEATURES)
+    a = {r[0]: r[1] for r in df.select("event_id", "score").collect()}
+    b = {r[0]: r[1] for r in base.select("event_id", "score").collect()}
+    assert a == b
