@@ -43,6 +43,12 @@ MAX_EXPRESSION_NODES = 20_000
 MAX_GROUP_NODES = 200_000
 # Trees walked together by one vectorised step (bounds a batch's memory).
 VECTOR_TREE_CHUNK = 128
+# A small input (by the optimizer's size estimate) that meets a heavy forest
+# is spread over all task slots before the Python walk: a small table stored
+# as one row group would otherwise be scored by a single task.  Large inputs
+# already have more splits than slots and are never reshuffled.
+SPREAD_INPUT_BYTES = 1 << 30
+SPREAD_WORK = 256          # n_trees * max_depth per row
 
 
 # ---------------------------------------------------------------------------
@@ -324,6 +330,15 @@ def _sum_schema(key_field: T.StructField, meta: ForestMeta) -> T.StructType:
     return T.StructType([key_field] + [T.StructField(c, T.DoubleType()) for c in _sum_columns(meta)])
 
 
+def _spread_small_heavy(x: DataFrame, meta: ForestMeta) -> DataFrame:
+    if meta.n_trees * meta.max_depth < SPREAD_WORK:
+        return x
+    size = int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_INPUT_BYTES:
+        return x
+    return x.repartition(x.sparkSession.sparkContext.defaultParallelism)
+
+
 def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = ()) -> DataFrame:
     meta = forest.meta
@@ -340,7 +355,7 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
         fcols = [F.get(F.col(features), F.lit(i)).cast("double").alias(f"_f{i}") for i in range(width)]
     else:
         fcols = [c.cast("double").alias(f"_f{i}") for i, c in enumerate(_feature_cols(features))]
-    x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
+    x = _spread_small_heavy(df.select(F.col(key), *[F.col(c) for c in carry], *fcols), meta)
     names = [f"_f{i}" for i in range(len(fcols))]
     schema = _sum_schema(x.schema[key], meta)
     for c in carry:
