@@ -469,10 +469,11 @@ def score_expression(forest: Forest, df: DataFrame, key: str, features,
 
 def score_mllib(model, df: DataFrame, key: str, features: Sequence[str],
                 task: str = "classification") -> DataFrame:
+    """assemble the feature vector and run the model's ``transform``
+    (the model is broadcast to the executors by MLlib)."""
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    m = model.copy({model.featuresCol: "_features"}) if hasattr(model, "featuresCol") else model
-    m = m.setFeaturesCol("_features").setPredictionCol("_prediction")
+    m = model.copy().setFeaturesCol("_features").setPredictionCol("_prediction")
     out = m.transform(va.transform(df.select(F.col(key), *[F.col(c) for c in features])))
     pred = F.col("_prediction").cast("int") if task == "classification" else F.col("_prediction")
     return out.select(F.col(key), pred.alias("prediction"))
