@@ -80,7 +80,11 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
         F.when(leaf, n["prediction"]).alias("value"),
         counts.alias("class_counts"),
     ).join(weights, "tree_id").select(*NODE_COLUMNS)
-    counts_row = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("treeID").alias("t")).first()
+    counts_row = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("treeID").alias("t"),
+                          F.count_if(n["split"]["numCategories"] > 0).alias("categorical")).first()
+    if counts_row["categorical"]:
+        # left-category sets are not thresholds; refuse rather than mis-score
+        raise ValueError("the model has categorical splits; only continuous splits are supported")
     meta = ForestMeta(n_trees=int(counts_row["t"]), max_depth=int(params.get("maxDepth", 5)),
                       n_nodes=int(counts_row["n"]), n_features=n_features, task=task,
                       combine=combine, n_classes=n_classes, margin_scale=scale)
