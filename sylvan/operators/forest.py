@@ -83,8 +83,9 @@ class Forest:
         if self.meta.n_nodes > max_nodes:
             raise ValueError(f"forest has {self.meta.n_nodes} nodes, above the "
                              f"shipping bound {max_nodes}")
-        rows = (self.nodes.select(*NODE_COLUMNS).orderBy("tree_id", "node_id")
-                .toPandas())
+        # the relation is model-sized and bounded above: sort it where it lands
+        rows = (self.nodes.select(*NODE_COLUMNS).toPandas()
+                .sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True))
         return arrays_from_pandas(rows, self.meta)
 
 
