@@ -171,6 +171,23 @@ def stage_totals(spark, sf_dir):
                                                     "total")
 
 
+def _profile_sql() -> str:
+    from sylvan.plans.registry import REGISTRY
+    mx, st = REGISTRY["runlog_max"][1], REGISTRY["runlog_stage_times"][1]
+    return (f"SELECT m.dataset, m.algo, m.framework, m.trees, m.batch_size, m.max_gpu, m.max_mem, m.max_pyt, "
+            f"s.load, s.read, s.write, s.infer, s.total FROM ({mx}) m JOIN ({st}) s "
+            f"USING (dataset, algo, framework, trees, batch_size)")
+
+
+@query("run_profile", _profile_sql())
+def run_profile(spark, sf_dir):
+    """K10 wide profile table: per run the gauges' maxima next to the stage
+    times and their total (one row per run)."""
+    keys = ["dataset", "algo", "framework", "trees", "batch_size"]
+    return runlog_max(spark, sf_dir).join(runlog_stage_times(spark, sf_dir), keys).select(
+        *keys, "max_gpu", "max_mem", "max_pyt", "load", "read", "write", "infer", "total")
+
+
 # --- the same operators straight on events -------------------------------------
 
 @query("running_flag_max",
