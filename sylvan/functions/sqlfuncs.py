@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from sylvan.operators.forest import Forest
 from sylvan.operators.score import walk_arrays
+from sylvan.session import ship_package
 
 
 def _combined(a: dict, meta, X: np.ndarray) -> np.ndarray:
@@ -54,6 +55,7 @@ def _stack(series: pd.Series, width: int) -> np.ndarray:
 def register_forest_predict(spark: SparkSession, forest: Forest, name: str = "forest_predict"):
     """Register ``name(array<double>) -> double`` for SQL use."""
     a = forest.to_arrays()
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(a)
     meta = forest.meta
     width = meta.n_features
@@ -74,6 +76,7 @@ def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col:
     array and are zipped back to their keys.
     """
     a = forest.to_arrays()
+    ship_package(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast(a)
     meta = forest.meta
     width = meta.n_features

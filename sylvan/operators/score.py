@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from sylvan.functions.splits import goes_left, goes_left_np
 from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest, ForestMeta
+from sylvan.session import ship_package
 
 # Largest forest turned into one compiled expression.
 MAX_EXPRESSION_NODES = 20_000
@@ -348,6 +349,7 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
         return score_relational(forest, df, key, features, carry)
     arrays = forest.to_arrays()
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(arrays)
     if isinstance(features, str):
         # unpack the array JVM-side so Python gets plain columns
@@ -389,6 +391,7 @@ def score_with_function(df: DataFrame, key: str, features: Sequence[str], predic
     Arrow batch with ``mapInPandas``.  The function is shipped with the
     task closure, so it must be picklable and model-sized."""
     carry = list(carry)
+    ship_package(df.sparkSession)
     fcols = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
     x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
     names = [f"_f{i}" for i in range(len(fcols))]

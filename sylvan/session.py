@@ -92,3 +92,27 @@ def cluster_conf(input_bytes: int, total_cores: int,
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sylvan`` importable in the Python workers (once per context).
+
+    Plans with Python closures (mapInPandas, pandas UDFs) unpickle
+    ``sylvan`` functions on the executors; the package is zipped on the
+    driver and handed to ``addPyFile``, which Spark distributes to every
+    executor -- the programmatic form of ``--py-files``.
+    """
+    sc = spark.sparkContext
+    ident = sc.applicationId
+    if ident in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="sylvan-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "sylvan"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="sylvan")
+    sc.addPyFile(archive)
+    _SHIPPED.add(ident)
