@@ -1,0 +1,261 @@
+"""Packing, near and substring dedup, quality and secrets against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from sylvan.llm import components, neardup, packing, quality, secrets, substrdup
+
+import fixture
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def whole_ids(text):
+    from tokenizers import Tokenizer
+    tok = whole_ids.tok = getattr(whole_ids, "tok", None) or Tokenizer.from_file(packing.tokenizer_path())
+    return tok.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["don't", "x<|endoftext|>y", "É", "é", "́", "ΑΣ", "12a", "\x1c", "\x85", " ", " ", "\n"]), max_size=12).map(" ".join))
+def test_words_encode_as_the_text_does(text):
+    ids = np.frombuffer(packing.encoder(packing.TOKENIZER)(text), dtype="<u4").tolist()
+    assert ids == whole_ids(text)
+
+
+def test_pack_round_trip(spark):
+    data = fixture.rows()
+    pieces = packing.pack(spark, fixture.frame(spark), width=128).collect()
+    docs = defaultdict(list)
+    seqs = defaultdict(list)
+    for p in pieces:
+        docs[p.doc_id].append(p)
+        seqs[p.sequence_id].append(p)
+        assert len(p.ids) == 4 * p.length
+    assert sorted(seqs) == list(range(len(seqs)))
+    for s, ps in seqs.items():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 128 or s == len(seqs) - 1
+    want = Counter()
+    for r in data:
+        ids = np.asarray(whole_ids(r[1] or "") + [1], dtype="<u4").tobytes()
+        want[(r[0], ids)] += 1
+    got = Counter()
+    for i, ps in docs.items():
+        if i is not None and sum(k[0] == i for k in want) == 1 and sum(v for k, v in want.items() if k[0] == i) == 1:
+            ps = sorted(ps, key=lambda p: p.start)
+            whole = b"".join(p.ids for p in ps)
+            assert [p.start for p in ps] == [sum(q.length for q in ps[:k]) for k in range(len(ps))]
+            assert all(p.doc_tokens * 4 == len(whole) for p in ps)
+            got[(i, whole)] += 1
+    assert got and all(want[k] == 1 for k in got)
+    assert sum(p.length for p in pieces) == sum(len(k[1]) // 4 * v for k, v in want.items())
+    full = {r.sequence_id: r for r in packing.sequences(packing.pack(spark, fixture.frame(spark), width=128)).collect()}
+    assert all(len(r.ids) == 4 * r.length == (512 if k < max(full) else len(r.ids)) for k, r in full.items())
+
+
+def simhash_brute(text):
+    import xxhash
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    sh = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closure(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_near_duplicates(spark):
+    data = fixture.rows()
+    out = neardup.near_duplicates(spark, fixture.frame(spark)).collect()
+    prints = [(r[0], simhash_brute(r[1])) for r in data]
+    assert Counter((r.doc_id, r.fingerprint) for r in out) == Counter((i, f"{f:016x}") for i, f in prints)
+    fs = {f for _, f in prints}
+    root = closure(fs, [(a, b) for a in fs for b in fs if a < b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for i, f in prints:
+        if i is not None:
+            least[root[f]] = min(least.get(root[f], i), i)
+    assert all(r.component_id == least.get(root[int(r.fingerprint, 16)]) for r in out)
+    docs = fixture.frame(spark)
+    stay = neardup.unique_documents(spark, docs)
+    assert stay.columns == docs.columns and Counter(root[simhash_brute(r.text)] for r in stay.collect()) == Counter(set(root.values()))
+
+
+@pytest.mark.parametrize("crowd", [64, 3, 0])
+def test_links_lose_none(spark, crowd):
+    """Families of close fingerprints, with the crowd limit on either side of their size."""
+    rng = random.Random(3)
+    fs = set()
+    for _ in range(12):
+        f = rng.getrandbits(64)
+        for _ in range(25):
+            fs.add(f)
+            f ^= 1 << rng.randrange(64)
+            if rng.random() < .5:
+                f ^= 1 << rng.randrange(64)
+            if rng.random() < .2:
+                f ^= rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fs]
+    df = spark.createDataFrame([(f,) for f in signed], "f long")
+    got = neardup.links(spark, df, crowd=crowd).collect()
+    ok = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+    assert all(ok(r.u, r.v) for r in got)
+    want = closure(signed, [(a, b) for a in signed for b in signed if a < b and ok(a, b)])
+    assert closure(signed, [(r.u, r.v) for r in got]) == want
+    comp = {r.node: r.root for r in components.components(spark, neardup.links(spark, df, crowd=crowd)).collect()}
+    assert all(comp.get(f, f) == want[f] for f in signed)
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = components.components(spark, e.union(spark.createDataFrame([(1000, 1001), (1001, 1000), (7, 7)], "u long, v long")))
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(301)} | {(1000, 1000), (1001, 1000)}
+
+
+def removed_brute(data, width=13):
+    starts = defaultdict(set)
+    words = [WORDS.findall(r[1] or "") for r in data]
+    order = [float("inf") if r[0] is None else r[0] for r in data]
+    for k, w in enumerate(words):
+        for i in range(len(w) - width + 1):
+            starts[tuple(w[i:i + width])].add(order[k])
+    out = []
+    for k, w in enumerate(words):
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if min(starts[tuple(w[i:i + width])]) < order[k]:
+                gone |= set(range(i, i + width))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((data[k][0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("max_bits,flush", [(28, 3_000_000), (12, 200)])
+def test_substring_dedup(spark, monkeypatch, max_bits, flush):
+    """Also with a sketch far too small and many flushes: nothing is lost."""
+    monkeypatch.setattr(substrdup, "FLUSH", flush)
+    out = substrdup.substring_dedup(spark, fixture.frame(spark), max_bits=max_bits).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert Counter(map(tuple, out.collect())) == removed_brute(fixture.rows())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=300))
+def test_cell_coding(cells):
+    c = np.sort(np.array(cells, dtype=np.uint32))
+    assert substrdup.decode_cells(substrdup.encode_cells(c)).tolist() == c.tolist()
+
+
+def test_sketch_never_underestimates():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    h = np.concatenate([h, h[:50]])
+    parts = substrdup._blocks([h], 14, 12)
+    for r in (0, 1):
+        counts = Counter()
+        for b, cells in parts.loc[parts.r == r, ["block", "cells"]].itertuples(index=False):
+            counts.update((int(c) + (b << 12)) for c in substrdup.decode_cells(cells))
+        assert all(counts[int(c)] >= 2 for c in substrdup._cells(h[:50], r, 14))
+
+
+def repeats_brute(w):
+    seen = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    return len({i + j for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for j in range(3)})
+
+
+def test_quality(spark):
+    data = fixture.rows()
+    got = Counter(map(tuple, quality.quality_report(spark, fixture.frame(spark)).collect()))
+    want = Counter()
+    for r in data:
+        t = r[1] or ""
+        w = WORDS.findall(t)
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        dup = sum(x in lines[:i] for i, x in enumerate(lines))
+        rep, sym = repeats_brute(w), len(re.findall(r"[#*$%&|<>]", t))
+        chars = sum(map(len, w))
+        failed = len(w) < 50 or 100 * rep > 50 * len(w)
+        ok = not failed and 2 * len(w) <= chars <= 15 * len(w) and 100 * sym <= 10 * len(w) and 100 * dup <= 30 * len(lines)
+        want[(r[0], len(w), chars, sym, dup, rep, failed, ok)] += 1
+    assert got == want
+    docs = fixture.frame(spark)
+    stay = quality.passing(spark, docs)
+    assert stay.columns == docs.columns and stay.count() == sum(v for k, v in want.items() if k[-1])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30))
+def test_repeat_words(words):
+    assert quality.Stats(" ".join(words)).n_repeat_words == repeats_brute(words)
+
+
+def test_cascade_order_is_by_rejection_per_cost(spark):
+    docs = spark.createDataFrame([(i, "word " * 60) for i in range(50)] + [(99, "#" * 50)], "doc_id long, text string")
+    rated = quality.measure(spark, docs)
+    assert [r[2] / max(r[1], 1e-9) for r in rated] == sorted((r[2] / max(r[1], 1e-9) for r in rated), reverse=True)
+    assert {r[0] for r in rated} == set(quality.RULES)
+
+
+def base_brute(t):
+    out = [(m.start(), m.end(), "assign") for m in re.finditer(
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
+    out += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return out + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+
+
+SECRET = "q7Zx9LpW2vKf8RtY4mNs6BdH1cJg3QaE5uTw0XiO"
+
+
+def test_secrets(spark):
+    digest = hashlib.sha1(b"x").hexdigest()
+    texts = [None, "", f"Token = '{digest}' and API_KEY: abcdefgh pass", "AKIA" + "B7" * 8 + " AKIAX", f"key {SECRET} end", f"sha {digest[:32]}",
+             "password=short", "😀 secret:'abcd-efgh_1'", f"id 123e4567-e89b-12d3-a456-426614174000 x@{SECRET}.com", "some_long_identifier_name_here THIS_IS_FINE_TOO_AND_LONG"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.scan(spark, docs).collect()}
+    for i, t in enumerate(texts):
+        base = base_brute(t or "")
+        assert out[i].base_sha256 == hashlib.sha256(secrets.listed(base).encode()).hexdigest(), i
+        assert (out[i].n_assign, out[i].n_access, out[i].n_hex) == tuple(sum(k == b[2] for b in base) for k in secrets.KINDS[:3])
+        assert set(secrets.listed(base).split(",")) - {""} <= set(out[i].spans.split(","))
+    assert out[4].spans == f"random:4:{4 + len(SECRET)}" and out[8].spans == "" and out[9].spans == ""
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "TOKEN", "=", ":", " ", "'", '"', "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKL", "x", "\n", "api_key", "é", "."]), max_size=14).map("".join))
+def test_base_spans(text):
+    assert sorted(secrets.base_spans(text)) == sorted(base_brute(text))
+
+
+def test_empty_tables(spark):
+    docs = fixture.empty(spark)
+    for df in (packing.pack(spark, docs), neardup.near_duplicates(spark, docs), neardup.unique_documents(spark, docs),
+               substrdup.substring_dedup(spark, docs), quality.quality_report(spark, docs), quality.passing(spark, docs), secrets.scan(spark, docs)):
+        assert df.count() == 0
+
+
+def test_crc_of_pieces(spark):
+    p = packing.pack(spark, fixture.frame(spark)).select("ids", F.crc32("ids").alias("c")).collect()
+    assert all(crc32(r.ids) == r.c for r in p)
