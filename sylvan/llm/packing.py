@@ -20,6 +20,8 @@ columns are never read. A document's ids are held by one task, as its text is.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ from sylvan.llm.common import materialise, text_or_empty, workers_ready
 WIDTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
+_TAIL = ".,!?;:"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,6 +44,42 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """word -> little-endian uint32 ids, encoded when first asked for.
+
+    Most words are letters with punctuation after them. The tokenizer
+    lower-cases these, parts letters from punctuation, and gives either to its
+    model; asking the model for the letters alone skips the steps that change
+    nothing. Every other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, tok):
+        from tokenizers import pre_tokenizers
+        self.tok, self.model = tok, tok.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def whole(self, word: str) -> bytes:
+        return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        low = core.lower()
+        # a final sigma is lower-cased by its place, a decomposed letter is composed first
+        if low.isalpha() and "\u03a3" not in core and (low.isascii() or unicodedata.is_normalized("NFC", core)):
+            tail = word[len(core):]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            if not low.isascii():
+                low = self.as_bytes.pre_tokenize_str(low)[0][0]
+            ids = [t.id for t in self.model.tokenize(low)]
+            out = struct.pack(f"<{len(ids)}I", *ids) + self.tails[tail]
+        else:
+            out = self.whole(word)
+        self[word] = out
+        return out
+
+
 class WordEncoder:
     """text -> little-endian uint32 ids, a word at a time."""
 
@@ -48,24 +87,13 @@ class WordEncoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(tokenizer_path(name))
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(Tokenizer.from_file(tokenizer_path(name)))
 
     def __call__(self, text: str) -> bytes:
-        words = _WORDS(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        distinct = list(dict.fromkeys(w for w in words if w not in known))
-        for lo in range(0, len(distinct), 4096):
-            part = distinct[lo:lo + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.known.tails = {"": b""}
+        return b"".join(map(self.known.__getitem__, _WORDS(text)))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
