@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +43,7 @@ DOCS, RUN_WORDS = 3000, 120
 SPAN, SPANS, EPOCHS, STEP = 12, 4, 8, 0.5
 BUCKETS = 1 << 16
 LEXICON_LEAST = 5
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Words of the padded batches in which texts are labelled side by side.
 BATCH_WORDS = 400_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -54,15 +55,19 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a lower-case word."""
-    n = len(word)
-    names = [f"p{word[:k]}" for k in (1, 2, 3) if k <= n] + [f"s{word[-k:]}" for k in (1, 2, 3) if k <= n]
-    edged = f"^{word}$"
-    names += [edged[i:i + 3] for i in range(n)]
-    names += [f"b{word[i:i + 2]}" for i in range(n - 1)]
+    """Hashed features of a lower-case word: affixes, bigrams and trigrams of its bytes, the lexicon's word.
+
+    The second argument of crc32 keeps the kinds of feature apart.
+    """
+    b = word.encode()
+    edged = b"^" + b + b"$"
+    n = len(b)
+    out = [crc32(b[:k], 1) for k in (1, 2, 3)] + [crc32(b[-k:], 2) for k in (1, 2, 3)]
+    out += [crc32(edged[i:i + 3], 3) for i in range(n)]
+    out += [crc32(b[i:i + 2], 4) for i in range(n - 1)]
     if word in lexicon:
-        names += [f"w{word}", f"l{lexicon[word]}"]
-    return [crc32(x.encode()) % BUCKETS for x in set(names)]
+        out += [crc32(b, 5), crc32(b"%d" % lexicon[word], 6)]
+    return [x % BUCKETS for x in out]
 
 
 class Crf:
@@ -76,9 +81,13 @@ class Crf:
         self.moves = np.zeros((n, n), dtype=np.float64)
         self.lexicon: dict[str, int] = {}
 
-    def emission(self, word: str) -> np.ndarray:
-        f = features(word, self.lexicon)
-        return self.weights[f].sum(axis=0) / np.sqrt(len(f))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, L) emission scores."""
+        lists = [features(w, self.lexicon) for w in words]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum()))
+        return np.add.reduceat(self.weights[flat], at, axis=0) / np.sqrt(sizes)[:, None]
 
 
 def _forward_backward(e: np.ndarray, start: np.ndarray, moves: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +175,18 @@ def train(runs: list[tuple[list[str], int]], labels: list[str], seed: int = 7) -
     return crf
 
 
+class _Numbers(dict):
+    """word -> its row among the emission factors; new words wait in ``pending``."""
+
+    def __init__(self):
+        self.pending: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.pending.append(word)
+        return k
+
+
 class Labeller:
     """Language shares of texts under a chain; remembers words' factors in bounded space."""
 
@@ -175,22 +196,16 @@ class Labeller:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.rows = np.empty((1024, len(self.crf.labels)), dtype=np.float32)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        number = self.number
-        try:
-            return np.array([number[w] for w in words], dtype=np.int32)
-        except KeyError:
-            pass
-        for w in words:
-            if w not in number:
-                k = number[w] = len(number)
-                if k == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                self.rows[k] = _factors(self.crf.emission(w))
-        return np.array([number[w] for w in words], dtype=np.int32)
+        self.number = _Numbers()
+        self.rows = np.empty((0, len(self.crf.labels)), dtype=np.float32)
+
+    def factors(self) -> np.ndarray:
+        """The factors of every word numbered so far."""
+        for lo in range(0, len(self.number.pending), 20_000):
+            more = _factors(self.crf.emissions(self.number.pending[lo:lo + 20_000])).astype(np.float32)
+            self.rows = np.concatenate([self.rows, more])
+        self.number.pending.clear()
+        return self.rows
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """(texts, L): mean posterior over the words of each text; zeros for no words."""
@@ -205,10 +220,10 @@ class Labeller:
                 self.reset()
             ids = np.zeros((longest, len(group)), dtype=np.int32)
             for j, i in enumerate(group):
-                ids[:len(texts[i]), j] = self.numbers(texts[i])
+                ids[:len(texts[i]), j] = np.fromiter(map(self.number.__getitem__, texts[i]), dtype=np.int32, count=len(texts[i]))
             lens = np.array([len(texts[i]) for i in group])
             active = np.searchsorted(-lens, -np.arange(longest), side="left")
-            alpha, beta = _forward_backward(self.rows[ids], self.start, self.moves, active)
+            alpha, beta = _forward_backward(self.factors()[ids], self.start, self.moves, active)
             alpha *= beta
             alpha[np.arange(longest)[:, None] >= lens[None, :]] = 0
             sums = alpha.sum(axis=2, keepdims=True)
