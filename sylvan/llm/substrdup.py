@@ -45,28 +45,33 @@ MAX_BITS, BLOCK_BITS = 28, 16
 FLUSH = 3_000_000
 #: Windows estimated repeated that one second-pass task should meet.
 PER_BUCKET = 1_000_000
+#: Second-pass groups at least, so that many tasks share them at any size.
+LEAST_BUCKETS = 128
 REMEMBERED = 150_000
 _LAST_ID = (1 << 63) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROW2 = np.uint64(0xD6E8FEB86659FD93)
-_KNOWN: dict[bytes, int] = {}
+
+
+class _Known(dict):
+    """word -> its 64-bit hash, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
+_KNOWN = _Known()
 
 
 def window_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    from xxhash import xxh64_intdigest
     n = len(words) - width + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
-    known = _KNOWN
-    if len(known) > REMEMBERED:
-        known.clear()
-    try:
-        a = np.array([known[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxh64_intdigest(w)
-        a = np.array([known[w] for w in words], dtype=np.uint64)
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+    a = np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
     h = a[:n].copy()
     for k in range(1, width):
         h *= _STEP
@@ -255,7 +260,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, key="doc_id", text="te
     # a window needs a word and a space at least; about six bytes a word are usual
     may_be = (docs.select(F.sum(F.octet_length(raw))).first()[0] or 0) // 6 + 1
     bits = min(max_bits, max(12, (2 * may_be - 1).bit_length()))
-    buckets = 1 << max(3, (may_be // (2 * PER_BUCKET)).bit_length())
+    buckets = max(LEAST_BUCKETS, 1 << (may_be // (2 * PER_BUCKET)).bit_length())
     twice = repeated_cells(spark, texts, bits, width)
     gone = removable(spark, texts, twice, bits, buckets, width).groupBy("doc").agg(F.collect_list("hs").alias("hs"))
     kind = docs.schema[key].dataType.simpleString()
