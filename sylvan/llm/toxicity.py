@@ -77,25 +77,23 @@ def segments(at: np.ndarray, scores: np.ndarray, cost: float = COST) -> list[tup
     return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
-class Scorer:
+class Scorer(dict):
     """Token scores of a lexicon, remembered per word in bounded space."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        s = self[word] = max(self.lexicon.get(f, 0.0) for f in token_features(word))
+        return s
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, lexicon = self.known, self.lexicon
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            s = np.array([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = max(lexicon.get(f, 0.0) for f in token_features(w))
-            s = np.array([known[w] for w in words])
-        at = np.flatnonzero(s > 0) if len(s) else np.empty(0, dtype=int)
-        return at, s[at] if len(at) else np.empty(0)
+        """(positions, scores) of the tokens that have evidence."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        s = np.fromiter(map(self.__getitem__, words), dtype=float, count=len(words))
+        at = np.flatnonzero(s > 0)
+        return at, s[at]
 
 
 class Model:
