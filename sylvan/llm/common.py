@@ -50,3 +50,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def workers_ready(spark: SparkSession) -> None:
     """Python closures below import ``sylvan`` on the executors."""
     ship_package(spark)
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks: one thing at a time.
+
+    Workers are reused by later stages; an operator that begins drops what the
+    one before it remembered, so a worker's memory is that of one operator.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -26,6 +26,7 @@ never inputs of a prediction. A text is held whole by one task.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import id_crc32, text_or_empty, workers_ready
+from sylvan.llm.common import held, id_crc32, text_or_empty, workers_ready
 
 #: Bounds of the sample: documents, words of each.
 DOCS, RUN_WORDS = 3000, 120
@@ -43,9 +44,11 @@ DOCS, RUN_WORDS = 3000, 120
 SPAN, SPANS, EPOCHS, STEP = 12, 4, 8, 0.5
 BUCKETS = 1 << 16
 LEXICON_LEAST = 5
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words of the padded batches in which texts are labelled side by side.
 BATCH_WORDS = 400_000
+#: Texts whose words a worker holds at once.
+TEXTS = 1000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
 
@@ -232,9 +235,6 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def held_out(key: str = "doc_id") -> Column:
     return id_crc32(key) % 5 == 0
 
@@ -267,24 +267,20 @@ def fit(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", lang="l
 
 def predict(spark: SparkSession, docs: DataFrame, crf: Crf | None, key="doc_id", text="text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
-    import uuid
     mark = uuid.uuid4().hex
     model = spark.sparkContext.broadcast(crf)  # BUCKETS x languages weights and the sample's lexicon
     undecided = UNKNOWN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = model.value
-        if crf is not None and mark not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[mark] = Labeller(crf)
         for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                p = pdf.iloc[lo:lo + 2000]
+            for lo in range(0, len(pdf), TEXTS):
+                p = pdf.iloc[lo:lo + TEXTS]
                 texts = [words_of(t) for t in p["text"]]
                 if crf is None:
                     pred, score = [undecided] * len(p), [0.0] * len(p)
                 else:
-                    shares = _LABELLERS[mark].shares(texts)
+                    shares = held(mark, lambda: Labeller(crf)).shares(texts)
                     best = shares.argmax(axis=1)
                     pred = [crf.labels[k] if w else undecided for k, w in zip(best, texts)]
                     score = np.clip(shares.max(axis=1), 0.0, 1.0)
@@ -311,15 +307,12 @@ def accepted(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", la
     crf = fit(spark, docs, key, text, lang)
     if crf is None:
         return docs.where(F.lit(False))
-    import uuid
     mark, model = uuid.uuid4().hex, spark.sparkContext.broadcast(crf)
 
     @F.pandas_udf("double")
     def share(texts: pd.Series) -> pd.Series:
-        if mark not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[mark] = Labeller(model.value)
-        out = [_LABELLERS[mark].shares([words_of(t) for t in texts.iloc[lo:lo + 2000]]).max(axis=1) for lo in range(0, len(texts), 2000)]
+        labeller = held(mark, lambda: Labeller(model.value))
+        out = [labeller.shares([words_of(t) for t in texts.iloc[lo:lo + TEXTS]]).max(axis=1) for lo in range(0, len(texts), TEXTS)]
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return docs.where(share(F.col(text).cast("string")) >= least)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from sylvan.llm.common import materialise, text_or_empty, workers_ready
+from sylvan.llm.common import held, materialise, text_or_empty, workers_ready
 
 WIDTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -96,14 +96,9 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, _WORDS(text)))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(name: str) -> WordEncoder:
     """One encoder per worker process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]
+    return held(("encoder", name), lambda: WordEncoder(name))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", tokenizer=TOKENIZER, end_id=END_ID) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import text_or_empty, workers_ready
+from sylvan.llm.common import held, text_or_empty, workers_ready
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,18 +40,18 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_/=+-]*")
 _DIGEST_CHARS = (32, 40, 48, 56, 64, 96, 128)
-_ENCODINGS: dict[str, object] = {}
 
 
 def encoding(name: str = VOCABULARY):
     """One vocabulary per worker process."""
-    if name not in _ENCODINGS:
+    def make():
         import public_tokenizers as P
         import tiktoken
         with open(P.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[name]
+        return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("encoding", name), make)
 
 
 def looks_known(run: str) -> bool:

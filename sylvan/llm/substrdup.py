@@ -36,13 +36,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import workers_ready
+from sylvan.llm.common import held, workers_ready
 
 WIDTH = 13
 #: log2 of the cells of a sketch row: at most, and of one block of them.
 MAX_BITS, BLOCK_BITS = 28, 16
 #: Windows after which a task hands on what it has, so its memory stays bounded.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Windows estimated repeated that one second-pass task should meet.
 PER_BUCKET = 1_000_000
 #: Second-pass groups at least, so that many tasks share them at any size.
@@ -62,16 +62,14 @@ class _Known(dict):
         return h
 
 
-_KNOWN = _Known()
-
-
 def window_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
-    a = np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = held("word hashes", _Known)
+    if len(known) > REMEMBERED:
+        known.clear()
+    a = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     h = a[:n].copy()
     for k in range(1, width):
         h *= _STEP
