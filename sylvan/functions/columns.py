@@ -111,11 +111,11 @@ def array_width(df: DataFrame, array_col: str) -> int:
 # --- P15: batch arithmetic -----------------------------------------------
 
 def n_batches(n: Column, q: int) -> Column:
-    return F.ceil(n / F.lit(q)).cast("long")
+    return F.call_function("div", n.cast("long") + F.lit(q - 1), F.lit(q)).cast("long")
 
 
 def batch_of(row_no, q: int) -> Column:
-    return F.floor(col_(row_no) / F.lit(q)).cast("long")
+    return F.call_function("div", col_(row_no).cast("long"), F.lit(q)).cast("long")
 
 
 # --- P16: JSON fields -----------------------------------------------------

@@ -37,7 +37,7 @@ def _combined(a: dict, meta, X: np.ndarray) -> np.ndarray:
 
 
 def _stack(series: pd.Series, width: int) -> np.ndarray:
-    """Rows of feature arrays -> matrix; null arrays / elements -> NaN."""
+    """Rows of feature arrays -> matrix; null arrays / elements -> NaN; an array shorter than the forest's features raises."""
     try:
         X = np.stack(series.to_numpy()).astype(np.float64)
         if X.ndim == 2 and X.shape[1] >= width:
@@ -47,6 +47,8 @@ def _stack(series: pd.Series, width: int) -> np.ndarray:
     X = np.full((len(series), width), np.nan)
     for r, v in enumerate(series):
         if v is not None:
+            if len(v) < width:
+                raise ValueError(f"{len(v)} features given to a forest of {width}")
             row = np.asarray([np.nan if e is None else e for e in v], dtype=np.float64)
             X[r, :min(width, len(row))] = row[:width]
     return X
@@ -89,6 +91,8 @@ def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col:
             out.append(_combined(bc.value, meta, X))
         return pd.Series(out)
 
+    # the explode below would otherwise call it again to skip empty arrays
+    batch_scores = batch_scores.asNondeterministic()
     xs = F.array(*[F.col(c).cast("double") for c in features])
     grouped = (df.select(F.col(batch_col), F.struct(F.col(key).alias("k"), xs.alias("x")).alias("r"))
                .groupBy(batch_col).agg(F.collect_list("r").alias("rows")))

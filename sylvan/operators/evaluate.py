@@ -1,8 +1,8 @@
 """Evaluation of predictions against labels.
 
 All metrics are aggregates over the scored table; only the (tiny) per-class
-result comes out.  The classification report needs one pass: a ``cube`` on
-(label, prediction) yields the (y, p), (y), (p) and () counts together.
+result comes out.  The classification report needs one pass: the counts of
+(label, prediction) pairs, from which every other count follows.
 """
 
 from __future__ import annotations
@@ -38,12 +38,12 @@ def classification_report(df: DataFrame, y: str, p: str, digits: int = 6) -> Dat
 
     Columns: label (string), precision, recall, f1_score (double), support (long).
 
-    Plan: one ``cube`` over the scored rows (the only pass over them), then
-    two tiny aggregates: per class, then per report line.  No branch of the
-    plan is evaluated twice.
+    Plan: count (label, prediction) pairs, the only pass over the scored rows;
+    a ``cube`` over these few counts; then per class, then per report line.
     """
-    cube = (df.select(F.col(y).cast("long").alias("y"), F.col(p).cast("long").alias("p"))
-            .cube("y", "p").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")))
+    pairs = (df.select(F.col(y).cast("long").alias("y"), F.col(p).cast("long").alias("p"))
+             .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
+    cube = pairs.cube("y", "p").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     # g: 0 = (y, p), 1 = (y), 2 = (p), 3 = ()
     g = F.col("g")
     per = (cube.where(g < 3)
@@ -90,9 +90,11 @@ def positive_weight(df: DataFrame, y: str) -> DataFrame:
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """M6: one pass, one null count per column."""
+    """M6: one pass, one count of missing values (null, or NaN in a float column) per column."""
     cols = list(cols or df.columns)
-    return df.agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(c) for c in cols])
+    floats = {c for c, t in df.dtypes if t in ("float", "double")}
+    missing = lambda c: F.col(c).isNull() | F.isnan(c) if c in floats else F.col(c).isNull()
+    return df.agg(*[F.count_if(missing(c)).cast("long").alias(c) for c in cols])
 
 
 def require_no_nulls(df: DataFrame, cols: Sequence[str]) -> None:

@@ -139,7 +139,9 @@ def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
         cc = np.zeros((n, k))
         for g, v in enumerate(rows["class_counts"].to_numpy()):
             if v is not None and len(v):
-                cc[g, :len(v)] = np.asarray(v, dtype=np.float64)[:k]
+                if len(v) > k:
+                    raise ValueError(f"{len(v)} class counts in a forest of {k} classes")
+                cc[g, :len(v)] = np.asarray(v, dtype=np.float64)
         out["class_counts"] = cc
     return out
 

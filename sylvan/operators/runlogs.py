@@ -19,6 +19,15 @@ def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
 
+def _null_safe(df: DataFrame, per_group: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on group columns in which null is a value of its own."""
+    other = per_group.select(*[F.col(c).alias(f"__{c}" if c in on else c) for c in per_group.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(other, cond, how).drop(*[f"__{c}" for c in on])
+
+
 def _lex_extreme(df: DataFrame, g: list[str], order: list[str], pick,
                  value: str | None = None) -> DataFrame:
     """Per group, the smallest (``F.min``) or largest (``F.max``) value of
@@ -38,9 +47,9 @@ def _lex_extreme(df: DataFrame, g: list[str], order: list[str], pick,
             by = F.max_by if pick is F.max else F.min_by
             aggs.append(by(F.col(value), F.col(c)).alias(value))
         best = cand.groupBy(*g).agg(*aggs)
-        found = best if found is None else found.join(best, g)
+        found = best if found is None else _null_safe(found, best, g)
         if i < len(order) - 1:
-            cand = cand.join(best.select(*g, c), [*g, c], "left_semi")
+            cand = _null_safe(cand, best.select(*g, c), [*g, c], "left_semi")
     return found
 
 
@@ -66,7 +75,7 @@ def seen_flag(df: DataFrame, group, order, flag: Column, out: str = "seen") -> D
     g, o = _cols(group), _cols(order)
     first = first_flag_position(df, g, o, flag)
     firsts = [f"_first_{i}" for i in range(len(o))]
-    return df.join(first, g, "left").withColumn(
+    return _null_safe(df, first, g, "left").withColumn(
         out, (F.col(firsts[0]).isNotNull() & _after(o, firsts)).cast("int")).drop(*firsts)
 
 
@@ -99,7 +108,7 @@ def position_in_group(df: DataFrame, group, order, out: str = "pos") -> DataFram
     o = _cols(order)
     numbered = global_row_number(df, g + o, "_rn")
     first = numbered.groupBy(*g).agg(F.min("_rn").alias("_first"))
-    return numbered.join(first, g).select(*df.columns, (F.col("_rn") - F.col("_first")).alias(out))
+    return _null_safe(numbered, first, g).select(*df.columns, (F.col("_rn") - F.col("_first")).alias(out))
 
 
 def last_value(df: DataFrame, group, order, value: str, out: str) -> DataFrame:

@@ -101,11 +101,13 @@ def class_weight(spark, sf_dir):
        "SELECT CAST(count(*) FILTER (WHERE CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END IS NULL) AS BIGINT) AS value, "
        "CAST(count(*) FILTER (WHERE ts IS NULL) AS BIGINT) AS ts, "
        "CAST(count(*) FILTER (WHERE user_id IS NULL) AS BIGINT) AS user_id, "
-       "CAST(count(*) FILTER (WHERE event_type IS NULL) AS BIGINT) AS event_type FROM events")
+       "CAST(count(*) FILTER (WHERE event_type IS NULL) AS BIGINT) AS event_type, "
+       "CAST(count(*) FILTER (WHERE event_id IS NULL) AS BIGINT) AS event_id, "
+       "CAST(count(*) FILTER (WHERE props IS NULL) AS BIGINT) AS props FROM events")
 def null_profile(spark, sf_dir):
-    ev = table(spark, sf_dir, "events", ["event_id", "value", "ts", "user_id", "event_type"])
+    ev = table(spark, sf_dir, "events")
     ev = ev.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("value")))
-    return E.null_profile(ev, ["value", "ts", "user_id", "event_type"])
+    return E.null_profile(ev)
 
 
 @query("table_stats",

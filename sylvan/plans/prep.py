@@ -129,10 +129,9 @@ def cast_features(spark, sf_dir):
 
 
 @query("label_last",
-       "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice AS label FROM orders")
+       "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority, o_totalprice AS label FROM orders")
 def label_last(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus",
-                                        "o_orderpriority"])
+    o = table(spark, sf_dir, "orders")
     renamed = o.withColumnRenamed("o_totalprice", "label")
     return renamed.select(*[c for c in renamed.columns if c != "label"], "label")
 
@@ -190,11 +189,11 @@ def datetime_split(spark, sf_dir):
 
 
 @query("unpack_array",
-       "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8))
+       "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(64))
        + " FROM embeddings")
 def unpack_array(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    return C.unpack(emb, "embedding", 8, "f", "double", keep=["vec_id"])
+    return C.unpack(emb, "embedding", 64, "f", "double", keep=["vec_id"])
 
 
 @query("json_params",

@@ -46,7 +46,7 @@ def _pick(values, idx):
 def run_name_col(kind: str):
     u = F.col("user_id") % N_RUNS
     b = (F.lit(100) + u).cast("string")
-    return F.concat(F.lit("python_test_model.py_-d_"), _pick(DATASETS, (u % 7).cast("int")),
+    return F.concat(F.lit("run_scoring.py_-d_"), _pick(DATASETS, (u % 7).cast("int")),
                     F.lit("_-m_"), _pick(ALGOS, (u % 3).cast("int")),
                     F.lit("_-f_"), _pick(FRAMEWORKS, (u % 4).cast("int")),
                     F.lit("_-t_"), _pick([str(t) for t in TREES], (u % 3).cast("int")),

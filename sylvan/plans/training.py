@@ -142,53 +142,63 @@ def forest_export(spark, sf_dir):
 
 # --- libsvm ------------------------------------------------------------------------
 
-def write_libsvm_from_embeddings(spark, sf_dir) -> str:
-    """libsvm lines ``label i:v ...`` (1-based, |v| > 0.2 only) from embeddings."""
-    emb = table(spark, sf_dir, "embeddings", ["label", "embedding"])
-    pairs = F.filter(F.zip_with(F.sequence(F.lit(1), F.size("embedding")), F.col("embedding"),
-                                lambda i, v: F.struct(i.alias("i"), v.alias("v"))),
-                     lambda s: F.abs(s["v"]) > 0.2)
-    line = F.concat_ws(" ", F.col("label").cast("string"),
-                       F.array_join(F.transform(pairs, lambda s: F.concat(s["i"].cast("string"), F.lit(":"),
-                                                                          s["v"].cast("string"))), " "))
+SPARSE_WIDTH = 1000
+
+
+def write_libsvm(spark, sf_dir) -> str:
+    """libsvm lines ``label i:v ...`` of documents: label = doc_id, feature i = words of i characters
+    (the last one: that many or more), value = their number. Texts without words give a label alone."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lens = F.transform(words, lambda w: F.least(F.length(w), F.lit(SPARSE_WIDTH)))
+    entry = lambda ls: lambda k: F.concat(k.cast("string"), F.lit(":"), F.size(F.filter(ls, lambda x: x == k)).cast("string"))
+    pairs = F.transform(F.array_sort(F.array_distinct("ls")), entry(F.col("ls")))
     path = scratch_path(spark, "libsvm")
-    emb.select(line.alias("value")).write.text(path)
+    docs.select("doc_id", lens.alias("ls")).select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.array_join(pairs, " ")).alias("value")) \
+        .write.text(path)
     return path
 
 
-@query("scan_libsvm",
-       "SELECT CAST(label AS DOUBLE) AS label, "
-       "CAST(len(list_filter(embedding, lambda e: abs(e) > 0.2)) AS INTEGER) AS nnz FROM embeddings")
+_SPARSE_SQL = ("WITH d AS (SELECT CAST(doc_id AS DOUBLE) AS label, list_transform(regexp_extract_all(coalesce(text, ''), "
+               f"'[^\\x20\\x09-\\x0D]+'), lambda w: least(length(w), {SPARSE_WIDTH})) AS ls FROM documents) ")
+
+
+@query("scan_libsvm", _SPARSE_SQL + "SELECT label, CAST(len(list_distinct(ls)) AS INTEGER) AS nnz, "
+       "CAST(coalesce(list_sum(ls), 0) AS DOUBLE) AS weighted FROM d")
 def scan_libsvm(spark, sf_dir):
-    """Sparse file -> (label, vector); non-zeros counted per row."""
-    df = read_libsvm(spark, write_libsvm_from_embeddings(spark, sf_dir), 1000)
+    """Sparse file -> (label, vector): entries counted, and summed up as index times value."""
+    df = read_libsvm(spark, write_libsvm(spark, sf_dir), SPARSE_WIDTH)
     dense = vector_to_array("features")
-    return df.select("label", F.size(F.filter(dense, lambda v: v != 0)).cast("int").alias("nnz"))
+    weighted = F.aggregate(F.transform(dense, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return df.select("label", F.size(F.filter(dense, lambda v: v != 0)).cast("int").alias("nnz"), weighted.alias("weighted"))
 
 
-@query("scan_libsvm_long",
-       "SELECT CAST(label AS DOUBLE) AS label, "
-       "CAST(len(list_filter(embedding, lambda e: abs(e) > 0.2)) AS BIGINT) AS nnz, "
-       "CAST(list_position(list_transform(embedding, lambda e: abs(e) > 0.2), true) - 1 AS INTEGER) AS first_feature "
-       "FROM embeddings WHERE len(list_filter(embedding, lambda e: abs(e) > 0.2)) > 0")
+@query("scan_libsvm_long", _SPARSE_SQL + "SELECT label, CAST(len(list_distinct(ls)) AS BIGINT) AS nnz, "
+       "CAST(list_min(ls) - 1 AS INTEGER) AS first_feature, CAST(list_sum(ls) AS DOUBLE) AS weighted FROM d")
 def scan_libsvm_long(spark, sf_dir):
-    """S6 sparse-native: libsvm lines to long entries, counted per row."""
+    """S6 sparse-native: libsvm lines to long entries, counted per row; rows without entries stay."""
     from sylvan.sources.files import read_libsvm_long
-    long = read_libsvm_long(spark, write_libsvm_from_embeddings(spark, sf_dir))
-    return long.groupBy("row").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("nnz"),
-                                   F.min("feature").alias("first_feature")).drop("row")
+    long = read_libsvm_long(spark, write_libsvm(spark, sf_dir))
+    return long.groupBy("row").agg(F.first("label").alias("label"), F.count("feature").alias("nnz"),
+                                   F.min("feature").alias("first_feature"),
+                                   F.sum((F.col("feature") + 1) * F.col("value")).alias("weighted")).drop("row")
 
 
-@query("sparse_to_dense")
+@query("sparse_to_dense", _SPARSE_SQL + f"SELECT label, {SPARSE_WIDTH} AS width, CAST(len(ls) AS DOUBLE) AS total, "
+       "CAST(len(list_filter(ls, lambda k: k = 5)) AS DOUBLE) AS fives FROM d")
 def sparse_to_dense(spark, sf_dir):
-    """A sparse vector to its dense array (rows: label, width)."""
-    df = read_libsvm(spark, write_libsvm_from_embeddings(spark, sf_dir), 1000)
-    return df.select("label", F.size(vector_to_array("features")).alias("width"))
+    """A sparse vector to its dense array: width, sum, and one position's value."""
+    df = read_libsvm(spark, write_libsvm(spark, sf_dir), SPARSE_WIDTH)
+    dense = vector_to_array("features")
+    return df.select("label", F.size(dense).alias("width"), F.aggregate(dense, F.lit(0.0), lambda a, v: a + v).alias("total"),
+                     F.get(dense, F.lit(4)).alias("fives"))
 
 
 # --- runs table ----------------------------------------------------------------------
 
-@query("runs_append")
+@query("runs_append", " UNION ALL ".join(
+    f"SELECT 'events' AS dataset, '{x}' AS strategy, {T_} AS trees, count(*) AS rows, sum(prediction) AS positives FROM ({SQL_SCORE}) s"
+    for x in ("vectorised", "relational")))
 def runs_append(spark, sf_dir):
     """One row per scoring run appended to the runs table."""
     path = scratch_path(spark, "runs")

@@ -37,7 +37,7 @@ def bulk_load_csv(spark: SparkSession, name: str, path_csv: str, schema: T.Struc
                   header: bool = False) -> DataFrame:
     """K3: ``COPY name FROM csv``: typed CSV read, appended to the table."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl_of(schema)}) USING parquet LOCATION '{path}'")
-    spark.read.schema(schema).option("header", header).csv(path_csv).write.insertInto(name)
+    spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path_csv).write.insertInto(name)
     return spark.table(name)
 
 

@@ -28,13 +28,13 @@ def read_csv_named(spark: SparkSession, path: str, names: Sequence[str],
     types = types or {}
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(types.get(n, default_type)))
                            for n in names])
-    return spark.read.schema(schema).option("header", header).csv(path)
+    return spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path)
 
 
 def read_csv_header(spark: SparkSession, path: str, schema: T.StructType | str,
                     drop: Sequence[str] = ()) -> DataFrame:
     """S3: CSV with a header line; drop e.g. an index column."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     return df.drop(*drop) if drop else df
 
 
@@ -47,7 +47,10 @@ def union_chunks(chunks: Sequence[DataFrame]) -> DataFrame:
 
 
 def key_range_chunks(df: DataFrame, key: str, n_chunks: int, rel_error: float = 0.001):
-    """Split one table into ``n_chunks`` key ranges (filters reach the scan)."""
+    """Split one table into ``n_chunks`` key ranges (filters reach the scan).
+
+    Every row is in exactly one chunk; null keys are in the first.
+    """
     qs = df.approxQuantile(key, [i / n_chunks for i in range(1, n_chunks)], rel_error)
     bounds = [None] + qs + [None]
     out = []
@@ -57,6 +60,8 @@ def key_range_chunks(df: DataFrame, key: str, n_chunks: int, rel_error: float =
             cond = cond & (F.col(key) >= F.lit(a))
         if b is not None:
             cond = cond & (F.col(key) < F.lit(b))
+        if a is None:
+            cond = cond | F.col(key).isNull()
         out.append(df.where(cond))
     return out
 
@@ -71,7 +76,8 @@ def read_libsvm_long(spark: SparkSession, path: str, one_based: bool = True) ->
     ``(row, label, feature, value)`` -- never a dense or 1M-wide vector.
 
     ``row`` identifies the line (file, split, place in the task); features
-    are 0-based in the output.
+    are 0-based in the output. A line without entries gives one row whose
+    feature and value are null.
     """
     lines = read_text_lines(spark, path).where(F.trim(F.col("line")) != "")
     tok = F.split(F.trim(F.col("line")), r"\s+")
@@ -80,7 +86,7 @@ def read_libsvm_long(spark: SparkSession, path: str, one_based: bool = True) ->
                         F.slice(tok, 2, F.size(tok)).alias("pairs"))
     shift = 1 if one_based else 0
     pair = F.split(F.col("pair"), ":")
-    return (rows.select("row", "label", F.explode("pairs").alias("pair"))
+    return (rows.select("row", "label", F.explode_outer("pairs").alias("pair"))
             .select("row", "label", (F.get(pair, F.lit(0)).cast("int") - shift).alias("feature"),
                     F.get(pair, F.lit(1)).cast("double").alias("value")))
 

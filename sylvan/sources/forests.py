@@ -18,12 +18,15 @@ The node relation is model-sized; these plans never touch data rows.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.operators.forest import NODE_COLUMNS, Forest, ForestMeta
+from sylvan.session import ship_package
 
 # --- MLlib model folders ---------------------------------------------------------
 
@@ -76,7 +79,8 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
         F.lit("le").alias("op"),
         F.when(~leaf, n["leftChild"]).cast("int").alias("left"),
         F.when(~leaf, n["rightChild"]).cast("int").alias("right"),
-        F.lit(True).alias("default_left"),
+        # MLlib asks x <= t, which NaN fails: missing values go right
+        F.lit(False).alias("default_left"),
         F.when(leaf, n["prediction"]).alias("value"),
         counts.alias("class_counts"),
     ).join(weights, "tree_id").select(*NODE_COLUMNS)
@@ -105,7 +109,12 @@ def _node_name(tree: str, node: str, is_leaf) -> F.Column:
 
 
 def export_tabular(forest: Forest, path: str, depths: DataFrame | None = None) -> None:
-    """K9: one CSV per tree (``tree_index=<t>/``) in the tabular dump layout."""
+    """K9: one CSV per tree (``tree_index=<t>/``) in the tabular dump layout.
+
+    The layout has no place for class counts, so a voting forest is refused.
+    """
+    if forest.meta.combine == "vote":
+        raise ValueError("tabular dumps carry no class counts; export a voting forest as JSON")
     from sylvan.operators.forest import node_depths
     nd = forest.nodes
     d = depths if depths is not None else node_depths(nd, forest.meta.max_depth + 1)
@@ -140,7 +149,7 @@ def forest_from_tabular(spark: SparkSession, path: str, meta: ForestMeta) -> For
     rest follow their name order (a window over one tree's nodes: model
     sized).
     """
-    raw = spark.read.schema(TABULAR_DDL).option("header", True).csv(path)
+    raw = spark.read.schema(TABULAR_DDL).option("header", True).option("mode", "FAILFAST").csv(path)
     if "tree_index" not in raw.columns or raw.schema["tree_index"].dataType != T.IntegerType():
         raw = raw.withColumn("tree_index", F.col("tree_index").cast("int"))
     w = Window.partitionBy("tree_index").orderBy(F.col("parent_index").isNotNull(), "node_index")
@@ -163,23 +172,13 @@ def forest_from_tabular(spark: SparkSession, path: str, meta: ForestMeta) -> For
     # tree weight is per tree: take the root's
     tw = nodes.where(F.col("node_id") == 0).select("tree_id", F.col("tree_weight").alias("_tw"))
     nodes = nodes.join(tw, "tree_id").withColumn("tree_weight", F.col("_tw")).select(*NODE_COLUMNS)
+    size = raw.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tree_index").alias("t"), F.max("node_depth").alias("d")).first()
+    meta = replace(meta, n_trees=size["t"], n_nodes=size["n"], max_depth=max(size["d"] - 1, 0) if size["d"] else meta.max_depth)
     return Forest(nodes, meta).checkpointed()
 
 
 # --- nested JSON dump ---------------------------------------------------------------
 
-def _json_schema(depth: int) -> T.StructType:
-    leaf_fields = [T.StructField("nodeid", T.IntegerType()), T.StructField("leaf", T.DoubleType())]
-    split_fields = [T.StructField("nodeid", T.IntegerType()), T.StructField("split", T.StringType()),
-                    T.StructField("split_condition", T.DoubleType()), T.StructField("yes", T.IntegerType()),
-                    T.StructField("no", T.IntegerType()), T.StructField("missing", T.IntegerType()),
-                    T.StructField("leaf", T.DoubleType())]
-    s = T.StructType(leaf_fields)
-    for _ in range(depth):
-        s = T.StructType(split_fields + [T.StructField("children", T.ArrayType(s))])
-    return s
-
-
 def export_json(forest: Forest, path: str) -> None:
     """K9 (JSON form): one nested JSON tree per line, built bottom-up with
     one small join per level."""
@@ -192,7 +191,7 @@ def export_json(forest: Forest, path: str) -> None:
     sub = None
     for d in range(D, -1, -1):
         lvl = nodes.where(F.col("depth") == d)
-        leaf_json = F.to_json(F.struct(F.col("node_id").alias("nodeid"), F.col("value").alias("leaf")))
+        leaf_json = F.to_json(F.struct(F.col("node_id").alias("nodeid"), F.col("value").alias("leaf"), F.col("class_counts").alias("counts")))
         if sub is None:
             cur = lvl.select("tree_id", "node_id", leaf_json.alias("js"))
         else:
@@ -216,45 +215,59 @@ def export_json(forest: Forest, path: str) -> None:
             cur = j.select("tree_id", "node_id",
                            F.when(F.col("feature").isNull(), leaf_json).otherwise(split_json).alias("js"))
         sub = cur
-    sub.where(F.col("node_id") == 0).select(F.concat(F.lit('{"tree":'), F.col("tree_id").cast("string"),
-                                                     F.lit(',"root":'), F.col("js"), F.lit("}")).alias("v")) \
-        .write.text(path)
+    own = nd.groupBy("tree_id").agg(F.max("tree_weight").alias("w"), F.max("op").alias("op"), F.min("op").alias("op2"))
+    if own.where("op != op2").count():
+        raise ValueError("a tree with both split rules has no JSON form")
+    (sub.where(F.col("node_id") == 0).join(own, "tree_id")
+        .select(F.concat(F.lit('{"tree":'), F.col("tree_id").cast("string"), F.lit(',"weight":'), F.col("w").cast("string"),
+                         F.lit(',"op":"'), F.col("op"), F.lit('","root":'), F.col("js"), F.lit("}")).alias("v")).write.text(path))
+
+
+JSON_NODES = ("tree_id int, depth int, node_id int, feature int, threshold double, op string, left int, right int, "
+              "default_left boolean, value double, class_counts array<double>, tree_weight double")
+
+
+def _tree_nodes(tree: int, text: str, op: str) -> list[tuple]:
+    """One dumped tree, wrapped (``tree``, ``weight``, ``op``, ``root``) or a bare root node, as node rows of any depth."""
+    top = json.loads(text)
+    root, weight = top, 1.0
+    if "root" in top:
+        root, tree, weight, op = top["root"], top.get("tree", tree), top.get("weight", 1.0), top.get("op", op)
+    out, todo = [], [(root, 0)]
+    while todo:
+        n, depth = todo.pop()
+        if "leaf" in n:
+            out.append((tree, depth, n["nodeid"], None, None, op, None, None, True, float(n["leaf"]), n.get("counts"), float(weight)))
+        else:
+            feature = int(str(n["split"]).lstrip("f"))
+            out.append((tree, depth, n["nodeid"], feature, float(n["split_condition"]), op, n["yes"], n["no"],
+                        n.get("missing", n["yes"]) == n["yes"], None, None, float(weight)))
+            todo += [(c, depth + 1) for c in n["children"]]
+    return out
 
 
 def forest_from_json(spark: SparkSession, path: str, meta: ForestMeta, op: str = "lt") -> Forest:
-    """Nested JSON trees -> node relation, one ``explode`` per level.
+    """Nested JSON trees -> node relation, one tree a line.
 
-    ``op`` is the dump's split rule: 'lt' for boosted-tree dumps
-    (``x < split_condition`` -> yes), 'le' for dumps of 'le' forests.
-    The ``missing`` child decides ``default_left`` per node.
+    Reads this library's own dumps and plain ones, whose lines are the bare
+    root nodes (trees are then numbered by line). ``op`` is the split rule of
+    a plain dump: 'lt' for boosted trees (``x < split_condition`` -> yes). The
+    ``missing`` child decides ``default_left``. Depth, trees and nodes come
+    from the dump, whatever ``meta`` says; a line that does not parse raises.
     """
-    schema = T.StructType([T.StructField("tree", T.IntegerType()),
-                           T.StructField("root", _json_schema(meta.max_depth))])
-    trees = spark.read.text(path).select(F.from_json("value", schema).alias("t")).select("t.tree", "t.root")
-    level = trees.select(F.col("tree").alias("tree_id"), F.col("root").alias("n"))
-    parts = []
-    for d in range(meta.max_depth + 1):
-        n = F.col("n")
-        has_split = n["split"].isNotNull() if d < meta.max_depth else F.lit(False)
-        cols = [F.col("tree_id"), n["nodeid"].alias("node_id")]
-        if d < meta.max_depth:
-            cols += [F.when(has_split, F.regexp_extract(n["split"], r"(\d+)$", 1).cast("int")).alias("feature"),
-                     F.when(has_split, n["split_condition"]).alias("threshold"),
-                     n["yes"].alias("left"), n["no"].alias("right"),
-                     F.coalesce(n["missing"] == n["yes"], F.lit(True)).alias("default_left")]
-        else:
-            cols += [F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"),
-                     F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"),
-                     F.lit(True).alias("default_left")]
-        cols += [F.when(~has_split, n["leaf"]).alias("value")]
-        parts.append(level.select(*cols))
-        if d < meta.max_depth:
-            level = level.where(has_split).select("tree_id", F.explode(n["children"]).alias("n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    nodes = out.select("tree_id", "node_id", "feature", "threshold",
-                       F.lit(op).alias("op"), F.col("left").cast("int"), F.col("right").cast("int"),
-                       "default_left", "value", F.lit(None).cast("array<double>").alias("class_counts"),
-                       F.lit(1.0).alias("tree_weight"))
-    return Forest(nodes, meta).checkpointed()
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    # one row per tree, so the window is model-sized
+    numbered = lines.select("value", (F.row_number().over(Window.orderBy("at")) - 1).alias("tree"))
+    ship_package(spark)
+
+    def parse(batches):
+        for pdf in batches:
+            rows = [r for t, v in zip(pdf["tree"], pdf["value"]) for r in _tree_nodes(int(t), v, op)]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in JSON_NODES.split(", ")])
+            for c in ("feature", "left", "right"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    parsed = Forest(numbered.mapInPandas(parse, JSON_NODES), meta).checkpointed().nodes
+    size = parsed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tree_id").alias("t"), F.max("depth").alias("d")).first()
+    return Forest(parsed.select(*NODE_COLUMNS), replace(meta, n_trees=size["t"], n_nodes=size["n"], max_depth=size["d"] or 0))

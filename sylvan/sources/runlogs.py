@@ -2,7 +2,7 @@
 
 Run attributes come from the log's file name (or its folder), split on '-'
 then '_' the way the profiler names them:
-  python_test_model.py_-d_<set>_-m_<model>_-f_<framework>_-t_<trees>_
+  run_scoring.py_-d_<set>_-m_<model>_-f_<framework>_-t_<trees>_
   -batch_size_<n>_--query_size_<n>_{GPU,OUT}_LOG.txt (after a second "-")
 Resource lines start with ``[0]``; whitespace tokens 5, 8 and 10 are the
 busy %, used MB and total MB; a 14th token ``...(<n>M)`` is the process MB.

@@ -34,7 +34,7 @@ def test_resource_log_edge_cases(spark, tmp_path):
     from pyspark.sql import functions as F
     from sylvan.operators.runlogs import running_flag_max
     from sylvan.sources.runlogs import resource_samples
-    name = "python_test_model.py_-d_{d}_-m_gbt_-f_vectorised_-t_10_--batch_size_{b}_--query_size_{b}_GPU_LOG.txt"
+    name = "run_scoring.py_-d_{d}_-m_gbt_-f_vectorised_-t_10_--batch_size_{b}_--query_size_{b}_GPU_LOG.txt"
     head = "[0] Tesla T4 | 34'C, {g} % | {m} / 15109 MB |"
     proc = " user:python/4242({p}M)"
     _write(tmp_path, name.format(d="never", b=100), [
@@ -56,7 +56,7 @@ def test_resource_log_edge_cases(spark, tmp_path):
 def test_timing_log_first_keyword_wins_and_last_line_counts(spark, tmp_path):
     from sylvan.operators.runlogs import last_value, stage_table
     from sylvan.sources.runlogs import stage_lines
-    name = "python_test_model.py_-d_x_-m_gbt_-f_relational_-t_10_--batch_size_7_--query_size_7_OUT_LOG.txt"
+    name = "run_scoring.py_-d_x_-m_gbt_-f_relational_-t_10_--batch_size_7_--query_size_7_OUT_LOG.txt"
     _write(tmp_path, name, [
         "Time to load dataframe and predict 1.5",    # 'dataframe' wins -> read
         "Time to predict and write 2.0",             # 'predict' wins -> infer
