@@ -99,7 +99,7 @@ def _forward_backward(e: np.ndarray, start: np.ndarray, moves: np.ndarray, activ
     Returns scaled alphas and betas whose normalised product is the posterior.
     """
     t_max = len(e)
-    alpha, beta = np.empty_like(e), np.ones_like(e)
+    alpha, beta = np.zeros_like(e), np.ones_like(e)
     a = e[0] * start
     alpha[0] = a / a.sum(axis=1, keepdims=True)
     for t in range(1, t_max):
@@ -298,7 +298,7 @@ def predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return predict(spark, docs, fit(spark, docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", lang="lang", least: float = 0.4) -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", lang="lang", least: float = 0.3) -> DataFrame:
     """Documents in a recognised language, columns unchanged.
 
     Rejected: texts without a letter, and texts in which no language has
