@@ -71,11 +71,11 @@ def register_forest_predict(spark: SparkSession, forest: Forest, name: str = "fo
 
 
 def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col: str) -> DataFrame:
-    """One forest call per batch; ``key, batch_col, score``.
+    """Forest calls on arrays of a batch's rows; ``key, batch_col, score``.
 
-    Each group holds one batch (bounded by the batch size, never the whole
-    table); its keys and features go in as arrays, scores come back as one
-    array and are zipped back to their keys.
+    Each group holds a batch's rows of one input partition, so a batch as
+    large as the table is still many groups; keys and features go in as
+    arrays, scores come back as one array and are zipped back to their keys.
     """
     a = forest.to_arrays()
     ship_package(df.sparkSession)
@@ -94,8 +94,8 @@ def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col:
     # the explode below would otherwise call it again to skip empty arrays
     batch_scores = batch_scores.asNondeterministic()
     xs = F.array(*[F.col(c).cast("double") for c in features])
-    grouped = (df.select(F.col(batch_col), F.struct(F.col(key).alias("k"), xs.alias("x")).alias("r"))
-               .groupBy(batch_col).agg(F.collect_list("r").alias("rows")))
+    grouped = (df.select(F.col(batch_col), F.spark_partition_id().alias("_part"), F.struct(F.col(key).alias("k"), xs.alias("x")).alias("r"))
+               .groupBy(batch_col, "_part").agg(F.collect_list("r").alias("rows")))
     # keys and feature arrays leave the group in the same order
     zipped = grouped.select(batch_col, F.arrays_zip(F.col("rows.k").alias("k"),
                                                     batch_scores(F.col("rows.x")).alias("s")).alias("z"))

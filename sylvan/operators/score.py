@@ -455,14 +455,14 @@ def score_expression(forest: Forest, df: DataFrame, key: str, features,
 # native MLlib transform
 # ---------------------------------------------------------------------------
 
-def score_mllib(model, df: DataFrame, key: str, features: Sequence[str],
+def score_mllib(model, df: DataFrame, key: str, features: Sequence[str] | str,
                 task: str = "classification") -> DataFrame:
     """assemble the feature vector and run the model's ``transform``
     (the model is broadcast to the executors by MLlib)."""
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
+    from sylvan.operators.train import assemble
+    cols = [features] if isinstance(features, str) else list(features)
     m = model.copy().setFeaturesCol("_features").setPredictionCol("_prediction")
-    out = m.transform(va.transform(df.select(F.col(key), *[F.col(c) for c in features])))
+    out = m.transform(assemble(df.select(F.col(key), *[F.col(c) for c in cols]), features, "_features"))
     pred = F.col("_prediction").cast("int") if task == "classification" else F.col("_prediction")
     return out.select(F.col(key), pred.alias("prediction"))
 

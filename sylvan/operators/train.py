@@ -13,9 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvan.operators.evaluate import positive_weight, require_no_nulls
 from sylvan.sources.forests import forest_from_mllib_dir
@@ -25,7 +27,13 @@ DEFAULT_DEPTH = 8
 BOOST_STEP = 0.1
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+def assemble(df: DataFrame, features: Sequence[str] | str, out: str = "features") -> DataFrame:
+    """Feature columns, or the name of one array or vector column, as an MLlib vector (missing: NaN)."""
+    if isinstance(features, str):
+        if not isinstance(df.schema[features].dataType, T.ArrayType):
+            return df.withColumn(out, F.col(features))
+        filled = F.transform(features, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+        return df.withColumn(out, array_to_vector(filled))
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
@@ -33,7 +41,17 @@ def _ordered(df: DataFrame, key: str | None) -> DataFrame:
     return df.sortWithinPartitions(key) if key else df
 
 
-def train_forest(df: DataFrame, features: Sequence[str], label: str, algorithm: str = "randomforest",
+def _require_whole(df: DataFrame, features: Sequence[str] | str) -> None:
+    if not isinstance(features, str):
+        require_no_nulls(df, features)
+        return
+    xs = F.col(features) if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(features)
+    bad = df.where(F.col(features).isNull() | F.exists(xs, lambda x: x.isNull() | F.isnan(x))).count()
+    if bad:
+        raise ValueError(f"missing values in features: {bad} rows of {features}")
+
+
+def train_forest(df: DataFrame, features: Sequence[str] | str, label: str, algorithm: str = "randomforest",
                  task: str = "classification", n_trees: int = DEFAULT_TREES, max_depth: int = DEFAULT_DEPTH,
                  max_bins: int = 32, seed: int = 42, key: str | None = None,
                  positive_weighting: bool = False):
@@ -48,7 +66,7 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, algorithm:
         # an all-test split (train fraction 0) leaves nothing to fit
         raise ValueError("the training table is empty (train fraction 0?)")
     if algorithm == "randomforest":
-        require_no_nulls(df, features)
+        _require_whole(df, features)
     data = assemble(_ordered(df, key), features)
     kw = dict(featuresCol="features", labelCol=label, maxDepth=max_depth, maxBins=max_bins, seed=seed)
     if positive_weighting and task == "classification":
@@ -72,6 +90,21 @@ def save_model(model, path: str) -> str:
     return path
 
 
+def train(spark: SparkSession, project: str, algorithm: str, task: str, hyperparams_json: str, relation_name: str, y_column: str,
+          model_path: str, projects_path: str, key: str | None = None) -> DataFrame:
+    """M5 by table name: every column but the label and the key is a feature.
+
+    The run's row is appended to the ``projects`` table below
+    ``projects_path``; returns that row.
+    """
+    relation = spark.table(relation_name)
+    features = [c for c in relation.columns if c not in (y_column, key)]
+    row = train_from_table(spark, project, relation, y_column, features, algorithm, task, hyperparams_json, model_path, key)
+    row = row.withColumn("relation_name", F.lit(relation_name)).withColumn("y_column", F.lit(y_column))
+    row.write.mode("append").parquet(projects_path)
+    return row
+
+
 def train_from_table(spark: SparkSession, project: str, relation: DataFrame, y_column: str,
                      features: Sequence[str], algorithm: str, task: str, hyperparams_json: str,
                      model_path: str, key: str | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sylvan.operators import evaluate as E
 from sylvan.operators import score as S
-from sylvan.operators.forest import fit_grid_ranges, forest_stats as _forest_stats, grid_forest
+from sylvan.operators.forest import forest_stats as _forest_stats
 from sylvan.plans.features import (EVENT_FEATURES, event_features, events_forest,
-                                   sql_grid_nodes, sql_score_events)
+                                   sql_score_events)
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path
 from sylvan.sources.tables import table
@@ -121,17 +121,9 @@ def table_stats(spark, sf_dir):
                   F.countDistinct("l_orderkey").cast("long").alias("n_orders"))
 
 
-def _fitted_events_forest(spark, sf_dir):
-    x = event_features(spark, sf_dir)
-    ranges = fit_grid_ranges(x, EVENT_FEATURES)
-    return grid_forest(spark, T_, D_, ranges)
-
-
-@query("forest_stats",
-       f"SELECT tree_id, CAST(count(*) AS BIGINT) AS nodes, "
-       f"CAST(count(*) FILTER (WHERE feature IS NULL) AS BIGINT) AS leaves, "
-       f"CAST(max(CAST(floor(log2(node_id + 1)) AS INTEGER)) AS INTEGER) AS depth "
-       f"FROM ({sql_grid_nodes(T_, D_, [(0.0, 1.0)] * 4)}) GROUP BY tree_id")
+@query("forest_stats", "SELECT CAST(t AS INTEGER) AS tree_id, true AS depth_ok, true AS binary_tree FROM range(5) r(t)")
 def forest_stats(spark, sf_dir):
-    """A8 on a grid forest whose ranges are fitted to the events features."""
-    return _forest_stats(_fitted_events_forest(spark, sf_dir))
+    """A8 on a forest trained on events: every tree within its depth, every inner node with two children."""
+    from sylvan.plans.training import trained_events_forest
+    s = _forest_stats(trained_events_forest(spark, sf_dir, 5, 4))
+    return s.select("tree_id", (F.col("depth") <= 4).alias("depth_ok"), (F.col("leaves") * 2 == F.col("nodes") + 1).alias("binary_tree"))

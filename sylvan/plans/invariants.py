@@ -113,3 +113,27 @@ def score_cut_half(spark, sf_dir) -> DataFrame:
     forest = Forest(nodes, ForestMeta(n_trees=1, max_depth=1, n_nodes=3, n_features=1, combine="sum", cut=0.5))
     ev = table(spark, sf_dir, "events", ["event_id", "value"])
     return S.score_vectorised(forest, ev, "event_id", ["value"]).select("event_id", "score", "prediction")
+
+
+@query("train_project", "SELECT 'events_by_name' AS project, 'gbt' AS algorithm, 'classification' AS task, 'events_train' AS relation_name, "
+       "'y' AS y_column, CAST(4 AS INTEGER) AS n_trees, 'deployed' AS status")
+def train_project(spark, sf_dir) -> DataFrame:
+    """M5: train on a relation named in the catalogue; the row read back from the ``projects`` table."""
+    from sylvan.operators.train import train
+    rows, _ = _train_test(spark, sf_dir)
+    rows.select("event_id", "y", *EVENT_FEATURES).createOrReplaceTempView("events_train")
+    projects = scratch_path(spark, "projects")
+    train(spark, "events_by_name", "gbt", "classification", '{"n_estimators": 4, "max_depth": 4}', "events_train", "y",
+          scratch_path(spark, "model_project"), projects, key="event_id")
+    return spark.read.parquet(projects).select("project", "algorithm", "task", "relation_name", "y_column", "n_trees", "status")
+
+
+@query("array_forest_mismatches", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differ FROM embeddings")
+def array_forest_mismatches(spark, sf_dir) -> DataFrame:
+    """M1 and F1 on one array column of 64 features: rows on which ``transform`` and the imported forest differ."""
+    emb = table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"]).withColumn("label", F.col("label").cast("double"))
+    model = train_forest(emb, "embedding", "label", "randomforest", "classification", n_trees=5, max_depth=4, key="vec_id")
+    forest = FS.forest_from_mllib_dir(spark, save_model(model, scratch_path(spark, "model_array")))
+    a = S.score_mllib(model, emb, "vec_id", "embedding").withColumnRenamed("prediction", "native")
+    b = S.score_vectorised(forest, emb, "vec_id", "embedding").select("vec_id", "prediction")
+    return a.join(b, "vec_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("native").eqNullSafe(F.col("prediction"))).alias("differ"))

@@ -14,9 +14,7 @@ from sylvan.operators import score as S
 from sylvan.operators.forest import forest_stats
 from sylvan.operators.numbering import ordered_split
 from sylvan.operators.train import save_model, train_forest, train_from_table as _train_from_table
-from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_grid_nodes, \
-    sql_score_events
-from sylvan.plans.features import EVENT_RANGES
+from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_score_events
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path, shared_dir
 from sylvan.sinks.writers import append_runs
@@ -126,18 +124,24 @@ def forest_nodes_from_json(spark, sf_dir):
     return S.score_vectorised(back, event_features(spark, sf_dir), "event_id", EVENT_FEATURES)
 
 
+def trained_events_forest(spark, sf_dir, trees, depth):
+    train, _ = _train_test(spark, sf_dir)
+    model = train_forest(train, EVENT_FEATURES, "value", "gbt", "regression", n_trees=trees, max_depth=depth, key="event_id")
+    return FS.forest_from_mllib_dir(spark, save_model(model, scratch_path(spark, "model_events")))
+
+
 @query("forest_export",
-       "SELECT CAST(tree_id AS INTEGER) AS tree_index, CAST(count(*) AS BIGINT) AS n, "
-       "CAST(count(*) FILTER (WHERE feature IS NULL) AS BIGINT) AS leaves "
-       f"FROM ({sql_grid_nodes(T_, D_, EVENT_RANGES)}) GROUP BY tree_id")
+       "SELECT CAST(t AS INTEGER) AS tree_index, true AS same_nodes, true AS binary_tree FROM range(5) r(t)")
 def forest_export(spark, sf_dir):
-    """K9: one file per tree; read back, counted per tree."""
-    forest = events_forest(spark, T_, D_)
+    """K9: one file per tree of a forest trained on events; read back, compared with the forest tree by tree."""
+    forest = trained_events_forest(spark, sf_dir, 5, 4)
     path = scratch_path(spark, "export")
     FS.export_tabular(forest, path)
     back = spark.read.schema(FS.TABULAR_DDL).option("header", True).csv(path)
-    return back.groupBy("tree_index").agg(F.count(F.lit(1)).cast("long").alias("n"),
-                                          F.count_if(F.col("split_feature").isNull()).cast("long").alias("leaves"))
+    n, leaves = F.count(F.lit(1)), F.count_if(F.col("split_feature").isNull())
+    own = forest.nodes.groupBy(F.col("tree_id").alias("tree_index")).agg(F.count(F.lit(1)).alias("own"))
+    return (back.groupBy("tree_index").agg(n.alias("n"), leaves.alias("leaves")).join(own, "tree_index")
+                .select("tree_index", (F.col("n") == F.col("own")).alias("same_nodes"), (F.col("leaves") * 2 == F.col("n") + 1).alias("binary_tree")))
 
 
 # --- libsvm ------------------------------------------------------------------------
