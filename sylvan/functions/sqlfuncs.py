@@ -2,7 +2,8 @@
 
 ``forest_predict(array(...))``      row-level function, Arrow-batched pandas
                                      UDF; the forest ships once per executor
-                                     as a broadcast of NumPy arrays.
+                                     as broadcasts of NumPy arrays, one per
+                                     group of at most 2 M nodes.
 ``predict_batch``                    one call per query-sized batch of rows
                                      (``array_agg`` of feature arrays in one
                                      group, bounded by the batch size), the
@@ -17,17 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.operators.forest import Forest
+from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest
 from sylvan.operators.score import walk_arrays
 from sylvan.session import ship_package
 
 
-def _combined(a: dict, meta, X: np.ndarray) -> np.ndarray:
-    """Combined score per row (the same rule as ``score.finalize``)."""
+def _combined(groups: list, meta, X: np.ndarray) -> np.ndarray:
+    """Combined score per row (the same rule as ``score.finalize``); ``groups``: broadcasts of tree groups."""
     if meta.combine == "vote":
-        acc = walk_arrays(a, X, "vote")
+        acc = sum(walk_arrays(g.value, X, "vote") for g in groups)
         return np.argmax(acc, axis=1).astype(np.float64)
-    swv, sw = walk_arrays(a, X, meta.combine)
+    swv, sw = (sum(part) for part in zip(*[walk_arrays(g.value, X, meta.combine) for g in groups]))
     if meta.combine == "sum":
         return meta.base + swv
     if meta.combine == "mean":
@@ -54,32 +55,34 @@ def _stack(series: pd.Series, width: int) -> np.ndarray:
     return X
 
 
-def register_forest_predict(spark: SparkSession, forest: Forest, name: str = "forest_predict"):
-    """Register ``name(array<double>) -> double`` for SQL use."""
-    a = forest.to_arrays()
+def register_forest_predict(spark: SparkSession, forest: Forest, name: str = "forest_predict", max_nodes: int = MAX_SHIPPED_NODES):
+    """Register ``name(array<double>) -> double`` for SQL use.
+
+    A scalar function holds its whole forest; one beyond a worker's memory
+    needs the relational plan.
+    """
     ship_package(spark)
-    bc = spark.sparkContext.broadcast(a)
+    groups = [spark.sparkContext.broadcast(a) for a in forest.array_groups(max_nodes)]
     meta = forest.meta
     width = meta.n_features
 
     @F.pandas_udf(T.DoubleType())
     def forest_predict(xs: pd.Series) -> pd.Series:
-        return pd.Series(_combined(bc.value, meta, _stack(xs, width)))
+        return pd.Series(_combined(groups, meta, _stack(xs, width)))
 
     spark.udf.register(name, forest_predict)
     return forest_predict
 
 
-def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col: str) -> DataFrame:
+def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col: str, max_nodes: int = MAX_SHIPPED_NODES) -> DataFrame:
     """Forest calls on arrays of a batch's rows; ``key, batch_col, score``.
 
     Each group holds a batch's rows of one input partition, so a batch as
     large as the table is still many groups; keys and features go in as
     arrays, scores come back as one array and are zipped back to their keys.
     """
-    a = forest.to_arrays()
     ship_package(df.sparkSession)
-    bc = df.sparkSession.sparkContext.broadcast(a)
+    groups = [df.sparkSession.sparkContext.broadcast(a) for a in forest.array_groups(max_nodes)]
     meta = forest.meta
     width = meta.n_features
 
@@ -88,7 +91,7 @@ def predict_batch(forest: Forest, df: DataFrame, key: str, features, batch_col:
         out = []
         for xs in batches:
             X = _stack(pd.Series(list(xs)), width) if len(xs) else np.zeros((0, width))
-            out.append(_combined(bc.value, meta, X))
+            out.append(_combined(groups, meta, X))
         return pd.Series(out)
 
     # the explode below would otherwise call it again to skip empty arrays

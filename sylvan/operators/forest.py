@@ -19,10 +19,11 @@ that ships the forest to executors checks first.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_COLUMNS = ["tree_id", "node_id", "feature", "threshold", "op", "left", "right",
@@ -32,10 +33,9 @@ NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, op stri
                "left int, right int, default_left boolean, value double, "
                "class_counts array<double>, tree_weight double")
 
-# Largest forest (in nodes) that any plan ships whole to every executor.
-# At 48 bytes a node this is ~100 MB of broadcast; bigger forests are cut
-# into tree groups below the bound (relational plan) or scored tree group
-# by tree group (vectorised plan).
+# Nodes in one set of arrays shipped to the executors, ~100 MB at 48 bytes a
+# node (class counts add theirs).  Bigger forests go relationally, or as
+# several sets where a function has to hold the whole forest.
 MAX_SHIPPED_NODES = 2_000_000
 
 
@@ -57,22 +57,49 @@ class ForestMeta:
 class Forest:
     nodes: DataFrame
     meta: ForestMeta
+    #: (largest |weight * leaf|, largest weight), looked up when first asked for.
+    bounds: tuple[float, float] | None = None
 
     def with_meta(self, **kw) -> "Forest":
         return Forest(self.nodes, replace(self.meta, **kw))
 
+    def units(self) -> tuple[float, float]:
+        """The grids that leaf terms and tree weights are rounded to (see ``grid_unit``)."""
+        if self.bounds is None:
+            w = F.abs("tree_weight")
+            term = F.abs("value")
+            if self.meta.combine == "vote":
+                term = F.array_max(F.transform("class_counts", lambda c: F.abs(c)))
+            r = self.nodes.agg(F.max(w * term).alias("t"), F.max(w).alias("w")).first()
+            self.bounds = (float(r.t or 0.0), float(r.w or 0.0))
+        return tuple(grid_unit(b, self.meta.n_trees) for b in self.bounds)
+
     def checkpointed(self) -> "Forest":
         """Cut the node relation's lineage (imports join and window it; the
         scoring plans read it once per tree level).  Written to the shared
         checkpoint folder, so it survives executor loss."""
         from sylvan.session import shared_dir
         shared_dir(self.nodes.sparkSession)
-        return Forest(self.nodes.coalesce(1).checkpoint(eager=True), self.meta)
+        return Forest(self.nodes.coalesce(1).checkpoint(eager=True), self.meta, self.bounds)
 
     def used_features(self) -> DataFrame:
         """the feature indexes any split reads (a tiny relation)."""
         return self.nodes.where(F.col("feature").isNotNull()).select("feature").distinct()
 
+    def tree_sizes(self) -> list[tuple[int, int]]:
+        """(tree_id, nodes) of every tree, in order: one row a tree."""
+        return sorted((int(r[0]), int(r[1])) for r in self.nodes.groupBy("tree_id").count().collect())
+
+    def array_groups(self, max_nodes: int = MAX_SHIPPED_NODES) -> list[dict]:
+        """The forest as sets of arrays of at most ``max_nodes`` nodes (or one tree) each."""
+        if self.meta.n_nodes <= max_nodes:
+            return [self.to_arrays()]
+        units, out = self.units(), []
+        for a, b in size_groups(self.tree_sizes(), max_nodes):
+            rows = _sorted_rows(self.nodes.where(F.col("tree_id").between(a, b - 1)))
+            out.append(arrays_from_pandas(rows, self.meta, units))
+        return out
+
     def to_arrays(self, max_nodes: int = MAX_SHIPPED_NODES) -> dict:
         """Collect the (bounded) node relation into flat NumPy arrays.
 
@@ -83,14 +110,53 @@ class Forest:
         if self.meta.n_nodes > max_nodes:
             raise ValueError(f"forest has {self.meta.n_nodes} nodes, above the "
                              f"shipping bound {max_nodes}")
-        # the relation is model-sized and bounded above: sort it where it lands
-        rows = (self.nodes.select(*NODE_COLUMNS).toPandas()
-                .sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True))
-        return arrays_from_pandas(rows, self.meta)
+        return arrays_from_pandas(_sorted_rows(self.nodes), self.meta, self.units())
+
+
+def grid_unit(largest: float, n_terms: int) -> float:
+    """A power of two so coarse that sums of ``n_terms`` multiples of it, none
+    above ``largest``, are exact in a double.
+
+    Leaf terms rounded to it add up to the same bits in any order, so every
+    plan, task order and tree group gives the same score.  The rounding moves a
+    term by at most ``largest * n_terms / 2**51``.
+    """
+    if not (0.0 < largest < math.inf):
+        return 0.0
+    return max(2.0 ** (math.ceil(math.log2(largest) + math.log2(max(n_terms, 1))) - 51), 2.0 ** -1000)
+
 
+def on_grid(x, unit: float):
+    """A column or an array rounded to multiples of ``unit``."""
+    if unit == 0.0:
+        return x
+    return F.rint(x / F.lit(unit)) * F.lit(unit) if isinstance(x, Column) else np.rint(x / unit) * unit
 
-def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
-    """Flat NumPy arrays from node rows sorted by (tree_id, node_id)."""
+
+def size_groups(sizes: list[tuple[int, int]], max_nodes: int) -> list[tuple[int, int]]:
+    """Tree-id ranges [a, b) of at most ``max_nodes`` nodes, or a single tree."""
+    out, start, held = [], None, 0
+    for tree, n in sizes:
+        if start is not None and held + n > max_nodes:
+            out.append((start, tree))
+            start, held = None, 0
+        start = tree if start is None else start
+        held += n
+    return out + [(start, sizes[-1][0] + 1)] if sizes else []
+
+
+def _sorted_rows(nodes: DataFrame):
+    # the relation is model-sized and bounded by the caller: sort it where it lands
+    return (nodes.select(*NODE_COLUMNS).toPandas()
+            .sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True))
+
+
+def arrays_from_pandas(rows, meta: ForestMeta, units: tuple[float, float]) -> dict:
+    """Flat NumPy arrays from node rows sorted by (tree_id, node_id).
+
+    ``term`` (or ``class_terms``) is the leaf times its tree's weight on the
+    grid of ``units``; ``weight`` is the sum of the weights on theirs.
+    """
     n = len(rows)
     tree = rows["tree_id"].to_numpy(np.int64)
     node = rows["node_id"].to_numpy(np.int64)
@@ -121,7 +187,8 @@ def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
     left[leaf] = np.arange(n)[leaf]
     right[leaf] = np.arange(n)[leaf]
     root = root_pos.astype(np.int64)
-    weight_by_tree = rows.groupby("tree_id")["tree_weight"].first()
+    weights = rows["tree_weight"].astype("float64").fillna(0.0).to_numpy()
+    value = rows["value"].astype("float64").fillna(0.0).to_numpy()
     out = {
         "feature": feature,
         "threshold": rows["threshold"].astype("float64").fillna(0.0).to_numpy(),
@@ -129,9 +196,9 @@ def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
         "default_left": rows["default_left"].fillna(True).astype(bool).to_numpy(),
         "left": left,
         "right": right,
-        "value": rows["value"].astype("float64").fillna(0.0).to_numpy(),
+        "term": on_grid(value * weights, units[0]),
         "root": root,
-        "tree_weight": weight_by_tree.loc[trees].to_numpy(np.float64),
+        "weight": float(on_grid(weights[root], units[1]).sum()),
         "max_depth": int(meta.max_depth),
     }
     if meta.combine == "vote":
@@ -142,7 +209,7 @@ def arrays_from_pandas(rows, meta: ForestMeta) -> dict:
                 if len(v) > k:
                     raise ValueError(f"{len(v)} class counts in a forest of {k} classes")
                 cc[g, :len(v)] = np.asarray(v, dtype=np.float64)
-        out["class_counts"] = cc
+        out["class_terms"] = on_grid(cc * weights[:, None], units[0])
     return out
 
 
@@ -206,7 +273,7 @@ def grid_forest(spark: SparkSession, n_trees: int, depth: int,
                       n_features=k, task=task,
                       combine=combine or ("vote" if n_classes else "sum"),
                       n_classes=n_classes or 2, base=base, cut=cut, margin_scale=margin_scale)
-    return Forest(nodes, meta)
+    return Forest(nodes, meta, (7.0 if meta.combine == "vote" else 0.5, 1.0))
 
 
 def fit_grid_ranges(df: DataFrame, features: list) -> list[tuple[float, float]]:

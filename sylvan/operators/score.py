@@ -2,21 +2,26 @@
 
 Every plan returns ``key, score, prediction`` (plus ``margin`` for the
 logistic combine).  Rows keep their key; predictions are never aligned by
-position.
+position.  Leaf terms are rounded to one grid per forest on which sums are
+exact (``forest.grid_unit``), so all plans give the same bits whatever the
+order of trees, tasks or tree groups, and the plan is the caller's choice.
 
 relational   rows x trees (``explode`` of the tree ids), one broadcast
              equi-join on (tree_id, node_id) per tree level, then a
              per-row aggregate.  Trees are taken in groups whose node count
              is below the broadcast bound, so a forest of any size is scored
              exactly: each group is broadcast, the group partial sums are
-             added up by the same aggregate.  The aggregate's partial step
+             added up by the same aggregate.  With several groups the input
+             is written once and read by each.  The aggregate's partial step
              runs in the same stage as the walk, so only one narrow row per
              key and partition is shuffled.
 vectorised   ``mapInPandas`` over Arrow batches; the forest ships once as a
              broadcast of NumPy arrays and every tree is walked for the whole
-             batch in ``max_depth`` vector steps.
+             batch in ``max_depth`` vector steps.  Forests beyond the
+             shipping bound go relationally.
 expression   each tree compiled into one nested ``CASE WHEN`` column; all
-             of it runs inside whole-stage codegen.  For small forests only.
+             of it runs inside whole-stage codegen.  Forests too large to
+             compile go relationally.
 mllib        the native ``transform`` of an MLlib model.
 sparse_long  rows given as (row key, feature, value) entries; only the
              entries of features the forest reads are kept, grouped into
@@ -35,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.functions.splits import goes_left, goes_left_np
-from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest, ForestMeta
-from sylvan.session import ship_package
+from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest, ForestMeta, on_grid, size_groups
+from sylvan.session import scratch_path, shared_dir, ship_package
 
 # Largest forest turned into one compiled expression.
 MAX_EXPRESSION_NODES = 20_000
@@ -101,21 +106,27 @@ def finalize(sums: DataFrame, key: str, meta: ForestMeta, carry: Sequence[str] =
     return sums.select(*key_cols, score.alias("score"), pred.alias("prediction"))
 
 
-def _leaf_terms(meta: ForestMeta) -> list[Column]:
-    """Per (row, tree) terms that the per-row aggregate sums."""
+def _leaf_terms(forest: Forest) -> list[Column]:
+    """A leaf's terms that the per-row aggregate sums, on the forest's grid."""
+    unit, weight_unit = forest.units()
     w = F.col("tree_weight")
-    if meta.combine == "vote":
-        return [(F.get(F.col("class_counts"), F.lit(c)) * w).alias(f"_c{c}")
-                for c in range(meta.n_classes)]
-    return [(F.col("value") * w).alias("_swv"), w.alias("_sw")]
+    if forest.meta.combine == "vote":
+        return [on_grid(F.get(F.col("class_counts"), F.lit(c)) * w, unit).alias(f"_c{c}")
+                for c in range(forest.meta.n_classes)]
+    return [on_grid(F.col("value") * w, unit).alias("_swv"), on_grid(w, weight_unit).alias("_sw")]
 
 
-def tree_groups(meta: ForestMeta, max_group_nodes: int = MAX_GROUP_NODES) -> list[tuple[int, int]]:
-    """Contiguous tree-id ranges whose node count stays below the bound.
+def forest_groups(forest: Forest, max_group_nodes: int = MAX_GROUP_NODES) -> list[tuple[int, int]]:
+    """Contiguous tree-id ranges by the trees' own node counts; one range,
+    without looking, when the whole forest is within the bound."""
+    if forest.meta.n_nodes <= max_group_nodes:
+        return [(0, forest.meta.n_trees)]
+    return size_groups(forest.tree_sizes(), max_group_nodes)
 
-    Uses the per-tree bound of a complete tree of ``max_depth`` levels, so
-    no data is looked at.
-    """
+
+def tree_groups(meta: ForestMeta, max_group_nodes: int = MAX_GROUP_NODES) -> list[tuple[int, int]]:
+    """Contiguous tree-id ranges for complete trees of ``max_depth`` levels,
+    without looking at the nodes."""
     per_tree = min(2 ** (meta.max_depth + 1) - 1, meta.n_nodes)
     per_group = max(1, max_group_nodes // max(per_tree, 1))
     return [(a, min(a + per_group, meta.n_trees)) for a in range(0, meta.n_trees, per_group)]
@@ -134,7 +145,7 @@ def _node_key(tree: Column, node: Column) -> Column:
     return tree.cast("long") * F.lit(_TREE_SHIFT) + node.cast("long")
 
 
-def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
+def _walk(rows: DataFrame, nodes: DataFrame, key: str, forest: Forest,
           lookup, carry: Sequence[str] = ()) -> DataFrame:
     """Walk every (row, tree) pair ``max_depth`` levels down.
 
@@ -149,15 +160,14 @@ def _walk(rows: DataFrame, nodes: DataFrame, key: str, meta: ForestMeta,
         _node_key(t, F.col("left")).alias("_lk"), _node_key(t, F.col("right")).alias("_rk")))
     keep = [c for c in rows.columns if c not in ("tree_id", "node_id")]
     rows = rows.select(*keep, _node_key(F.col("tree_id"), F.col("node_id")).alias("_k"))
-    for _ in range(meta.max_depth):
+    for _ in range(forest.meta.max_depth):
         j = rows.join(step_nodes, "_k")
         nxt = F.when(goes_left(lookup(F.col("feature")), F.col("threshold"), F.col("op"),
                                F.col("default_left")), F.col("_lk")).otherwise(F.col("_rk"))
         rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("_k")).otherwise(nxt).alias("_k"))
-    leaf_nodes = F.broadcast(nodes.select(_node_key(t, F.col("node_id")).alias("_k"), "value",
-                                          "class_counts", "tree_weight"))
+    leaf_nodes = F.broadcast(nodes.select(_node_key(t, F.col("node_id")).alias("_k"), *_leaf_terms(forest)))
     return rows.join(leaf_nodes, "_k").select(
-        F.col(key), *[F.col(c) for c in carry], *_leaf_terms(meta))
+        F.col(key), *[F.col(c) for c in carry], *_sum_columns(forest.meta))
 
 
 def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
@@ -168,6 +178,29 @@ def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
                                 *[F.sum(c).alias(c) for c in _sum_columns(meta)])
 
 
+def _walk_groups(rows0: DataFrame, forest: Forest, key: str, lookup, carry: Sequence[str],
+                 max_group_nodes: int) -> DataFrame:
+    """The terms of all trees, one walk per tree group.
+
+    Several groups read one written copy of the rows, so the input is scanned
+    once and a row id is the same in every group.
+    """
+    groups = forest_groups(forest, max_group_nodes)
+    if len(groups) > 1:
+        spark = rows0.sparkSession
+        shared_dir(spark)
+        path = scratch_path(spark, "walk_rows")
+        rows0.write.parquet(path)
+        rows0 = spark.read.schema(rows0.schema).parquet(path)
+    terms = None
+    for a, b in groups:
+        nodes = forest.nodes if len(groups) == 1 else forest.nodes.where(F.col("tree_id").between(a, b - 1))
+        rows = rows0.select("*", F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"), F.lit(0).alias("node_id"))
+        part = _walk(rows, nodes, key, forest, lookup, carry)
+        terms = part if terms is None else terms.unionByName(part)
+    return terms
+
+
 def score_relational(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = (), max_group_nodes: int = MAX_GROUP_NODES,
                      key_is_unique: bool = False) -> DataFrame:
@@ -186,16 +219,7 @@ def score_relational(forest: Forest, df: DataFrame, key: str, features,
     rid = F.col(key) if key_is_unique else F.monotonically_increasing_id()
     x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"),
                   rid.alias("_rid"))
-    parts = []
-    for a, b in tree_groups(meta, max_group_nodes):
-        g_nodes = forest.nodes.where(F.col("tree_id").between(a, b - 1))
-        rows = x.select(F.col("_rid"), F.col(key), *[F.col(c) for c in carry], F.col("_x"),
-                        F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"),
-                        F.lit(0).alias("node_id"))
-        parts.append(_walk(rows, g_nodes, key, meta, lambda f: F.get(F.col("_x"), f), ["_rid", *carry]))
-    terms = parts[0]
-    for p in parts[1:]:
-        terms = terms.unionByName(p)
+    terms = _walk_groups(x, forest, key, lambda f: F.get(F.col("_x"), f), ["_rid", *carry], max_group_nodes)
     return finalize(_aggregate_terms(terms, key, meta, carry, group_key="_rid"), key, meta, carry)
 
 
@@ -229,16 +253,7 @@ def score_sparse_long(forest: Forest, entries: DataFrame, key: str,
         lookup = lambda f: F.element_at(F.col("_m"), f)  # noqa: E731 - null when absent
     else:
         lookup = lambda f: F.coalesce(F.element_at(F.col("_m"), f), F.lit(float(absent)))
-    parts = []
-    for a, b in tree_groups(meta, max_group_nodes):
-        g_nodes = forest.nodes.where(F.col("tree_id").between(a, b - 1))
-        rows = rows0.select(F.col(key), F.col("_m"),
-                            F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"),
-                            F.lit(0).alias("node_id"))
-        parts.append(_walk(rows, g_nodes, key, meta, lookup))
-    terms = parts[0]
-    for p in parts[1:]:
-        terms = terms.unionByName(p)
+    terms = _walk_groups(rows0, forest, key, lookup, [], max_group_nodes)
     return finalize(_aggregate_terms(terms, key, meta), key, meta)
 
 
@@ -260,7 +275,7 @@ def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
     pos = spark.createDataFrame([(f, i) for i, f in enumerate(used)], "feature int, _pos int")
     nodes = (forest.nodes.join(F.broadcast(pos), "feature", "left")
              .withColumn("feature", F.col("_pos")).drop("_pos"))
-    narrow = Forest(nodes.select(*forest.nodes.columns), replace(meta, n_features=len(used)))
+    narrow = Forest(nodes.select(*forest.nodes.columns), replace(meta, n_features=len(used)), forest.bounds)
     kept = entries.select(F.col(key), F.col(feature_col).cast("int").alias("_f"),
                           F.col(value_col).cast("double").alias("_v")) \
         .where(F.col("_f").isin(used))
@@ -280,14 +295,14 @@ def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
 def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_TREE_CHUNK):
     """Walk all trees for a batch ``X`` (rows x features, NaN = missing).
 
-    Returns (sum of w*value, sum of w) or the per-class sums for 'vote'.
+    Returns (sum of terms, sum of weights) or the per-class sums for 'vote';
+    the terms lie on a grid on which any order of adding gives the same sum.
     Leaves are their own children, so every row simply takes
     ``max_depth`` steps; each step is four gathers (feature, value,
     threshold, child) over a rows x trees index matrix.
     """
     n = X.shape[0]
     roots = a["root"]
-    weights = a["tree_weight"]
     vote = combine == "vote"
     if X.shape[1] == 0:
         X = np.full((n, 1), np.nan)
@@ -297,7 +312,7 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
     any_lt = bool(a["is_lt"].any())
     any_missing = bool(np.isnan(X).any())
     if vote:
-        acc = np.zeros((n, a["class_counts"].shape[1]))
+        acc = np.zeros((n, a["class_terms"].shape[1]))
     else:
         swv = np.zeros(n)
     rows = np.arange(n)[:, None]
@@ -311,14 +326,13 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
             else:
                 left = x <= t
             node = kids[2 * node + (~left)]
-        w = weights[s:s + tree_chunk][None, :]
         if vote:
-            acc += np.einsum("ntk,nt->nk", a["class_counts"][node], np.broadcast_to(w, node.shape))
+            acc += a["class_terms"][node].sum(axis=1)
         else:
-            swv += (a["value"][node] * w).sum(axis=1)
+            swv += a["term"][node].sum(axis=1)
     if vote:
         return acc
-    return swv, np.full(n, weights.sum())
+    return swv, np.full(n, a["weight"])
 
 
 def _sum_schema(key_field: T.StructField, meta: ForestMeta) -> T.StructType:
@@ -330,7 +344,7 @@ def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
     meta = forest.meta
     carry = list(carry)
     if meta.n_nodes > MAX_SHIPPED_NODES:
-        # exact fallback: walk relationally in broadcast tree groups
+        # the same scores, walked in broadcast tree groups
         return score_relational(forest, df, key, features, carry)
     arrays = forest.to_arrays()
     spark = df.sparkSession
@@ -417,37 +431,38 @@ def _tree_sql(a: dict, g: int, xs: list[str], leaf_value) -> str:
 
 
 def forest_expressions(forest: Forest, names: list[str]) -> list[Column]:
-    """One summed expression per sum column (see ``_sum_columns``), built as
-    SQL text over the feature columns ``names`` and parsed once."""
-    meta = forest.meta
-    if meta.n_nodes > MAX_EXPRESSION_NODES:
-        raise ValueError(f"forest of {meta.n_nodes} nodes is too large to compile; "
-                         "use the vectorised or relational plan")
+    """What the trees give for a row, built as SQL text over the feature columns
+    ``names`` and parsed once: ``_swv`` and ``_sw``, or for a vote ``_leaves``,
+    one array of class terms per tree (each tree is compiled once, whatever
+    the number of classes)."""
     a = forest.to_arrays()
-    w = a["tree_weight"]
     xs = [f"`{n}`" for n in names]
-    if meta.combine == "vote":
-        exprs = []
-        for c in range(meta.n_classes):
-            terms = [f"({_tree_sql(a, int(r), xs, lambda g, c=c: _sql_double(a['class_counts'][g, c]))})"
-                     f" * {_sql_double(w[t])}" for t, r in enumerate(a["root"])]
-            exprs.append(F.expr(" + ".join(terms)).alias(f"_c{c}"))
-        return exprs
-    terms = [f"({_tree_sql(a, int(r), xs, lambda g: _sql_double(a['value'][g]))}) * {_sql_double(w[t])}"
-             for t, r in enumerate(a["root"])]
-    return [F.expr(" + ".join(terms)).alias("_swv"), F.lit(float(w.sum())).alias("_sw")]
+    if forest.meta.combine == "vote":
+        def counts(g):
+            return "array(" + ", ".join(_sql_double(v) for v in a["class_terms"][g]) + ")"
+        return [F.array(*[F.expr(_tree_sql(a, int(r), xs, counts)) for r in a["root"]]).alias("_leaves")]
+    terms = [f"({_tree_sql(a, int(r), xs, lambda g: _sql_double(a['term'][g]))})" for r in a["root"]]
+    return [F.expr(" + ".join(terms)).alias("_swv"), F.lit(a["weight"]).alias("_sw")]
 
 
 def score_expression(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = ()) -> DataFrame:
     meta = forest.meta
+    if meta.n_nodes > MAX_EXPRESSION_NODES:
+        # the same scores; the generated code would be far too long
+        return score_relational(forest, df, key, features, carry)
     if isinstance(features, str):
         fcols = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(meta.n_features)]
     else:
         fcols = [c.cast("double") for c in _feature_cols(features)]
     names = [f"_f{i}" for i in range(len(fcols))]
     x = df.select(F.col(key), *[F.col(c) for c in carry], *[c.alias(n) for c, n in zip(fcols, names)])
-    sums = x.select(F.col(key), *[F.col(c) for c in carry], *forest_expressions(forest, names))
+    kept = [F.col(key), *[F.col(c) for c in carry]]
+    sums = x.select(*kept, *forest_expressions(forest, names))
+    if meta.combine == "vote":
+        def total(c):
+            return F.aggregate("_leaves", F.lit(0.0), lambda s, leaf: s + F.get(leaf, F.lit(c)))
+        sums = sums.select(*kept, *[total(c).alias(f"_c{c}") for c in range(meta.n_classes)])
     return finalize(sums, key, meta, carry)
 
 
@@ -468,7 +483,7 @@ def score_mllib(model, df: DataFrame, key: str, features: Sequence[str] | str,
 
 
 # ---------------------------------------------------------------------------
-# chooser
+# plans by name
 # ---------------------------------------------------------------------------
 
 STRATEGIES = {
@@ -478,23 +493,7 @@ STRATEGIES = {
 }
 
 
-# Compiling pays off only for very small forests: measured at sf0.01 a
-# 310-node forest spent more time in code generation than in scoring.
-AUTO_EXPRESSION_NODES = 64
-
-
-def choose_strategy(meta: ForestMeta) -> str:
-    """Tiny forests compile; bounded forests ship as arrays; the rest walks
-    relationally in broadcast tree groups."""
-    if meta.n_nodes <= AUTO_EXPRESSION_NODES:
-        return "expression"
-    if meta.n_nodes <= MAX_SHIPPED_NODES:
-        return "vectorised"
-    return "relational"
-
-
-def score(forest: Forest, df: DataFrame, key: str, features, strategy: str = "auto",
+def score(forest: Forest, df: DataFrame, key: str, features, strategy: str = "vectorised",
           carry: Sequence[str] = ()) -> DataFrame:
-    if strategy == "auto":
-        strategy = choose_strategy(forest.meta)
+    """Score by the named plan; all plans give the same scores."""
     return STRATEGIES[strategy](forest, df, key, features, carry=carry)
