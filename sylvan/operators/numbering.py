@@ -7,7 +7,7 @@ its partition plus the row count of all earlier partitions is its global
 number.  The ranged rows are written once as a table in the shared folder,
 so the count pass and the numbering pass see the very same partitions even
 if an executor is lost in between.  Only one count per partition reaches
-the driver.
+the driver; their running sum goes back as a small table that is joined.
 """
 
 from __future__ import annotations
@@ -46,17 +46,13 @@ def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
     path = scratch_path(spark, "ranged")
     ranged.write.parquet(path)
     ranged = spark.read.parquet(path)
-    counts = dict(ranged.groupBy("_pid").count().collect())
-    n_parts = max(counts) + 1 if counts else 0
     offsets, acc = [], 0
-    for p in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    if not offsets:
-        offsets = [0]
-    start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid"))
-    return ranged.select(*[F.col(c) for c in df.columns],
-                         (start + F.col("_local")).alias(out)).withMetadata(out, {"rows": acc})
+    for pid, rows in sorted(ranged.groupBy("_pid").count().collect()):
+        offsets.append((pid, acc))
+        acc += rows
+    starts = spark.createDataFrame(offsets, "_pid int, _start long")  # one row per partition
+    return ranged.join(F.broadcast(starts), "_pid").select(
+        *[F.col(c) for c in df.columns], (F.col("_start") + F.col("_local")).alias(out)).withMetadata(out, {"rows": acc})
 
 
 def row_count_of(numbered: DataFrame, out: str = "row_no") -> int:

@@ -11,7 +11,7 @@ from sylvan.operators import runlogs as R
 from sylvan.operators import score as S
 from sylvan.operators.forest import NODE_SCHEMA, Forest, ForestMeta, forest_stats
 from sylvan.operators.train import save_model, train_forest
-from sylvan.plans.features import EVENT_FEATURES, event_features
+from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest
 from sylvan.plans.registry import query
 from sylvan.plans.training import _train_test
 from sylvan.session import scratch_path
@@ -71,6 +71,21 @@ def model_roundtrip_same(spark, sf_dir) -> DataFrame:
     return a.join(b, "event_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("prediction").eqNullSafe(F.col("again"))).alias("differ"))
 
 
+@query("plans_same_bits", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS relational, CAST(0 AS BIGINT) AS vectorised, "
+       "CAST(0 AS BIGINT) AS expression, CAST(0 AS BIGINT) AS grouped FROM events")
+def plans_same_bits(spark, sf_dir) -> DataFrame:
+    """F2 = F3 = F4 to the last bit for leaves that are no binary fractions, in one tree group or many:
+    rows whose score differs from the vectorised plan's."""
+    f = events_forest(spark, 30, 4)
+    forest = Forest(f.nodes.withColumn("value", F.col("value") / 3), f.meta)
+    x = event_features(spark, sf_dir, missing=True)
+    out = S.score_vectorised(forest, x, "event_id", EVENT_FEATURES).select("event_id", F.col("score").alias("base"))
+    plans = {**S.STRATEGIES, "grouped": lambda *a: S.score_relational(*a, max_group_nodes=200)}
+    for name, plan in plans.items():
+        out = out.join(plan(forest, x, "event_id", EVENT_FEATURES).select("event_id", F.col("score").alias(name)), "event_id", "left")
+    return out.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col("base").eqNullSafe(F.col(k))).alias(k) for k in plans])
+
+
 _NULL_KEY = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvan.functions import columns as C
-from sylvan.operators.encode import category_codes
+from sylvan.operators.encode import category_codes, encode_all_text
 from sylvan.operators.numbering import batch_counts as _batch_counts
 from sylvan.operators.numbering import capped_halves as _capped_halves
 from sylvan.operators.numbering import ordered_split as _ordered_split
@@ -13,6 +13,7 @@ from sylvan.operators.numbering import row_cap as _row_cap
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path
 from sylvan.sources import files
+from sylvan.sources.datasets import DATASETS, load_dataset
 from sylvan.sources.tables import table
 
 CUSTOMER_DDL = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -163,6 +164,29 @@ def category_codes_q(spark, sf_dir):
     return category_codes(part, "p_brand", out="code").select("p_partkey", "code")
 
 
+def _sql_codes(column: str) -> str:
+    return (f"CAST(coalesce((SELECT c FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS c FROM "
+            f"(SELECT DISTINCT {column} AS v FROM part WHERE {column} IS NOT NULL) x) d WHERE d.v = part.{column}), -1) AS INTEGER) AS {column}")
+
+
+@query("encode_text_columns", "SELECT p_partkey, p_size, p_retailprice, "
+       + ", ".join(_sql_codes(c) for c in ("p_name", "p_brand", "p_type")) + " FROM part")
+def encode_text_columns(spark, sf_dir):
+    """P5 for every text column of a table, dictionaries found in one pass."""
+    return encode_all_text(table(spark, sf_dir, "part"))
+
+
+@query("scan_dataset", "SELECT CAST(label % 2 AS INTEGER) AS label, "
+       + ", ".join(f"CAST(embedding[{i}] AS FLOAT) AS {c}" for i, c in enumerate(DATASETS["higgs"].columns) if i) + " FROM embeddings")
+def scan_dataset(spark, sf_dir):
+    """S1 / P1 by data-set name: a headerless gzip file in the set's layout, read by its schema."""
+    path = scratch_path(spark, "higgs_csv_gz")
+    emb = table(spark, sf_dir, "embeddings", ["label", "embedding"])
+    emb.select((F.col("label") % 2).cast("float"), *[F.col("embedding")[i].alias(f"e{i}") for i in range(28)]) \
+       .write.option("compression", "gzip").csv(path)
+    return load_dataset(spark, "higgs", path)
+
+
 # --- P8 / P9 / P11 / P16 ---------------------------------------------------------------
 
 @query("digits_to_number",

@@ -136,7 +136,10 @@ def runlog_samples(spark, sf_dir):
        "FROM s JOIN f USING (r) GROUP BY dataset, algo, framework, trees, batch_size")
 def runlog_max(spark, sf_dir):
     """gauges' maxima from the first idle sample of each run on."""
-    s = resource_samples(spark, write_resource_logs(spark, sf_dir))
+    # two passes follow: parse the text once
+    path = scratch_path(spark, "samples")
+    resource_samples(spark, write_resource_logs(spark, sf_dir)).drop("file_path").write.parquet(path)
+    s = spark.read.parquet(path)
     out = R.running_flag_max(s, ["run", "dataset", "algo", "framework", "trees", "batch_size"],
                              LINE_ORDER, F.col("gpu") == 0, ["gpu", "mem", "pyt"])
     return out.select("dataset", "algo", "framework", "trees", "batch_size",

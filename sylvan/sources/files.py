@@ -114,24 +114,27 @@ def read_jdbc(spark: SparkSession, url: str, table_or_query: str, partition_colu
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and a two-part line order.
-
-    ``line_major`` = (part number of the file, split start in bytes) packed
-    in one long (a log written by Spark as several part files is ordered by
-    part number; up to 8 M parts and 1 TB per file); ``line_minor`` = the
-    row's place in its task.  Lines of one split are read by one task in
-    file order, so (major, minor) orders the lines of a log even when a big
-    file is split across tasks.  Both are longs, so aggregates over them
-    stay hash aggregates.  The file path is percent-decoded.
+    """Text lines with their file and their order.
+
+    ``line_major`` = part number of the file, then split start in bytes (a log
+    written by Spark as several part files is ordered by part number);
+    ``line_minor`` = the row's place in its task.  Lines of one split are read
+    by one task in file order, so (major, minor) orders the lines of a log even
+    when a big file is split across tasks.  ``line_pos`` is both in one decimal
+    (9 + 19 + 10 digits; a part number beyond fails the cast), so one hash
+    aggregate finds a first or last line.  The file path is percent-decoded.
     """
     df = spark.read.text(path)
     path_col = F.url_decode(F.col("_metadata.file_path"))
     part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
                       .try_cast("long"), F.lit(0).cast("long"))
-    major = F.shiftleft(part, 40).bitwiseOR(F.col("_metadata.file_block_start"))
+    major = (part.cast("decimal(9,0)") * F.lit(10 ** 9).cast("decimal(10,0)") * F.lit(10 ** 10).cast("decimal(11,0)")
+             + F.col("_metadata.file_block_start").cast("decimal(19,0)")).cast("decimal(28,0)")
     minor = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.select(path_col.alias("file_path"), major.alias("line_major"), minor.alias("line_minor"),
-                     F.col("value").alias("line"))
+    lines = df.select(path_col.alias("file_path"), major.alias("line_major"), minor.alias("line_minor"),
+                      F.col("value").alias("line"))
+    pos = F.col("line_major") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("line_minor").cast("decimal(10,0)")
+    return lines.withColumn("line_pos", pos.cast("decimal(38,0)"))
 
 
-LINE_ORDER = ["line_major", "line_minor"]
+LINE_ORDER = ["line_pos"]

@@ -46,7 +46,7 @@ def resource_samples(spark: SparkSession, path: str) -> DataFrame:
                  .getItem(0).cast("int")).otherwise(F.lit(0))
     name = run_name(F.col("file_path"))
     return lines.select(F.col("file_path"), name.alias("run"), *run_attributes(name),
-                        F.col("line_major"), F.col("line_minor"),
+                        F.col("line_major"), F.col("line_minor"), F.col("line_pos"),
                         F.get(tok, F.lit(5)).cast("int").alias("gpu"),
                         F.get(tok, F.lit(8)).cast("int").alias("mem"),
                         F.get(tok, F.lit(10)).cast("int").alias("max_mem"),
@@ -61,7 +61,7 @@ def stage_lines(spark: SparkSession, path: str) -> DataFrame:
     for kw, name in reversed(STAGE_KEYWORDS):
         stage = F.when(F.col("line").contains(kw), F.lit(name)).otherwise(stage)
     name = run_name(F.col("file_path"))
-    return lines.select(name.alias("run"), *run_attributes(name), F.col("line_major"), F.col("line_minor"),
+    return lines.select(name.alias("run"), *run_attributes(name), F.col("line_major"), F.col("line_minor"), F.col("line_pos"),
                         stage.alias("stage"),
                         F.element_at(F.split(F.col("line"), " "), -1).try_cast("double").alias("value")) \
         .where(F.col("stage").isNotNull())
