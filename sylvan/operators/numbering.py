@@ -50,7 +50,7 @@ def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
     for pid, rows in sorted(ranged.groupBy("_pid").count().collect()):
         offsets.append((pid, acc))
         acc += rows
-    starts = spark.createDataFrame(offsets, "_pid int, _start long")  # one row per partition
+    starts = spark.createDataFrame(offsets, "_pid int, _start long").coalesce(1)  # one row per partition
     return ranged.join(F.broadcast(starts), "_pid").select(
         *[F.col(c) for c in df.columns], (F.col("_start") + F.col("_local")).alias(out)).withMetadata(out, {"rows": acc})
 
