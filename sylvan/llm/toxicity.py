@@ -13,7 +13,7 @@ into a probability by a logistic fit on cross-fitted evidence (each half of
 the sample scored with the other half's lexicon).
 
 The model is fitted on a bounded sample of labelled rows: about ``DOCS`` at
-most, chosen by hash, equal texts once; the lexicon holds at most ``LEXICON``
+most, chosen by hash, one text of each id, equal texts once; the lexicon holds at most ``LEXICON``
 tokens.
 
 Defined results: null or empty text has no evidence and gets the score of
@@ -154,6 +154,8 @@ def training_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc
     picked = own.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, -(-n // docs_bound)))) == 0).limit(2 * docs_bound)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")  # bounded by the limit
     h = F.xxhash64("text")
+    # one text an id: an id that holds a third of all rows adds one row to the sample
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", h).alias("text"), F.first("toxic").alias("toxic"))
     return materialise(spark, rows.groupBy(h.alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
                        .select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold")), "tox-sample")
 
