@@ -34,6 +34,14 @@ def id_crc32(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
 
 
+def spare(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have in any case: ``__stem``, underscores added as needed."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a lookup table below which it is sent to every executor.
 BROADCAST_ROWS = 100_000
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import SPACES, materialise, text_or_empty
+from sylvan.llm.common import SPACES, materialise, spare, text_or_empty
 
 #: Summary counters per task, and the most digests that may be broadcast.
 COUNTERS, TOP = 8192, 256
@@ -32,15 +32,14 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def frequent(table: DataFrame, share: float = 1e-4) -> DataFrame:
     """Digests whose exact count is at least ``share`` of all rows (2 at least): <= TOP rows."""
-    spark = table.sparkSession
     h = F.xxhash64("digest")
-    found = table.select(h.alias("h")).agg(F.expr(f"approx_top_k(h, {TOP}, {COUNTERS})").alias("top"),
-                                           F.count(F.lit(1)).alias("n")).first()
-    least = max(2, int(found.n * share))
-    items = [(int(x["item"]),) for x in (found.top or []) if x["count"] >= least]
-    candidates = spark.createDataFrame(items, "h long")
-    return (table.withColumn("h", h).join(F.broadcast(candidates), "h", "left_semi")
-                 .groupBy("digest").agg(*_stats()).where(F.col("group_size") >= least))
+    summary = table.select(h.alias("h")).agg(F.expr(f"approx_top_k(h, {TOP}, {COUNTERS})").alias("top"),
+                                             F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * share)).alias("least"))
+    candidates = (summary.select(F.explode("top").alias("x"), "least").where(F.col("x.count") >= F.col("least"))
+                         .select(F.col("x.item").alias("h"), "least"))  # TOP rows at most
+    return (table.withColumn("h", h).join(F.broadcast(candidates), "h")
+                 .groupBy("digest").agg(*_stats(), F.first("least").alias("least"))
+                 .where(F.col("group_size") >= F.col("least")).drop("least"))
 
 
 def _stats():
@@ -66,9 +65,10 @@ def dedup_report(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
 
 def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, columns unchanged."""
-    rows = materialise(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "dup-rows")
+    row = spare(docs, "row")
+    rows = materialise(spark, docs.withColumn(row, F.monotonically_increasing_id()), "dup-rows")
     t = text_or_empty(text)
-    table = materialise(spark, rows.select(F.col(key).alias("doc_id"), F.col("__row").alias("row"), F.length(t).alias("chars"),
+    table = materialise(spark, rows.select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.length(t).alias("chars"),
                                            F.unhex(F.sha2(F.translate(t, SPACES, "").cast("binary"), 256)).alias("digest")), "dup-digests")
-    gone = decide(spark, table).where("not kept").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = decide(spark, table).where("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -148,6 +148,8 @@ def mix_sizes(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", source="source", **kw) -> DataFrame:
     """The mix itself: each document as often as it is taken, columns unchanged."""
     _, plan = mix_plan(spark, docs, key=key, text=text, source=source, **kw)
-    out = with_copies(docs.withColumn("__hash", doc_hash(key, text)), plan, source, "__hash")
-    return (out.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-               .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    # the row travels as one struct, so no name of its columns meets the plan's
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = with_copies(docs.select(F.col(source).alias("source"), doc_hash(key, text).alias("hash"), whole.alias("doc")), plan)
+    return (out.where("__copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+               .select(*[F.col(f"doc.`{c}`") for c in docs.columns]))

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import materialise, workers_ready
+from sylvan.llm.common import materialise, spare, workers_ready
 from sylvan.llm.components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
@@ -131,9 +131,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key="doc_id", text="te
 
 def unique_documents(spark: SparkSession, docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """One document of each group, the one with the least (id, row); columns unchanged."""
-    rows = materialise(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    table = fingerprints(spark, rows.select(F.struct("__row").alias("__id"), F.col("__row"), F.col(text).alias("__text")), "__row", "__text")
-    ids = rows.select(F.col("__row").alias("row"), F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("k"), F.col("__row").alias("row")).alias("id"))
+    row = spare(docs, "row")
+    rows = materialise(spark, docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    table = fingerprints(spark, rows.select(F.col(row).alias("row"), F.col(text).alias("text")), "row", "text")
+    ids = rows.select(F.col(row).alias("row"), F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("k"), F.col(row).alias("row")).alias("id"))
     table = materialise(spark, table.join(ids, table["id"] == ids["row"]).select(ids["id"], "f"), "near-ranked")
-    stay = near_groups(spark, table).select(F.col("component_id.row").alias("__row")).distinct()
-    return rows.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = near_groups(spark, table).select(F.col("component_id.row").alias(row)).distinct()
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

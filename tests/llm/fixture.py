@@ -10,7 +10,9 @@ SCHEMA = T.StructType([
     # names that operators use inside
     T.StructField("size", T.LongType()), T.StructField("row", T.StringType()), T.StructField("hash", T.StringType()),
     T.StructField("n", T.StringType()), T.StructField("f", T.IntegerType()), T.StructField("part", T.StringType()),
-    T.StructField("digest", T.StringType()), T.StructField("vslot", T.StringType()), T.StructField("id", T.StringType())])
+    T.StructField("digest", T.StringType()), T.StructField("vslot", T.StringType()), T.StructField("id", T.StringType()),
+    T.StructField("__row", T.StringType()), T.StructField("__hash", T.StringType()), T.StructField("__copies", T.StringType()),
+    T.StructField("__plan_source", T.StringType()), T.StructField("doc", T.StringType()), T.StructField("k", T.StringType())])
 
 
 def rows(seed: int = 1, repeat_ids: bool = True) -> list[tuple]:
@@ -20,7 +22,7 @@ def rows(seed: int = 1, repeat_ids: bool = True) -> list[tuple]:
     out: list[tuple] = []
 
     def add(i, text, lang="en", source="a"):
-        out.append((i, text, lang, source, len(text or ""), 1, "r", None, "n", 3, "p", "d", "v", f"x{i}"))
+        out.append((i, text, lang, source, len(text or ""), 1, "r", None, "n", 3, "p", "d", "v", f"x{i}", f"row{i}", "h", None, "ps", "d", "k"))
 
     def prose(lang, n):
         return " ".join(rng.choice(vocab[lang]) + rng.choice(["", "", "s", ","]) for _ in range(n))

@@ -9,7 +9,7 @@ from zlib import crc32
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.llm import exactdup, mixing, sharding
+from sylvan.llm import exactdup, mixing, neardup, sharding
 
 import fixture
 
@@ -93,6 +93,13 @@ def test_exact_dedup(spark):
     assert Counter(hashlib.sha256(norm(r.text).encode()).hexdigest() for r in stay.collect()) == kept
 
 
+@pytest.mark.parametrize("keep", [exactdup.deduplicated, mixing.mixed, neardup.unique_documents])
+def test_kept_rows_are_rows_of_the_input(spark, keep):
+    """Whatever an operator calls its own columns, the document's come back as they were."""
+    docs = fixture.frame(spark)
+    assert set(map(tuple, keep(spark, docs).collect())) <= set(fixture.rows())
+
+
 def test_frequent_digests_are_split_off(spark):
     docs = fixture.frame(spark)
     table = exactdup.digests(docs).cache()
