@@ -31,7 +31,6 @@ sparse_long  rows given as (row key, feature, value) entries; only the
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -262,30 +261,70 @@ def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
                             absent: float | None = 0.0, keys: DataFrame | None = None) -> DataFrame:
     """F5 with the vectorised plan: sparse rows scored without densifying.
 
-    Only the features some split reads matter, so the forest is re-indexed
-    onto that used set U (model-sized, read once), each row's entries are
-    pivoted into |U| columns (one shuffle by key, like the map form), and
-    the vectorised walk runs on that narrow matrix.
+    Only entries of features the forest reads are kept (semi join, as in the
+    map form); a row's entries are grouped by key and the vectorised walk looks
+    features up in the Arrow batch's sorted entries, so memory follows the
+    entries there are, not rows x features.  A repeated entry raises.
     """
     meta = forest.meta
-    used = sorted(int(r[0]) for r in forest.used_features().collect())
+    if meta.n_nodes > MAX_SHIPPED_NODES:
+        # the same scores, walked in broadcast tree groups
+        return score_sparse_long(forest, entries, key, feature_col, value_col, absent, keys)
+    arrays = forest.to_arrays()
     spark = entries.sparkSession
-    if not used:
-        used = [0]
-    pos = spark.createDataFrame([(f, i) for i, f in enumerate(used)], "feature int, _pos int")
-    nodes = (forest.nodes.join(F.broadcast(pos), "feature", "left")
-             .withColumn("feature", F.col("_pos")).drop("_pos"))
-    narrow = Forest(nodes.select(*forest.nodes.columns), replace(meta, n_features=len(used)), forest.bounds)
-    kept = entries.select(F.col(key), F.col(feature_col).cast("int").alias("_f"),
-                          F.col(value_col).cast("double").alias("_v")) \
-        .where(F.col("_f").isin(used))
-    wide = kept.groupBy(key).pivot("_f", used).agg(F.first("_v"))
+    ship_package(spark)
+    bc = spark.sparkContext.broadcast(arrays)
+    width = max(1, int(arrays["feature"].max()) + 1)
+    used = F.broadcast(forest.used_features().withColumnRenamed("feature", "_f"))
+    kept = (entries.join(used, F.col(feature_col).cast("int") == F.col("_f"), "left_semi")
+            .where(F.col(value_col).isNotNull())
+            .groupBy(key).agg(F.collect_list(F.struct(F.col(feature_col).cast("int").alias("f"),
+                                                      F.col(value_col).cast("double").alias("v"))).alias("_e")))
     if keys is None:
         keys = entries.select(key).distinct()
-    rows = keys.select(key).join(wide, key, "left")
-    fill = F.lit(None).cast("double") if absent is None else F.lit(float(absent))
-    feats = [F.coalesce(F.col(f"`{f}`"), fill) for f in used]
-    return score_vectorised(narrow, rows, key, feats)
+    rows = keys.select(key).join(kept, key, "left").select(key, F.col("_e.f").alias("_fs"), F.col("_e.v").alias("_vs"))
+    combine, sum_cols = meta.combine, _sum_columns(meta)
+    fill = np.nan if absent is None else float(absent)
+
+    def run(batches):
+        a = bc.value
+        for pdf in batches:
+            X = SparseRows(pdf["_fs"], pdf["_vs"], width, fill)
+            got = walk_arrays(a, X, combine)
+            sums = got.T if combine == "vote" else got
+            yield pd.DataFrame({key: pdf[key], **dict(zip(sum_cols, sums))})
+
+    return finalize(rows.mapInPandas(run, _sum_schema(rows.schema[key], meta)), key, meta)
+
+
+class SparseRows:
+    """Rows of (features, values) lists, read like a matrix: ``X[rows, features]``
+    gives an entry's value, ``absent`` where there is none."""
+
+    def __init__(self, features, values, width: int, absent: float):
+        sizes = [0 if f is None else len(f) for f in features]
+        code = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * width
+        value = np.empty(0)
+        if len(code):
+            code += np.concatenate([f for f in features if f is not None]).astype(np.int64)
+            value = np.concatenate([v for v in values if v is not None]).astype(np.float64)
+        o = np.argsort(code)
+        code = code[o]
+        if (code[1:] == code[:-1]).any():
+            raise ValueError("a row has two entries for one feature")
+        # the last code is above every one asked for
+        self.codes = np.append(code, np.iinfo(np.int64).max)
+        self.values = np.append(value[o], absent)
+        self.shape, self.absent = (len(sizes), width), absent
+
+    def __getitem__(self, at):
+        rows, features = at
+        code = rows * self.shape[1] + features
+        i = np.searchsorted(self.codes, code)
+        return np.where(self.codes[i] == code, self.values[i], self.absent)
+
+    def any_missing(self) -> bool:
+        return bool(np.isnan(self.values).any())
 
 
 # ---------------------------------------------------------------------------
@@ -293,7 +332,7 @@ def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
 # ---------------------------------------------------------------------------
 
 def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_TREE_CHUNK):
-    """Walk all trees for a batch ``X`` (rows x features, NaN = missing).
+    """Walk all trees for a batch ``X`` (rows x features or :class:`SparseRows`, NaN = missing).
 
     Returns (sum of terms, sum of weights) or the per-class sums for 'vote';
     the terms lie on a grid on which any order of adding gives the same sum.
@@ -304,13 +343,14 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
     n = X.shape[0]
     roots = a["root"]
     vote = combine == "vote"
-    if X.shape[1] == 0:
+    sparse = isinstance(X, SparseRows)
+    if not sparse and X.shape[1] == 0:
         X = np.full((n, 1), np.nan)
     feature = np.where(a["feature"] < 0, 0, a["feature"])
     threshold = a["threshold"]
     kids = np.stack([a["left"], a["right"]], axis=1).ravel()
     any_lt = bool(a["is_lt"].any())
-    any_missing = bool(np.isnan(X).any())
+    any_missing = X.any_missing() if sparse else bool(np.isnan(X).any())
     if vote:
         acc = np.zeros((n, a["class_terms"].shape[1]))
     else:

@@ -153,7 +153,7 @@ def score_sparse_long(spark, sf_dir):
 
 @query("score_sparse_vectorised", _sql_sparse_fast())
 def score_sparse_vectorised(spark, sf_dir):
-    """F5 vectorised: used features pivoted to a narrow matrix, no densify."""
+    """F5 vectorised: features looked up in an Arrow batch's sorted entries, no densify."""
     forest = grid_forest(spark, T_, D_, EMBEDDING_RANGES)
     keys = table(spark, sf_dir, "embeddings", ["vec_id"])
     out = S.score_sparse_vectorised(forest, sparse_entries(spark, sf_dir), "vec_id", absent=0.0, keys=keys)
