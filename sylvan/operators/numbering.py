@@ -12,6 +12,7 @@ the driver; their running sum goes back as a small table that is joined.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +46,11 @@ def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
     # between two executions of the plan)
     path = scratch_path(spark, "ranged")
     ranged.write.parquet(path)
-    ranged = spark.read.parquet(path)
-    offsets, acc = [], 0
-    for pid, rows in sorted(ranged.groupBy("_pid").count().collect()):
-        offsets.append((pid, acc))
-        acc += rows
-    starts = spark.createDataFrame(offsets, "_pid int, _start long").coalesce(1)  # one row per partition
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    counts = ranged.groupBy("_pid").count().toPandas().sort_values("_pid")  # one row per partition
+    acc = int(counts["count"].sum())
+    starts = spark.createDataFrame(pd.DataFrame({"_pid": counts["_pid"], "_start": counts["count"].cumsum() - counts["count"]}),
+                                   "_pid int, _start long")
     return ranged.join(F.broadcast(starts), "_pid").select(
         *[F.col(c) for c in df.columns], (F.col("_start") + F.col("_local")).alias(out)).withMetadata(out, {"rows": acc})
 
