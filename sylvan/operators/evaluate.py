@@ -42,7 +42,8 @@ def classification_report(df: DataFrame, y: str, p: str, digits: int = 6) -> Dat
     a ``cube`` over these few counts; then per class, then per report line.
     """
     pairs = (df.select(F.col(y).cast("long").alias("y"), F.col(p).cast("long").alias("p"))
-             .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
+             .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
+             .coalesce(1))  # classes x classes counts: what follows needs no more exchange
     cube = pairs.cube("y", "p").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     # g: 0 = (y, p), 1 = (y), 2 = (p), 3 = ()
     g = F.col("g")
