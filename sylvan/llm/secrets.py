@@ -8,6 +8,14 @@ runs under ``RATIO`` are reported, after digests (hex of a hash's length,
 UUIDs), plain numbers, and identifiers (words of one case, with or without
 separators) are set aside. A run that touches a base span is that span's.
 
+Of an address (``@`` or ``://``) only the host is set aside: the dotted name
+after ``://`` and the user, or after the ``@`` of a mail address, labels of at
+most 63 characters. So a random string that is itself such a label is not
+reported. All else is tested: user names, passwords, paths, queries, and the
+rest of a text without spaces. Beside an address ``/`` may part a path: a digest
+between slashes is set aside by itself, and a run that is not reported whole is
+tested again in its parts between slashes.
+
 Defined results: null text has no spans (hash of the empty text); rows may
 repeat; an empty table gives no rows; ids and other columns are never read.
 Positions are code points, ends exclusive. A text is held whole by one task.
@@ -39,6 +47,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_/=+-]*")
+#: The host of an address (no last label is as long as SHORTEST), and what may be a digest in a path.
+_ASIDE = re.compile(r"(?P<host>(?:(?<=://)(?![\w.~%!$&'()*+,;=:-]*@)|(?<=[A-Za-z0-9._%+-]@))(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,18}(?![A-Za-z0-9_-]))"
+                    r"|(?<=/)(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9+_=-])", re.ASCII)
+_PART = re.compile(r"[A-Za-z0-9+_=-]{%d,}" % SHORTEST)
 _DIGEST_CHARS = (32, 40, 48, 56, 64, 96, 128)
 
 
@@ -54,11 +66,13 @@ def encoding(name: str = VOCABULARY):
     return held(("encoding", name), make)
 
 
+def looks_digest(run: str) -> bool:
+    return bool(_UUID.fullmatch(run) or len(run) in _DIGEST_CHARS and _DIGEST.fullmatch(run))
+
+
 def looks_known(run: str) -> bool:
     """Digests and identifiers: strings whose form says what they are."""
-    if _UUID.fullmatch(run) or run.isdigit():
-        return True
-    if len(run) in _DIGEST_CHARS and _DIGEST.fullmatch(run):
+    if looks_digest(run) or run.isdigit():
         return True
     return _IDENTIFIER.fullmatch(run) is not None
 
@@ -77,20 +91,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _besides_hosts(chunk: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in _ASIDE.finditer(chunk):
+        if m.lastgroup == "host" or looks_digest(m.group()):
+            yield at, m.start()
+            at = m.end()
+    yield at, len(chunk)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     out = []
+
+    def free(a: int, b: int) -> bool:
+        return not any(x < b and a < y for x, y, _ in taken)
+
+    def is_random(run: str) -> bool:
+        return not looks_known(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+
     for long in _LONG.finditer(text):
         if long.end() - long.start() < SHORTEST:
             continue
         at, chunk = long.start(), long.group()
-        if "@" in chunk or "://" in chunk:  # addresses
+        if "@" not in chunk and "://" not in chunk:
+            out += [(at + m.start(), at + m.end(), "random") for m in _RUN.finditer(chunk) if free(at + m.start(), at + m.end()) and is_random(m.group())]
             continue
-        for m in _RUN.finditer(chunk):
-            a, b, run = at + m.start(), at + m.end(), m.group()
-            if any(x < b and a < y for x, y, _ in taken) or looks_known(run):
-                continue
-            if len(run) < ratio * len(enc.encode_ordinary(run)):
-                out.append((a, b, "random"))
+        for lo, hi in _besides_hosts(chunk):
+            for m in _RUN.finditer(chunk, lo, hi):
+                run = m.group().strip("/")
+                a = at + m.start() + m.group().index(run)
+                b = a + len(run)
+                if len(run) >= SHORTEST and free(a, b) and is_random(run):
+                    out.append((a, b, "random"))
+                elif "/" in run:
+                    out += [(a + p.start(), a + p.end(), "random") for p in _PART.finditer(run) if free(a + p.start(), a + p.end()) and is_random(p.group())]
     return out
 
 

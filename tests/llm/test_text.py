@@ -243,6 +243,20 @@ def test_secrets(spark):
     assert out[4].spans == f"random:4:{4 + len(SECRET)}" and out[8].spans == "" and out[9].spans == ""
 
 
+def test_secrets_beside_addresses():
+    """Only the host of an address is left out, not the chunk that holds it."""
+    enc = secrets.encoding()
+    path = "/organisation/projects/production/deployments/notifications/"
+    for t in (f"https://host.example.com/hook?sig={SECRET}", f"postgres://u:{SECRET}@db.example.com/x", f"https://{SECRET}@git.example.com/a", f"https://{SECRET}/",
+              f'{{"mail":"a@b.org","n":1,"k":"{SECRET}"}}', f'{{"k":"{SECRET}","mail":"a@b.org"}}', "a@b.org," * 5000 + SECRET, f"x@b.{SECRET}",
+              f"https://host.example.com{path}{SECRET}", f"https://host.example.com/{hashlib.sha1(b'x').hexdigest()}/{SECRET}"):
+        got = [t[a:b] for a, b, _ in secrets.random_spans(t, secrets.base_spans(t), enc)]
+        assert len(got) == 1 and got[0].endswith(SECRET), (t[-90:], got)
+    for t in ("https://www.example.com/2023/05/12/a-long-title-of-an-article_here/index.html?page=12", "someone.with.a.long.name@mail.example.co.uk",
+              f"x@{SECRET}.com", f"https://{SECRET}.example.com:8080/a", "https://host.example.com/id/123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets.random_spans(t, secrets.base_spans(t), enc) == [], t
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["token", "TOKEN", "=", ":", " ", "'", '"', "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKL", "x", "\n", "api_key", "é", "."]), max_size=14).map("".join))
 def test_base_spans(text):
