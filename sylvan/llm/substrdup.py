@@ -13,11 +13,18 @@ row, so at most 64 MB of bits are broadcast whatever the corpus. It never
 underestimates; when the corpus outgrows it, more windows pass and the second
 pass has more to group, and none is lost.
 
-Pass 2 looks only at windows estimated repeated. Inside a task all documents
-but the least of a window are settled at once, so a window that a third of all
-documents share leaves one entry a task; that least entry goes to the task of
-its window, which compares it with the other tasks' entries. What comes out,
-(document, windows to remove), is joined back by id, and the text is cut there.
+Pass 2 looks only at windows estimated repeated. Whether a window of a row is
+removed depends on the window and the row's id alone. Inside a task all
+documents but the least of a window are settled at once, so a window that a
+third of all documents share leaves one entry a task; that entry goes to the
+task of its window, which compares it with the other tasks' entries. Further
+rows of the same least id (an id may hold any share of the rows) wait apart,
+by the batch they came in, for the verdict on that entry.
+
+What comes out is kept by (id, ``part``), part being a 32-bit hash of the row's
+text: it spreads the rows of one id, and rows equal in both share one list, of
+each window once. It is joined back by both, and the text is cut there. Two
+texts of one id in one part only share a list, as their verdicts are the same.
 
 Windows are told apart by a 64-bit hash of their 13 word hashes (two different
 windows among n collide with probability about n * n / 2**65).
@@ -158,77 +165,151 @@ def repeated_cells(spark: SparkSession, texts: DataFrame, bits: int, width: int)
     return out
 
 
-def _by_doc(doc: np.ndarray, h: np.ndarray) -> list[tuple[int, bytes]]:
-    """(document, its windows) from parallel arrays."""
-    if not len(doc):
+#: Rows of the second pass: windows to remove, windows waiting for a verdict, least windows of a batch, verdicts to remove.
+GONE, WAITING, OPEN, VERDICT = range(4)
+_FIELDS = ["slot", "kind", "batch", "doc", "part", "hs", "docs", "parts", "crowd"]
+_PASS2 = "slot long, kind int, batch long, doc long, part int, hs binary, docs binary, parts binary, crowd binary"
+
+
+def _cuts(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each stretch of equal keys in parallel sorted arrays."""
+    n = len(keys[0])
+    if not n:
         return []
-    o = np.argsort(doc, kind="stable")
-    doc, h = doc[o], h[o]
-    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    return [(int(doc[lo]), h[lo:hi].tobytes()) for lo, hi in zip(starts, np.append(starts[1:], len(doc)))]
+    starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n]))
+
+
+def _by_row(doc: np.ndarray, part: np.ndarray, h: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(document, part, its windows) from parallel arrays."""
+    o = np.lexsort((part, doc))
+    doc, part, h = doc[o], part[o], h[o]
+    return [(int(doc[lo]), int(part[lo]), h[lo:hi].tobytes()) for lo, hi in _cuts(doc, part)]
+
+
+def _piece(batch, h: np.ndarray):
+    """What of a batch waits together: its windows in 16 pieces."""
+    return batch * 16 + (h & np.uint64(15)).astype(np.int64)
+
+
+def _spread(a: int, b: int, buckets: int) -> int:
+    return ((a * int(_STEP) + b * int(_ROW2)) >> 32) % buckets
+
 
+def _gone(doc: np.ndarray, part: np.ndarray, h: np.ndarray, buckets: int) -> list[tuple]:
+    return [(_spread(d, p, buckets), GONE, 0, d, p, x, None, None, None) for d, p, x in _by_row(doc, part, h)]
 
-def _settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by window; (h, doc, whether a smaller document has the window)."""
+
+def _joined(column: pd.Series, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=dtype) for x in column])
+
+
+def _settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by window; (the order, whether a smaller document has the window, in that order)."""
     o = np.argsort(h, kind="stable")
     h, doc = h[o], doc[o]
     first = np.concatenate(([True], h[1:] != h[:-1]))
     least = np.minimum.reduceat(doc, np.flatnonzero(first))
-    return h, doc, doc > least[np.cumsum(first) - 1]
+    return o, doc > least[np.cumsum(first) - 1]
+
+
+def hand_on(held: list[tuple[int, int, np.ndarray]], batch: int, buckets: int) -> pd.DataFrame:
+    """What a batch of (document, part, windows) leaves for the second pass."""
+    sizes = [len(x) for *_, x in held]
+    h = np.concatenate([x for *_, x in held])
+    doc = np.repeat(np.array([d for d, *_ in held], dtype=np.int64), sizes)
+    part = np.repeat(np.array([p for _, p, _ in held], dtype=np.int32), sizes)
+    o, late = _settle(h, doc)
+    h, doc, part = h[o], doc[o], part[o]
+    rows = _gone(doc[late], part[late], h[late], buckets)
+    h, doc, part = h[~late], doc[~late], part[~late]  # never empty: each window has its least
+    keep = np.concatenate(([True], h[1:] != h[:-1]))
+    nth = np.cumsum(keep) - 1
+    waits = part != part[keep][nth]  # another row of the least id; equal rows share the entry
+    crowd = np.zeros(int(nth[-1]) + 1, dtype=np.uint8)
+    crowd[nth[waits]] = 1
+    if waits.any():
+        w = np.flatnonzero(waits)
+        w = w[np.lexsort((part[w], h[w], _piece(batch, h[w])))]
+        w = w[np.concatenate(([True], (h[w[1:]] != h[w[:-1]]) | (part[w[1:]] != part[w[:-1]])))]
+        pieces = _piece(batch, h[w])
+        for lo, hi in _cuts(pieces):
+            g, x = int(pieces[lo]), w[lo:hi]
+            rows.append((_spread(g, 0, buckets), WAITING, g, 0, 0, h[x].tobytes(), doc[x].tobytes(), part[x].tobytes(), None))
+    h, doc, part = h[keep], doc[keep], part[keep]
+    b = (h & np.uint64(buckets - 1)).astype(np.int64)
+    o = np.lexsort((doc, b))
+    h, doc, part, crowd, b = h[o], doc[o], part[o], crowd[o], b[o]
+    for lo, hi in _cuts(b):
+        rows.append((int(b[lo]), OPEN, batch, 0, 0, h[lo:hi].tobytes(), doc[lo:hi].tobytes(), part[lo:hi].tobytes(),
+                     crowd[lo:hi].tobytes() if crowd[lo:hi].any() else None))
+    return pd.DataFrame(rows, columns=_FIELDS)
+
+
+def meet(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The batches' least entries of some windows compared; what is no such entry goes on as it is."""
+    open_ = pdf[pdf["kind"] == OPEN]
+    rest = pdf[pdf["kind"] != OPEN]
+    if not len(open_):
+        return rest
+    h, doc, part = _joined(open_["hs"], np.uint64), _joined(open_["docs"], np.int64), _joined(open_["parts"], np.int32)
+    sizes = [len(x) // 8 for x in open_["hs"]]
+    batch = np.repeat(open_["batch"].to_numpy(dtype=np.int64), sizes)
+    crowd = np.concatenate([np.zeros(n, dtype=np.uint8) if x is None else np.frombuffer(x, dtype=np.uint8) for n, x in zip(sizes, open_["crowd"])])
+    o, late = _settle(h, doc)
+    o = o[late]
+    rows = _gone(doc[o], part[o], h[o], buckets)
+    o = o[crowd[o] == 1]
+    pieces = _piece(batch[o], h[o])
+    by = np.argsort(pieces, kind="stable")
+    pieces, o = pieces[by], o[by]
+    for lo, hi in _cuts(pieces):
+        g = int(pieces[lo])
+        rows.append((_spread(g, 0, buckets), VERDICT, g, 0, 0, h[o[lo:hi]].tobytes(), None, None, None))
+    return pd.concat([rest, pd.DataFrame(rows, columns=_FIELDS)]) if rows else rest
+
+
+def release(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """(doc, part, hs): windows to remove, with those that waited for a verdict."""
+    gone = pdf[pdf["kind"] == GONE]
+    rows = list(zip(gone["doc"], gone["part"], gone["hs"]))
+    verdicts = pdf[pdf["kind"] == VERDICT].groupby("batch")["hs"].agg(lambda c: b"".join(c)).to_dict()
+    for g, hs, docs, parts in pdf.loc[pdf["kind"] == WAITING, ["batch", "hs", "docs", "parts"]].itertuples(index=False):
+        if g in verdicts:
+            h = np.frombuffer(hs, dtype=np.uint64)
+            hit = np.isin(h, np.frombuffer(verdicts[g], dtype=np.uint64))
+            rows += _by_row(np.frombuffer(docs, dtype=np.int64)[hit], np.frombuffer(parts, dtype=np.int32)[hit], h[hit])
+    return pd.DataFrame([(d, p, np.frombuffer(x, dtype=np.int64)) for d, p, x in rows], columns=["doc", "part", "hs"])
 
 
 def removable(spark: SparkSession, texts: DataFrame, twice: np.ndarray, bits: int, buckets: int, width: int) -> DataFrame:
-    """(doc, hs): documents and the windows of theirs that a smaller document has too."""
+    """(doc, part, hs): rows, and the windows of theirs that a smaller document has too."""
     shared = spark.sparkContext.broadcast(twice)
 
-    def hand_on(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-        h = np.concatenate([x for _, x in held])
-        doc = np.repeat(np.array([d for d, _ in held], dtype=np.int64), [len(x) for _, x in held])
-        h, doc, gone = _settle(h, doc)
-        rows = [(d % buckets, True, d, x, None) for d, x in _by_doc(doc[gone], h[gone])]
-        h, doc = h[~gone], doc[~gone]
-        keep = np.concatenate(([True], (h[1:] != h[:-1]))) if len(h) else np.empty(0, bool)
-        h, doc = h[keep], doc[keep]
-        b = (h & np.uint64(buckets - 1)).astype(np.int64)
-        o = np.lexsort((doc, b))
-        h, doc, b = h[o], doc[o], b[o]
-        starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
-        for lo, hi in zip(starts, np.append(starts[1:], len(b))):
-            rows.append((int(b[lo]), False, 0, h[lo:hi].tobytes(), doc[lo:hi].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "settled", "doc", "hs", "docs"])
-
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        batch = TaskContext.get().partitionId() << 32  # and the place in the task
         bitmap, held, n = shared.value, [], 0
         seven = np.uint32(7)
         for pdf in batches:
-            for d, t in zip(pdf["doc"], pdf["text"]):
+            for d, p, t in zip(pdf["doc"], pdf["part"], pdf["text"]):
                 h = window_hashes((t or b"").split(), width)
                 for r in (0, 1):
                     if len(h):
                         c = _cells(h, r, bits)
                         h = h[(bitmap[r][c >> np.uint32(3)] >> (c & seven).astype(np.uint8)) & 1 == 1]
                 if len(h):
-                    held.append((d, h))
+                    held.append((d, p, h))
                     n += len(h)
                 if n >= FLUSH:
-                    yield hand_on(held)
-                    held, n = [], 0
+                    yield hand_on(held, batch, buckets)
+                    batch, held, n = batch + 1, [], 0
         if held:
-            yield hand_on(held)
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        settled = pdf["settled"].to_numpy(dtype=bool)
-        rows = list(zip(pdf["doc"][settled], pdf["hs"][settled]))
-        open_ = pdf[~settled]
-        if len(open_):
-            h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in open_["hs"]])
-            doc = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in open_["docs"]])
-            h, doc, gone = _settle(h, doc)
-            rows += _by_doc(doc[gone], h[gone])
-        return pd.DataFrame(rows, columns=["doc", "hs"])
+            yield hand_on(held, batch, buckets)
 
-    return (texts.mapInPandas(candidates, "bucket long, settled boolean, doc long, hs binary, docs binary")
-                 .groupBy("bucket").applyInPandas(meet, "doc long, hs binary"))
+    return (texts.mapInPandas(candidates, _PASS2)
+                 .groupBy("slot").applyInPandas(lambda pdf: meet(pdf, buckets), _PASS2)
+                 .groupBy("slot").applyInPandas(lambda pdf: release(pdf, buckets), "doc long, part int, hs array<long>"))
 
 
 def _cut(width: int):
@@ -239,7 +320,7 @@ def _cut(width: int):
                 words = (t or b"").split()
                 n = len(words)
                 if hs is not None and len(hs):
-                    hit = np.isin(window_hashes(words, width), np.frombuffer(b"".join(hs), dtype=np.uint64))
+                    hit = np.isin(window_hashes(words, width), np.asarray(hs, dtype=np.int64).view(np.uint64))
                     edge = np.zeros(n + 1, dtype=np.int64)
                     edge[:len(hit)] += hit
                     edge[width:width + len(hit)] -= hit
@@ -254,17 +335,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, key="doc_id", text="te
     """One row per document: doc_id, n_words, n_removed, kept (the text that is left, UTF-8 bytes)."""
     workers_ready(spark)
     raw = F.col(text).cast("string").cast("binary")
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID)).alias("doc"), raw.alias("text"))
+    row = [F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.hash(raw).alias("part"), raw.alias("text")]
+    texts = docs.select(*row)
     # a window needs a word and a space at least; about six bytes a word are usual
     may_be = (docs.select(F.sum(F.octet_length(raw))).first()[0] or 0) // 6 + 1
     bits = min(max_bits, max(12, (2 * may_be - 1).bit_length()))
     buckets = max(LEAST_BUCKETS, 1 << (may_be // (2 * PER_BUCKET)).bit_length())
     twice = repeated_cells(spark, texts, bits, width)
-    gone = removable(spark, texts, twice, bits, buckets, width).groupBy("doc").agg(F.collect_list("hs").alias("hs"))
+    # a row's windows at most, and those once for each batch that has an equal row
+    gone = (removable(spark, texts, twice, bits, buckets, width).groupBy("doc", "part")
+            .agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID)).alias("doc"), raw.alias("text"))
-    return (rows.join(gone, "doc", "left").select("id", "text", "hs")
+    return (docs.select(F.col(key).cast("string").alias("id"), *row).join(gone, ["doc", "part"], "left").select("id", "text", "hs")
                 .mapInPandas(_cut(width), "id string, n_words long, n_removed long, kept binary")
                 .select(F.col("id").cast(kind).alias("doc_id"), "n_words", "n_removed", "kept"))
-
-

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -162,6 +163,52 @@ def test_substring_dedup(spark, monkeypatch, max_bits, flush):
     assert Counter(map(tuple, out.collect())) == removed_brute(fixture.rows())
 
 
+def one_id_rows():
+    """Ids 9 and null each hold a third of the rows, which repeat passages of ids 1 and 2; also the passages of id 9 alone, and equal rows."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    p, q, own = words(30), words(40), words(20)
+    data = [(9, f"{words(15)} {p} {words(5)} {own}") for _ in range(60)] + [(None, f"{q} {words(14)}") for _ in range(60)]
+    data += [(9, f"x {p}"), (9, f"x {p}")] * 5 + [(i, words(30)) for i in range(20, 70)] + [(80, f"{own} {words(3)}")]
+    rng.shuffle(data)
+    return data[:90] + [(1, f"{words(3)} {p}"), (2, f"{q} {words(13)}")] + data[90:]
+
+
+@pytest.mark.parametrize("flush", [3_000_000, 300])
+def test_substring_dedup_of_one_id(spark, monkeypatch, flush):
+    monkeypatch.setattr(substrdup, "FLUSH", flush)
+    data = one_id_rows()
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = substrdup.substring_dedup(spark, docs)
+    assert Counter(map(tuple, out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect())) == removed_brute(data)
+
+    def joined(width):  # what the join brings to a row, in windows, against the row's own
+        def run(batches):
+            for pdf in batches:
+                n = [0 if hs is None else sum(len(x) // 8 if isinstance(x, bytes) else 1 for x in hs) for hs in pdf["hs"]]
+                yield pdf.assign(n_words=[max(0, len(t.split()) - width + 1) for t in pdf["text"]], n_removed=n, kept=b"")[["id", "n_words", "n_removed", "kept"]]
+        return run
+
+    monkeypatch.setattr(substrdup, "_cut", joined)
+    rows = substrdup.substring_dedup(spark, docs).collect()
+    assert any(r.n_removed for r in rows) and all(r.n_removed <= r.n_words for r in rows)
+
+
+def test_rows_of_one_id_are_spread():
+    """2,000 rows of an id share a window with a smaller id of the same batch, or of another one."""
+    h, buckets = np.array([7], dtype=np.uint64), 128
+    held = [(9, p, h) for p in range(2000)]
+    got = substrdup.hand_on([(1, 0, h), *held], 5, buckets)
+    gone = got[got["kind"] == substrdup.GONE]
+    assert len(gone) == 2000 and gone.groupby("slot").size().max() < 40
+    first, other = substrdup.hand_on(held, 5, buckets), substrdup.hand_on([(1, 0, h)], 6, buckets)
+    both = pd.concat([first, other])
+    assert sum(len(x) // 8 for x in both.loc[both["kind"] == substrdup.OPEN, "hs"]) == 2  # an entry a batch
+    met = pd.concat([substrdup.meet(g, buckets) for _, g in both.groupby("slot")])
+    out = pd.concat([substrdup.release(g, buckets) for _, g in met.groupby("slot")])
+    assert sorted(out["part"]) == list(range(2000)) and set(out["doc"]) == {9} and all(x.tolist() == [7] for x in out["hs"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=300))
 def test_cell_coding(cells):
