@@ -11,10 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sylvan.operators import score as S
-from sylvan.operators.forest import forest_stats
+from sylvan.operators.forest import forest_stats, grid_forest
 from sylvan.operators.numbering import ordered_split
 from sylvan.operators.train import save_model, train_forest, train_from_table as _train_from_table
-from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_score_events
+from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_score_events, sql_walk_sums
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path, shared_dir
 from sylvan.sinks.writers import append_runs
@@ -198,6 +198,35 @@ def sparse_to_dense(spark, sf_dir):
                      F.get(dense, F.lit(4)).alias("fives"))
 
 
+#: Features the forest of the sparse scoring reads (words of 1 to 24 characters) and their range.
+SPARSE_RANGES = [(0.0, 64.0)] * 24
+
+_SPARSE_SCORE_SQL = (sql_walk_sums(_SPARSE_SQL + "SELECT CAST(label AS BIGINT) AS doc_id, list_transform(range(1, 25), "
+                                   "lambda j: CAST(len(list_filter(ls, lambda k: k = j)) AS DOUBLE)) AS xs FROM d",
+                                   "doc_id", "x.xs", T_, D_, SPARSE_RANGES)
+                     + "SELECT k AS doc_id, sum(value * tree_weight) AS score FROM leaves GROUP BY k")
+
+
+def _score_libsvm(spark, sf_dir, score):
+    from sylvan.sources.files import read_libsvm_long
+    long = (read_libsvm_long(spark, write_libsvm(spark, sf_dir))
+            .select(F.col("label").cast("long").alias("doc_id"), "feature", "value"))
+    forest = grid_forest(spark, T_, D_, SPARSE_RANGES)
+    out = score(forest, long.where(F.col("feature").isNotNull()), "doc_id", absent=0.0, keys=long.select("doc_id").distinct())
+    return out.select("doc_id", "score")
+
+
+@query("score_sparse_long_documents", _SPARSE_SCORE_SQL)
+def score_sparse_long_documents(spark, sf_dir):
+    """F5 from a sparse file: every entry of its lines, no value cut."""
+    return _score_libsvm(spark, sf_dir, S.score_sparse_long)
+
+
+@query("score_sparse_vectorised_documents", _SPARSE_SCORE_SQL)
+def score_sparse_vectorised_documents(spark, sf_dir):
+    return _score_libsvm(spark, sf_dir, S.score_sparse_vectorised)
+
+
 # --- runs table ----------------------------------------------------------------------
 
 @query("runs_append", " UNION ALL ".join(

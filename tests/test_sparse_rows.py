@@ -1,5 +1,7 @@
 """Sparse rows inside the vectorised walk: look-ups like a matrix, scores like the map form."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -38,3 +40,16 @@ def test_same_scores_as_the_map_form(spark, combine, absent):
     a = S.score_sparse_vectorised(forest, entries, "k", absent=absent, keys=keys).collect()
     b = S.score_sparse_long(forest, entries, "k", absent=absent, keys=keys).collect()
     assert len(a) == 210 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("form", ["score_sparse_long", "score_sparse_vectorised"])
+def test_every_entry_of_the_documents_is_scored(spark, monkeypatch, form):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    given = []
+    score = getattr(S, form)
+    monkeypatch.setattr(S, form, lambda forest, entries, *a, **k: given.append(entries) or score(forest, entries, *a, **k))
+    out = E.queries()[f"{form}_documents"](spark, SF_SMALL)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()]
+    assert given[0].count() == sum(len({min(len(w), 1000) for w in re.findall(r"[^\x20\x09-\x0D]+", t)}) for t in texts)
+    assert out.count() == len(texts)
