@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tools.oracle_check import rows_of
 
-from conftest import SF_SMALL
+from places import SF_SMALL
 
 ORACLES = E.oracle_sql()
 ROWS_ONLY = sorted(set(E.queries()) - set(ORACLES))

@@ -45,7 +45,7 @@ def test_same_scores_as_the_map_form(spark, combine, absent):
 @pytest.mark.parametrize("form", ["score_sparse_long", "score_sparse_vectorised"])
 def test_every_entry_of_the_documents_is_scored(spark, monkeypatch, form):
     import __spark_entry__ as E
-    from conftest import SF_SMALL
+    from places import SF_SMALL
     given = []
     score = getattr(S, form)
     monkeypatch.setattr(S, form, lambda forest, entries, *a, **k: given.append(entries) or score(forest, entries, *a, **k))
