@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sylvan.session import shared_dir, ship_package
@@ -70,6 +71,13 @@ def held(key, make):
     one before it remembered, so a worker's memory is that of one operator.
     """
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator left in this worker process; called by tasks that hold nothing themselves."""
+    if _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()

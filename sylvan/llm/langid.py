@@ -34,6 +34,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sylvan.llm.common import held, id_crc32, text_or_empty, workers_ready
@@ -44,17 +45,28 @@ DOCS, RUN_WORDS = 3000, 120
 SPAN, SPANS, EPOCHS, STEP = 12, 4, 8, 0.5
 BUCKETS = 1 << 16
 LEXICON_LEAST = 5
-REMEMBERED = 200_000
+#: Bytes that the words a worker remembers take, about.
+REMEMBERED = 32 << 20
 #: Words of the padded batches in which texts are labelled side by side.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 #: Texts whose words a worker holds at once.
-TEXTS = 1000
+TEXTS = 250
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
+    """Runs of letters, in lower case. The pattern takes number letters (a half, a raised two) too; they part words here."""
+    found = _WORDS(text.lower()) if text else []
+    if not found or text.isascii():
+        return found
+    out = []
+    for w in found:
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -128,15 +140,27 @@ def learn_lexicon(runs: list[tuple[list[str], int]]) -> dict[str, int]:
             if sum(c.values()) >= LEXICON_LEAST and 10 * max(c.values()) >= 9 * sum(c.values())}
 
 
+def pieces_of(runs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+    """Runs cut into pieces of ``SPAN`` words; what is left of short runs is joined by language, its last piece
+    filled up by repeating itself. At least as many pieces as a sequence has."""
+    pieces, rest = [], defaultdict(list)
+    for w, y in runs:
+        whole = len(w) // SPAN * SPAN
+        pieces += [(w[i:i + SPAN], y) for i in range(0, whole, SPAN)]
+        rest[y] += w[whole:]
+    for y, w in sorted(rest.items()):
+        for i in range(0, len(w), SPAN):
+            part = w[i:i + SPAN]
+            pieces.append(((part * SPAN)[:SPAN], y))
+    return pieces * -(-SPANS // len(pieces)) if 0 < len(pieces) < SPANS else pieces
+
+
 def train(runs: list[tuple[list[str], int]], labels: list[str], seed: int = 7) -> Crf:
     """Fit the chain on runs of words with their language number, by AdaGrad on the log likelihood."""
     crf = Crf(labels)
     crf.lexicon = learn_lexicon(runs)
     rng = np.random.default_rng(seed)
-    pieces = [(w[i:i + SPAN], y) for w, y in runs for i in range(0, len(w), SPAN)]
-    pieces = [p for p in pieces if len(p[0]) == SPAN]
-    if not pieces:
-        pieces = [((w * SPAN)[:SPAN], y) for w, y in runs if w]
+    pieces = pieces_of(runs)
     table: dict[str, np.ndarray] = {w: np.array(features(w, crf.lexicon)) for ws, _ in pieces for w in ws}
     length, n_labels = SPAN * SPANS, len(labels)
     square_w = np.full((BUCKETS, n_labels), 1e-6, dtype=np.float32)
@@ -199,11 +223,13 @@ class Labeller:
         self.reset()
 
     def reset(self) -> None:
-        self.number = _Numbers()
+        self.number, self.used = _Numbers(), 0
         self.rows = np.empty((0, len(self.crf.labels)), dtype=np.float32)
 
     def factors(self) -> np.ndarray:
         """The factors of every word numbered so far."""
+        # a word, its number, its place in the table and its factors
+        self.used += sum(map(len, self.number.pending)) + len(self.number.pending) * (200 + 4 * len(self.crf.labels))
         for lo in range(0, len(self.number.pending), 20_000):
             more = _factors(self.crf.emissions(self.number.pending[lo:lo + 20_000])).astype(np.float32)
             self.rows = np.concatenate([self.rows, more])
@@ -219,7 +245,7 @@ class Labeller:
             longest = len(texts[order[lo]])
             group = order[lo:lo + max(1, min(512, BATCH_WORDS // longest))]
             lo += len(group)
-            if len(self.number) > REMEMBERED:
+            if self.used > REMEMBERED:
                 self.reset()
             ids = np.zeros((longest, len(group)), dtype=np.int32)
             for j, i in enumerate(group):
@@ -260,7 +286,9 @@ def fit(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", lang="l
             yield pd.DataFrame(out, columns=["words", "lang"])
 
     workers_ready(spark)
-    got = sample.mapInPandas(runs, "words string, lang string").where("words != ''").distinct().limit(2 * docs_bound).collect()
+    # ordered by a hash, so that the bound takes the same rows in every run
+    got = (sample.mapInPandas(runs, "words string, lang string").where("words != ''").distinct()
+                 .orderBy(F.xxhash64("words", "lang"), "words", "lang").limit(2 * docs_bound).collect())
     seq = sorted((r.lang, r.words) for r in got)
     return train([(w.split(" "), labels.index(y)) for y, w in seq], labels) if seq else None
 
@@ -309,10 +337,17 @@ def accepted(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", la
         return docs.where(F.lit(False))
     mark, model = uuid.uuid4().hex, spark.sparkContext.broadcast(crf)
 
-    @F.pandas_udf("double")
-    def share(texts: pd.Series) -> pd.Series:
-        labeller = held(mark, lambda: Labeller(model.value))
-        out = [labeller.shares([words_of(t) for t in texts.iloc[lo:lo + TEXTS]]).max(axis=1) for lo in range(0, len(texts), TEXTS)]
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # only the texts of one slice become Python objects
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
+                shares = held(mark, lambda: Labeller(model.value)).shares([words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()])
+                yield batch.filter(pa.array(shares.max(axis=1) >= least)).select(list(range(batch.num_columns - 1)))
 
-    return docs.where(share(F.col(text).cast("string")) >= least)
+    workers_ready(spark)
+    # columns go by place under names of their own: a table may hold one name twice in different cases
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    given = plain.withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
+    return given.mapInArrow(keep, plain.schema).toDF(*docs.columns)

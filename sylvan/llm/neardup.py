@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import materialise, spare, workers_ready
+from sylvan.llm.common import materialise, release, spare, workers_ready
 from sylvan.llm.components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
@@ -62,6 +62,7 @@ def simhash(words: list[bytes], width: int = WIDTH) -> int:
 
 
 def _simhash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
     for pdf in batches:
         # bytes.lower() changes A-Z only and bytes.split() cuts at U+0020 and U+0009..U+000D
         f = np.fromiter((simhash((t or b"").lower().split()) for t in pdf["text"]), dtype=np.uint64, count=len(pdf))

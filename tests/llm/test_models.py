@@ -129,3 +129,37 @@ def test_toxicity_without_both_kinds(spark, labels):
     assert len(out) == 2 and {round(r.score, 6) for r in out} == {float(labels[0][1]) if labels else 0.0}
     none = toxicity.toxicity_report(spark, d.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert none.count() == 0
+
+
+# --- language identification: letters, short texts, few pieces -------------------
+
+def test_number_letters_are_no_letters(spark):
+    assert langid.words_of("½ ² ③ Ⅷ x²y 3") == ["x", "y"]
+    assert langid.words_of("Straße été 日本") == ["straße", "été", "日本"]
+    data = [(i, "the cat sat on the mat " * 3, "en") for i in range(40)] + [(100, "½ ² ③", "en"), (101, "x²", "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predictions(spark, docs).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+
+
+def test_a_language_of_short_texts_is_learned(spark):
+    data = [(i, "the cat sat on the mat and saw a dog by the door of a house", "en") for i in range(60)]
+    data += [(100 + i, "le chat de un ami", "fr") for i in range(60)]  # no text reaches one piece
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = langid.predictions(spark, docs).where("held_out").collect()
+    assert out and all(r.lang_pred == ("en" if r.doc_id < 100 else "fr") for r in out)
+
+
+def test_pieces_keep_every_word():
+    pieces = langid.pieces_of([(["a"] * 15, 0), (["b"] * 3, 1), (["c"] * 4, 1), ([], 0)])
+    assert len(pieces) >= langid.SPANS and all(len(w) == langid.SPAN for w, _ in pieces)
+    assert {y for _, y in pieces} == {0, 1} and {w for ws, y in pieces for w in ws if y == 1} == {"b", "c"}
+    crf = langid.train([(["le", "de"], 0), (["the", "of"], 1)], ["fr", "en"])
+    assert np.abs(crf.weights).max() > 0
+
+
+def test_the_sample_is_the_same_in_every_run(spark):
+    data = [(i, f"word{i} the cat number {i}", "en") for i in range(300)] + [(1000 + i, f"mot{i} le chat {i}", "fr") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    a, b = (langid.fit(spark, docs.repartition(n), docs_bound=20) for n in (2, 7))
+    assert a.lexicon == b.lexicon and np.array_equal(a.weights, b.weights)
