@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvan.operators.boost import Boosted, BoostParams, boost
 from sylvan.operators.evaluate import positive_weight, require_no_nulls
-from sylvan.sources.forests import forest_from_mllib_dir
+from sylvan.sources.forests import load_forest, save_forest
 
 DEFAULT_TREES = 10
 DEFAULT_DEPTH = 8
 BOOST_STEP = 0.1
+#: Names under which the library's own boosting is asked for.
+BOOSTED = ("xgboost", "lightgbm")
 
 
 def assemble(df: DataFrame, features: Sequence[str] | str, out: str = "features") -> DataFrame:
@@ -57,11 +61,15 @@ def train_forest(df: DataFrame, features: Sequence[str] | str, label: str, algor
                  positive_weighting: bool = False):
     """M1-M4: fit an MLlib forest; returns the fitted model.
 
-    ``algorithm``: 'randomforest' or 'gbt' (boosted trees with step 0.1 --
-    the closest MLlib has to the boosted-tree libraries' settings; leaf
-    count limits and L2 are not available).
+    ``algorithm``: 'randomforest' or 'gbt' fit MLlib models (boosted trees with
+    step 0.1). 'xgboost' and 'lightgbm' fit :mod:`sylvan.operators.boost` with
+    these libraries' usual settings -- 256 leaves, L2 of 1, step 0.1, positive
+    rows always weighted by n / positives -- and return its :class:`Boosted`;
+    they take feature columns, missing values included.
     ``positive_weighting``: weight positive rows by n / positives (A6).
     """
+    if algorithm in BOOSTED:
+        return _boosted(df, features, label, task, n_trees, max_depth)
     if df.isEmpty():
         # an all-test split (train fraction 0) leaves nothing to fit
         raise ValueError("the training table is empty (train fraction 0?)")
@@ -76,7 +84,7 @@ def train_forest(df: DataFrame, features: Sequence[str] | str, label: str, algor
     if algorithm == "randomforest":
         est = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(
             numTrees=n_trees, **kw)
-    elif algorithm in ("gbt", "xgboost", "lightgbm"):
+    elif algorithm == "gbt":
         est = (GBTClassifier if task == "classification" else GBTRegressor)(
             maxIter=n_trees, stepSize=BOOST_STEP, **kw)
     else:
@@ -84,8 +92,21 @@ def train_forest(df: DataFrame, features: Sequence[str] | str, label: str, algor
     return est.fit(data)
 
 
+def _boosted(df: DataFrame, features, label: str, task: str, n_trees: int, max_depth: int) -> Boosted:
+    if isinstance(features, str):
+        raise ValueError("boosting reads feature columns; unpack the array or use boost_sparse")
+    if df.isEmpty():
+        raise ValueError("the training table is empty (train fraction 0?)")
+    params = BoostParams(n_trees=n_trees, max_depth=max_depth, step=BOOST_STEP, objective="squared")
+    if task == "classification":
+        params = replace(params, objective="logistic", positive_weight=float(positive_weight(df, label).first()[0] or 1.0))
+    return boost(df, features, label, params)
+
+
 def save_model(model, path: str) -> str:
     """K8: save / overwrite a fitted model folder."""
+    if isinstance(model, Boosted):
+        return save_forest(model.forest, path)
     model.write().overwrite().save(path)
     return path
 
@@ -118,7 +139,7 @@ def train_from_table(spark: SparkSession, project: str, relation: DataFrame, y_c
                          n_trees=int(params.get("n_estimators", DEFAULT_TREES)),
                          max_depth=int(params.get("max_depth", DEFAULT_DEPTH)), key=key)
     save_model(model, model_path)
-    forest = forest_from_mllib_dir(spark, model_path)
+    forest = load_forest(spark, model_path)
     return spark.range(1).select(
         F.lit(project).alias("project"), F.lit(algorithm).alias("algorithm"), F.lit(task).alias("task"),
         F.lit(forest.meta.n_trees).alias("n_trees"), F.lit(forest.meta.n_nodes).alias("n_nodes"),

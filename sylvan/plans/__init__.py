@@ -8,4 +8,4 @@ same rows (tables are the driver's views of the same Parquet files).
 from __future__ import annotations
 
 from sylvan.plans.registry import REGISTRY, oracle_sql, queries  # noqa: F401
-from sylvan.plans import evaluation, prep, runlogs, scoring, sinks, training, invariants  # noqa: F401,E402  (modules register on import)
+from sylvan.plans import evaluation, prep, runlogs, scoring, sinks, training, invariants, boosting  # noqa: F401,E402  (modules register on import)

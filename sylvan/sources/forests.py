@@ -18,14 +18,14 @@ The node relation is model-sized; these plans never touch data rows.
 from __future__ import annotations
 
 import json
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.operators.forest import NODE_COLUMNS, Forest, ForestMeta
+from sylvan.operators.forest import NODE_COLUMNS, NODE_SCHEMA, Forest, ForestMeta
 from sylvan.session import ship_package
 
 # --- MLlib model folders ---------------------------------------------------------
@@ -95,6 +95,26 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
     return Forest(nodes, meta).checkpointed()
 
 
+# --- forests as they are ------------------------------------------------------------
+
+def save_forest(forest: Forest, path: str) -> str:
+    """K8: the node relation as Parquet with its metadata beside it; an earlier model there is replaced."""
+    spark = forest.nodes.sparkSession
+    forest.nodes.select(*NODE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    meta = spark.range(1).select(F.lit(json.dumps(asdict(forest.meta))).alias("value"))
+    meta.coalesce(1).write.mode("overwrite").text(f"{path}/forest")
+    return path
+
+
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    """A folder of :func:`save_forest` or an MLlib model folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/forest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return forest_from_mllib_dir(spark, path)
+    meta = ForestMeta(**json.loads(spark.read.text(f"{path}/forest").first()[0]))
+    return Forest(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), meta)
+
+
 # --- tabular dump (one CSV per tree) ----------------------------------------------
 
 TABULAR_DDL = ("tree_index int, node_depth int, node_index string, left_child string, right_child string, "
