@@ -19,7 +19,6 @@ columns are never read. A document's ids are held by one task, as its text is.
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -33,10 +32,13 @@ from sylvan.llm.common import held, materialise, text_or_empty, workers_ready
 
 WIDTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words a worker remembers before it starts afresh.
-REMEMBERED = 400_000
-_WORDS = re.compile("[^\x20\x09-\x0d]+").findall
-_TAIL = ".,!?;:"
+#: Bytes that the words a worker remembers take, about (half of them of words not used lately).
+REMEMBERED = 160 << 20
+#: Words of a text that are encoded together.
+TOGETHER = 50_000
+#: Marks that may end a word; the tokenizer parts them from the letters before.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAIL_BYTES = _TAIL.encode()
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,55 +47,86 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Known(dict):
-    """word -> little-endian uint32 ids, encoded when first asked for.
+    """word (UTF-8) -> little-endian uint32 ids, encoded when first asked for.
 
-    Most words are letters with punctuation after them. The tokenizer
-    lower-cases these, parts letters from punctuation, and gives either to its
-    model; asking the model for the letters alone skips the steps that change
-    nothing. Every other word goes through the whole tokenizer.
+    Most words are letters with marks after them. The tokenizer lower-cases
+    these, parts letters from marks, and gives either to its model; asking the
+    model for the letters alone skips the steps that change nothing. Every other
+    word goes through the whole tokenizer.
+
+    Memory is bounded by bytes: once half of it is full, what is known becomes
+    ``old``, the old before it is dropped, and words still in use move over.
     """
 
     def __init__(self, tok):
         from tokenizers import pre_tokenizers
         self.tok, self.model = tok, tok.model
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.packed = [struct.pack("<I", i) for i in range(tok.get_vocab_size())]
+        self.tails: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.used = 0
 
     def whole(self, word: str) -> bytes:
         return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_TAIL)
-        low = core.lower()
-        # a final sigma is lower-cased by its place, a decomposed letter is composed first
-        if low.isalpha() and "\u03a3" not in core and (low.isascii() or unicodedata.is_normalized("NFC", core)):
-            tail = word[len(core):]
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            if not low.isascii():
-                low = self.as_bytes.pre_tokenize_str(low)[0][0]
-            ids = [t.id for t in self.model.tokenize(low)]
-            out = struct.pack(f"<{len(ids)}I", *ids) + self.tails[tail]
+    def tail(self, marks: bytes) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails.clear()
+            self.tails[marks] = self.whole(marks.decode())
+        return self.tails[marks]
+
+    def encoded(self, word: bytes) -> bytes:
+        core = word.rstrip(_TAIL_BYTES)
+        if core.isalpha():  # ASCII letters
+            low = core.lower().decode()
         else:
-            out = self.whole(word)
+            letters = core.decode()
+            low = letters.lower()
+            # a final sigma is lower-cased by its place, a decomposed letter is composed first
+            if core.isascii() or not low.isalpha() or "\u03a3" in letters or not unicodedata.is_normalized("NFC", letters):
+                return self.whole(word.decode())
+            low = self.as_bytes.pre_tokenize_str(low)[0][0]
+        packed = self.packed
+        out = b"".join([packed[t.id] for t in self.model.tokenize(low)])
+        if len(core) == len(word):
+            return out
+        marks = word[len(core):]
+        return out + (self.tails.get(marks) or self.tail(marks))
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self.encoded(word)
         self[word] = out
+        self.used += len(word) + len(out) + 200  # two objects and their place in the table
         return out
 
+    def trim(self, most: int) -> None:
+        if self.used > most // 2:
+            self.old = dict(self)
+            self.clear()
+            self.used = 0
+
 
 class WordEncoder:
-    """text -> little-endian uint32 ids, a word at a time."""
+    """text (UTF-8) -> little-endian uint32 ids, a word at a time."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, remembered: int = REMEMBERED):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.known = _Known(Tokenizer.from_file(tokenizer_path(name)))
+        self.known, self.remembered = _Known(Tokenizer.from_file(tokenizer_path(name))), remembered
 
-    def __call__(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.known.tails = {"": b""}
-        return b"".join(map(self.known.__getitem__, _WORDS(text)))
+    def __call__(self, text: bytes) -> bytes:
+        # bytes.split() cuts at U+0020 and U+0009..U+000D and nothing else
+        words = text.split()
+        out = []
+        for lo in range(0, len(words), TOGETHER):
+            out += map(self.known.__getitem__, words[lo:lo + TOGETHER])
+            self.known.trim(self.remembered)
+        return b"".join(out)
 
 
 def encoder(name: str) -> WordEncoder:
@@ -110,14 +143,14 @@ def tokenized(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", t
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 p = pdf.iloc[lo:lo + 500]
-                ids = [enc(t) + end for t in p["text"]]
+                ids = [enc(t or b"") + end for t in p["text"]]
                 n = np.fromiter((len(b) // 4 for b in ids), dtype=np.int64, count=len(ids))
                 ends = np.cumsum(n) + before
                 yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy(), "part": part, "before": ends - n, "n": n, "ids": ids})
                 before = int(ends[-1])
 
     workers_ready(spark)
-    src = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
+    src = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     # ids travel as text, so that a null among them stays a null and no long becomes a float
     kind = src.schema["doc_id"].dataType.simpleString()
     out = (src.withColumn("doc_id", F.col("doc_id").cast("string"))
