@@ -4,7 +4,9 @@ nodes:  tree_id INT, node_id INT, feature INT (null on a leaf), threshold DOUBLE
         op STRING ('le' | 'lt'), left INT, right INT, default_left BOOLEAN,
         value DOUBLE (leaf), class_counts ARRAY<DOUBLE> (leaf, optional),
         tree_weight DOUBLE
-Every tree's root is node 0.
+Every tree's root is node 0. A forest with categorical splits (op 'in') has one
+more column, left_categories ARRAY<BIGINT>: the bit set of the categories that
+go left (null on other nodes).
 
 The metadata says how tree outputs combine into a score:
   sum    score = base + sum(w * value)            (boosted margin, regression)
@@ -33,6 +35,9 @@ NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, op stri
                "left int, right int, default_left boolean, value double, "
                "class_counts array<double>, tree_weight double")
 
+#: The bit sets of categorical splits; only forests that have such splits have the column.
+CATEGORIES = "left_categories"
+
 # Nodes in one set of arrays shipped to the executors, ~100 MB at 48 bytes a
 # node (class counts add theirs).  Bigger forests go relationally, or as
 # several sets where a function has to hold the whole forest.
@@ -63,6 +68,13 @@ class Forest:
     def with_meta(self, **kw) -> "Forest":
         return Forest(self.nodes, replace(self.meta, **kw))
 
+    @property
+    def has_categories(self) -> bool:
+        return CATEGORIES in self.nodes.columns
+
+    def node_columns(self) -> list[str]:
+        return NODE_COLUMNS + [CATEGORIES] * self.has_categories
+
     def units(self) -> tuple[float, float]:
         """The grids that leaf terms and tree weights are rounded to (see ``grid_unit``)."""
         if self.bounds is None:
@@ -147,7 +159,7 @@ def size_groups(sizes: list[tuple[int, int]], max_nodes: int) -> list[tuple[int,
 
 def _sorted_rows(nodes: DataFrame):
     # the relation is model-sized and bounded by the caller: sort it where it lands
-    return (nodes.select(*NODE_COLUMNS).toPandas()
+    return (nodes.select(*NODE_COLUMNS, *[CATEGORIES] * (CATEGORIES in nodes.columns)).toPandas()
             .sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True))
 
 
@@ -201,6 +213,11 @@ def arrays_from_pandas(rows, meta: ForestMeta, units: tuple[float, float]) -> di
         "weight": float(on_grid(weights[root], units[1]).sum()),
         "max_depth": int(meta.max_depth),
     }
+    if CATEGORIES in rows:
+        sets = [() if w is None else w for w in rows[CATEGORIES]]
+        size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+        out["is_in"], out["set_size"], out["set_start"] = (rows["op"] == "in").to_numpy() & ~leaf, size, np.cumsum(size) - size
+        out["set_words"] = np.asarray([w for ws in sets for w in ws] or [0], dtype=np.int64)
     if meta.combine == "vote":
         k = meta.n_classes
         cc = np.zeros((n, k))

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.functions.splits import goes_left, goes_left_np
-from sylvan.operators.forest import MAX_SHIPPED_NODES, Forest, ForestMeta, on_grid, size_groups
+from sylvan.functions.splits import categories_of, goes_left, goes_left_np, in_set_np
+from sylvan.operators.forest import CATEGORIES, MAX_SHIPPED_NODES, Forest, ForestMeta, on_grid, size_groups
 from sylvan.session import scratch_path, shared_dir, ship_package
 
 # Largest forest turned into one compiled expression.
@@ -156,13 +156,14 @@ def _walk(rows: DataFrame, nodes: DataFrame, key: str, forest: Forest,
     t = F.col("tree_id")
     step_nodes = F.broadcast(nodes.select(
         _node_key(t, F.col("node_id")).alias("_k"), "feature", "threshold", "op", "default_left",
-        _node_key(t, F.col("left")).alias("_lk"), _node_key(t, F.col("right")).alias("_rk")))
+        _node_key(t, F.col("left")).alias("_lk"), _node_key(t, F.col("right")).alias("_rk"),
+        *[CATEGORIES] * forest.has_categories))
     keep = [c for c in rows.columns if c not in ("tree_id", "node_id")]
     rows = rows.select(*keep, _node_key(F.col("tree_id"), F.col("node_id")).alias("_k"))
     for _ in range(forest.meta.max_depth):
         j = rows.join(step_nodes, "_k")
         nxt = F.when(goes_left(lookup(F.col("feature")), F.col("threshold"), F.col("op"),
-                               F.col("default_left")), F.col("_lk")).otherwise(F.col("_rk"))
+                               F.col("default_left"), F.col(CATEGORIES) if forest.has_categories else None), F.col("_lk")).otherwise(F.col("_rk"))
         rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("_k")).otherwise(nxt).alias("_k"))
     leaf_nodes = F.broadcast(nodes.select(_node_key(t, F.col("node_id")).alias("_k"), *_leaf_terms(forest)))
     return rows.join(leaf_nodes, "_k").select(
@@ -350,6 +351,7 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
     threshold = a["threshold"]
     kids = np.stack([a["left"], a["right"]], axis=1).ravel()
     any_lt = bool(a["is_lt"].any())
+    sets = a.get("is_in")
     any_missing = X.any_missing() if sparse else bool(np.isnan(X).any())
     if vote:
         acc = np.zeros((n, a["class_terms"].shape[1]))
@@ -365,6 +367,11 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
                 left = goes_left_np(x, t, a["is_lt"][node], a["default_left"][node])
             else:
                 left = x <= t
+            if sets is not None:
+                at = sets[node]
+                if at.any():
+                    member = in_set_np(x, a["set_words"], a["set_start"][node], a["set_size"][node], a["default_left"][node])
+                    left = np.where(at, member, left)
             node = kids[2 * node + (~left)]
         if vote:
             acc += a["class_terms"][node].sum(axis=1)
@@ -463,8 +470,17 @@ def _tree_sql(a: dict, g: int, xs: list[str], leaf_value) -> str:
     if f < 0:
         return leaf_value(g)
     x = xs[f]
-    cmp = f"{x} {'<' if a['is_lt'][g] else '<='} {_sql_double(a['threshold'][g])}"
     missing = f"({x} IS NULL OR isnan({x}))"
+    if "is_in" in a and a["is_in"][g]:
+        words = a["set_words"][a["set_start"][g]:][:a["set_size"][g]].tolist()
+        listed = lambda cs: f"{x} IN ({', '.join(f'{c}D' for c in cs) or 'NULL'})"
+        if a["default_left"][g]:
+            # what is no category of the set goes left too, so the ones that go right are listed
+            cmp = f"NOT coalesce({listed(sorted(set(range(64 * len(words))) - set(categories_of(words))))}, false)"
+        else:
+            cmp = f"coalesce({listed(categories_of(words))}, false)"
+    else:
+        cmp = f"{x} {'<' if a['is_lt'][g] else '<='} {_sql_double(a['threshold'][g])}"
     cond = f"({missing} OR {cmp})" if a["default_left"][g] else f"(NOT {missing} AND {cmp})"
     return (f"CASE WHEN {cond} THEN {_tree_sql(a, int(a['left'][g]), xs, leaf_value)} "
             f"ELSE {_tree_sql(a, int(a['right'][g]), xs, leaf_value)} END")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,37 @@ def mllib_mismatches(spark, sf_dir) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col("native").eqNullSafe(F.col(k))).alias(k) for k in S.STRATEGIES])
 
 
+_CATEGORICAL = ("rf", "randomforest"), ("gbt", "gbt")
+
+
+@query("mllib_categorical_mismatches", " UNION ALL ".join(
+    f"SELECT '{k}' AS model, CAST(count(*) AS BIGINT) AS n, true AS has_sets, CAST(0 AS BIGINT) AS relational, CAST(0 AS BIGINT) AS vectorised, "
+    "CAST(0 AS BIGINT) AS expression, CAST(0 AS BIGINT) AS reread FROM events" for k, _ in _CATEGORICAL))
+def mllib_categorical_mismatches(spark, sf_dir) -> DataFrame:
+    """Forests that split an indexed text column by sets of categories score like ``transform`` in every plan, categories
+    never trained on and missing values among the rows, and so does the forest read back from its JSON dump."""
+    train, _ = _train_test(spark, sf_dir)
+    # all but one type are indexed; the rest of the types and a null are scored as categories the trees never saw
+    indexer = StringIndexer(inputCol="event_type", outputCol="kind", handleInvalid="keep").fit(train.where("event_type != 'signup'"))
+    rows = indexer.transform(train).select("event_id", "kind", "f0", "f1", "f3", ((F.col("value") * 7 + F.col("f2") * 31).cast("long") % 3 > 0).cast("double").alias("y"))
+    feats = ["kind", "f0", "f1", "f3"]
+    x = indexer.transform(event_features(spark, sf_dir, missing=True, keep=("event_type",))).select(
+        "event_id", F.when(F.col("event_id") % 11 == 0, F.lit(40.0)).otherwise(F.col("kind")).alias("kind"), "f0", "f1", "f3")
+    out = []
+    for name, algorithm in _CATEGORICAL:
+        model = train_forest(rows.where(F.col("kind").isNotNull()), feats, "y", algorithm, "classification", n_trees=4, max_depth=5, key="event_id")
+        forest = FS.forest_from_mllib_dir(spark, save_model(model, scratch_path(spark, "model_categorical")))
+        dump = scratch_path(spark, "dump_categorical")
+        FS.export_json(forest, dump)
+        plans = {**S.STRATEGIES, "reread": lambda f, *a: S.score_relational(FS.forest_from_json(spark, dump, f.meta), *a)}
+        got = S.score_mllib(model, x, "event_id", feats).withColumnRenamed("prediction", "native")
+        for k, plan in plans.items():
+            got = got.join(plan(forest, x, "event_id", feats).select("event_id", F.col("prediction").alias(k)), "event_id", "left")
+        out.append(got.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.lit(forest.has_categories).alias("has_sets"),
+                           *[F.count_if(~F.col("native").eqNullSafe(F.col(k))).alias(k) for k in plans]))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("model_roundtrip_same", "SELECT CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differ FROM events")
 def model_roundtrip_same(spark, sf_dir) -> DataFrame:
     """K8: a saved and loaded model predicts what the fitted one does, for every test row."""

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.operators.forest import NODE_COLUMNS, NODE_SCHEMA, Forest, ForestMeta
+from sylvan.functions.splits import category_words
+from sylvan.operators.forest import CATEGORIES, NODE_COLUMNS, Forest, ForestMeta
 from sylvan.session import ship_package
 
 # --- MLlib model folders ---------------------------------------------------------
@@ -85,22 +86,46 @@ def forest_from_mllib_dir(spark: SparkSession, path: str) -> Forest:
         counts.alias("class_counts"),
     ).join(weights, "tree_id").select(*NODE_COLUMNS)
     counts_row = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("treeID").alias("t"),
-                          F.count_if(n["split"]["numCategories"] > 0).alias("categorical")).first()
+                          F.count_if(~leaf & (n["split"]["numCategories"] > 0)).alias("categorical")).first()
     if counts_row["categorical"]:
-        # left-category sets are not thresholds; refuse rather than mis-score
-        raise ValueError("the model has categorical splits; only continuous splits are supported")
+        nodes = _with_categories(nodes, data.where(~leaf & (n["split"]["numCategories"] > 0)).select(
+            F.col("treeID").cast("int").alias("tree_id"), n["id"].cast("int").alias("node_id"),
+            n["split"]["leftCategoriesOrThreshold"].alias("left"), n["split"]["numCategories"].alias("k")))
     meta = ForestMeta(n_trees=int(counts_row["t"]), max_depth=int(params.get("maxDepth", 5)),
                       n_nodes=int(counts_row["n"]), n_features=n_features, task=task,
                       combine=combine, n_classes=n_classes, margin_scale=scale)
     return Forest(nodes, meta).checkpointed()
 
 
+def _with_categories(nodes: DataFrame, splits: DataFrame) -> DataFrame:
+    """Categorical splits (tree_id, node_id, left categories, number of categories) as 'in' nodes.
+
+    MLlib keeps the smaller side of the split and asks whether a value is on
+    it, so a value it has never seen goes with the larger one.
+    """
+    ship_package(nodes.sparkSession)
+
+    def to_words(batches):
+        for pdf in batches:
+            pdf["default_left"] = [2 * len(c) > k for c, k in zip(pdf["left"], pdf["k"])]
+            pdf["words"] = [category_words(c, int(k), d) for c, k, d in zip(pdf["left"], pdf["k"], pdf["default_left"])]
+            yield pdf[["tree_id", "node_id", "default_left", "words"]]
+
+    sets = splits.mapInPandas(to_words, "tree_id int, node_id int, default_left boolean, words array<long>")
+    sets = sets.withColumnRenamed("default_left", "_seen")
+    is_set = F.col("words").isNotNull()
+    out = nodes.join(sets, ["tree_id", "node_id"], "left")
+    changed = {"threshold": F.when(~is_set, F.col("threshold")), "op": F.when(is_set, F.lit("in")).otherwise(F.col("op")),
+               "default_left": F.coalesce("_seen", "default_left")}
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in NODE_COLUMNS], F.col("words").alias(CATEGORIES))
+
+
 # --- forests as they are ------------------------------------------------------------
 
 def save_forest(forest: Forest, path: str) -> str:
     """K8: the node relation as Parquet with its metadata beside it; an earlier model there is replaced."""
     spark = forest.nodes.sparkSession
-    forest.nodes.select(*NODE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    forest.nodes.select(*forest.node_columns()).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     meta = spark.range(1).select(F.lit(json.dumps(asdict(forest.meta))).alias("value"))
     meta.coalesce(1).write.mode("overwrite").text(f"{path}/forest")
     return path
@@ -112,7 +137,7 @@ def load_forest(spark: SparkSession, path: str) -> Forest:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return forest_from_mllib_dir(spark, path)
     meta = ForestMeta(**json.loads(spark.read.text(f"{path}/forest").first()[0]))
-    return Forest(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), meta)
+    return Forest(spark.read.parquet(f"{path}/nodes"), meta)
 
 
 # --- tabular dump (one CSV per tree) ----------------------------------------------
@@ -135,6 +160,8 @@ def export_tabular(forest: Forest, path: str, depths: DataFrame | None = None) -
     """
     if forest.meta.combine == "vote":
         raise ValueError("tabular dumps carry no class counts; export a voting forest as JSON")
+    if forest.has_categories:
+        raise ValueError("tabular dumps carry no category sets; export the forest as JSON")
     from sylvan.operators.forest import node_depths
     nd = forest.nodes
     d = depths if depths is not None else node_depths(nd, forest.meta.max_depth + 1)
@@ -228,14 +255,17 @@ def export_json(forest: Forest, path: str) -> None:
             split_json = F.concat(
                 F.lit('{"nodeid":'), F.col("node_id").cast("string"),
                 F.lit(',"split":"f'), F.col("feature").cast("string"), F.lit('"'),
-                F.lit(',"split_condition":'), F.col("threshold").cast("string"),
+                F.lit(',"split_condition":'), F.coalesce(F.col("threshold").cast("string"), F.lit("null")),
+                F.coalesce(F.concat(F.lit(',"in":'), F.to_json(F.col(CATEGORIES))), F.lit("")) if forest.has_categories else F.lit(""),
                 F.lit(',"yes":'), F.col("left").cast("string"), F.lit(',"no":'), F.col("right").cast("string"),
                 F.lit(',"missing":'), F.when(F.col("default_left"), F.col("left")).otherwise(F.col("right")).cast("string"),
                 F.lit(',"children":['), F.col("ljs"), F.lit(","), F.col("rjs"), F.lit("]}"))
             cur = j.select("tree_id", "node_id",
                            F.when(F.col("feature").isNull(), leaf_json).otherwise(split_json).alias("js"))
         sub = cur
-    own = nd.groupBy("tree_id").agg(F.max("tree_weight").alias("w"), F.max("op").alias("op"), F.min("op").alias("op2"))
+    rule = F.when(F.col("op") != "in", F.col("op"))  # a category set is named at its node
+    own = nd.groupBy("tree_id").agg(F.max("tree_weight").alias("w"), F.coalesce(F.max(rule), F.lit("le")).alias("op"),
+                                    F.coalesce(F.min(rule), F.lit("le")).alias("op2"))
     if own.where("op != op2").count():
         raise ValueError("a tree with both split rules has no JSON form")
     (sub.where(F.col("node_id") == 0).join(own, "tree_id")
@@ -244,7 +274,7 @@ def export_json(forest: Forest, path: str) -> None:
 
 
 JSON_NODES = ("tree_id int, depth int, node_id int, feature int, threshold double, op string, left int, right int, "
-              "default_left boolean, value double, class_counts array<double>, tree_weight double")
+              "default_left boolean, value double, class_counts array<double>, tree_weight double, left_categories array<long>")
 
 
 def _tree_nodes(tree: int, text: str, op: str) -> list[tuple]:
@@ -257,11 +287,12 @@ def _tree_nodes(tree: int, text: str, op: str) -> list[tuple]:
     while todo:
         n, depth = todo.pop()
         if "leaf" in n:
-            out.append((tree, depth, n["nodeid"], None, None, op, None, None, True, float(n["leaf"]), n.get("counts"), float(weight)))
+            out.append((tree, depth, n["nodeid"], None, None, op, None, None, True, float(n["leaf"]), n.get("counts"), float(weight), None))
         else:
             feature = int(str(n["split"]).lstrip("f"))
-            out.append((tree, depth, n["nodeid"], feature, float(n["split_condition"]), op, n["yes"], n["no"],
-                        n.get("missing", n["yes"]) == n["yes"], None, None, float(weight)))
+            words = n.get("in")
+            out.append((tree, depth, n["nodeid"], feature, float(n["split_condition"]) if words is None else None, op if words is None else "in",
+                        n["yes"], n["no"], n.get("missing", n["yes"]) == n["yes"], None, None, float(weight), words))
             todo += [(c, depth + 1) for c in n["children"]]
     return out
 
@@ -289,5 +320,7 @@ def forest_from_json(spark: SparkSession, path: str, meta: ForestMeta, op: str =
             yield out
 
     parsed = Forest(numbered.mapInPandas(parse, JSON_NODES), meta).checkpointed().nodes
-    size = parsed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tree_id").alias("t"), F.max("depth").alias("d")).first()
-    return Forest(parsed.select(*NODE_COLUMNS), replace(meta, n_trees=size["t"], n_nodes=size["n"], max_depth=size["d"] or 0))
+    size = parsed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tree_id").alias("t"), F.max("depth").alias("d"),
+                      F.count(CATEGORIES).alias("sets")).first()
+    columns = NODE_COLUMNS + [CATEGORIES] * (size["sets"] > 0)
+    return Forest(parsed.select(*columns), replace(meta, n_trees=size["t"], n_nodes=size["n"], max_depth=size["d"] or 0))
