@@ -119,7 +119,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.known, self.remembered = _Known(Tokenizer.from_file(tokenizer_path(name))), remembered
 
-    def __call__(self, text: bytes) -> bytes:
+    def __call__(self, text: bytes | str) -> bytes:
+        if isinstance(text, str):
+            text = text.encode()
         # bytes.split() cuts at U+0020 and U+0009..U+000D and nothing else
         words = text.split()
         out = []
