@@ -14,7 +14,8 @@ a source with a third of all rows costs no more than any other.
 
 Defined results: null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own, last in the order; rows that repeat both id
-and text share a hash and are taken together; an empty table gives no rows;
+and text have hashes of their own, by their place in the written table, so they
+are taken one by one however many there are; an empty table gives no rows;
 other columns are carried by :func:`mixed` and never read.
 """
 
@@ -24,7 +25,7 @@ from math import lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from sylvan.llm.common import WORD, materialise, small, text_or_empty
+from sylvan.llm.common import WORD, materialise, small, spare, text_or_empty
 
 BITS = 12
 CELLS = 1 << BITS
@@ -86,15 +87,43 @@ def _passing(hist: DataFrame, budget: DataFrame, level: str) -> DataFrame:
                         (F.col("left_over") - (F.col("__upto") - F.col("words"))).alias("left_over")))
 
 
-def mix_plan(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", source="source",
-             weights=(5, 2, 1), share=(3, 2), cap: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(sized documents, plan per source).
+def _apart(spark: SparkSession, rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` (with hash and row) with a hash of its own for each row whose hash is repeated.
 
-    sized: key, source, size, hash (written, narrow).
-    plan:  source, source_size, target, copies, threshold (written, one row per source).
+    The n-th of equal rows hashes with its number n, so which of them is the
+    n-th changes nothing. A row's number is its rank within its partition (the
+    upper bits of ``row``) plus the equal rows of earlier ones: no task ranks more
+    than one partition's.
     """
-    sized = materialise(spark, docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
-                                           doc_size(text).alias("size"), doc_hash(key, text).alias("hash")), "mix-sized")
+    task = F.shiftright("row", 33)
+    r = rows.select("hash", "row", task.alias("task")).join(small(repeated), "hash")
+    r = r.withColumn("rank", F.row_number().over(W.partitionBy("hash", "task").orderBy("row")) - 1)
+    earlier = W.partitionBy("hash").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    before = r.groupBy("hash", "task").agg(F.count(F.lit(1)).alias("n")).select("hash", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ident = F.concat(F.col("hash").cast("string"), F.lit("#"), (F.col("before") + F.col("rank")).cast("string"))
+    own = F.conv(F.substring(F.md5(ident.cast("binary")), 1, 15), 16, 10).cast("long")
+    named = materialise(spark, r.join(before, ["hash", "task"]).select(F.col("row").alias("__at"), own.alias("__own")), "mix-own")
+    return (rows.join(small(named), F.col("row") == F.col("__at"), "left")
+                .withColumn("hash", F.coalesce("__own", "hash")).drop("__at", "__own"))
+
+
+def sized_documents(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", source="source",
+                    row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written: (doc_id, source, size, hash, row), and the hashes that several rows had before they were told apart.
+
+    ``row``: a column that numbers the rows; without it they are numbered as they are written.
+    """
+    place = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = materialise(spark, docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), doc_size(text).alias("size"),
+                                           doc_hash(key, text).alias("hash"), place.alias("row")), "mix-sized")
+    repeated = materialise(spark, sized.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "mix-repeated")
+    if repeated.count():
+        sized = materialise(spark, _apart(spark, sized, repeated), "mix-apart")
+    return sized, repeated
+
+
+def mix_plan(spark: SparkSession, sized: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2) -> DataFrame:
+    """Sized documents -> source, source_size, target, copies, threshold (written, one row per source)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = source_targets(totals, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -124,10 +153,9 @@ def mix_plan(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", so
     cut = (second.join(n, F.col("source").eqNullSafe(F.col("__s")))
                  .select(F.col("source").alias("__s"),
                          F.when(F.col("best.miss") < F.col("left_over"), F.col("best.h")).otherwise(below).alias("threshold")))
-    plan = materialise(spark, targets.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
+    return materialise(spark, targets.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
                        .select("source", "source_size", "target", "copies",
                                F.coalesce("threshold", F.lit(-1)).alias("threshold")), "mix-plan")
-    return sized, plan
 
 
 def with_copies(df: DataFrame, plan: DataFrame, source: str = "source", hash_: str = "hash") -> DataFrame:
@@ -137,19 +165,31 @@ def with_copies(df: DataFrame, plan: DataFrame, source: str = "source", hash_: s
               .withColumn("__copies", F.col("__plan_copies") + (F.col(hash_) <= F.col("__plan_threshold")).cast("long")))
 
 
-def mix_sizes(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
+def mix_sizes(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", source="source", **kw) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    sized, plan = mix_plan(spark, docs, **kw)
-    return with_copies(sized, plan).select(
+    sized, _ = sized_documents(spark, docs, key, text, source)
+    return with_copies(sized, mix_plan(spark, sized, **kw)).select(
         "doc_id", "size", F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"),
         (F.col("size") * F.col("__copies")).alias("taken"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", source="source", **kw) -> DataFrame:
-    """The mix itself: each document as often as it is taken, columns unchanged."""
-    _, plan = mix_plan(spark, docs, key=key, text=text, source=source, **kw)
+    """The mix itself: each document as often as it is taken, columns unchanged.
+
+    Rows are written with their number only if some repeat id and text.
+    """
+    columns = docs.columns
+    sized, repeated = sized_documents(spark, docs, key, text, source)
+    crowded = repeated.count() > 0
+    if crowded:
+        row = spare(docs, "row")
+        docs = materialise(spark, docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        sized, repeated = sized_documents(spark, docs, key, text, source, row)
+    plan = mix_plan(spark, sized, **kw)
     # the row travels as one struct, so no name of its columns meets the plan's
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = with_copies(docs.select(F.col(source).alias("source"), doc_hash(key, text).alias("hash"), whole.alias("doc")), plan)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    place = F.col(row) if crowded else F.lit(0)
+    rows = docs.select(F.col(source).alias("source"), doc_hash(key, text).alias("hash"), place.alias("row"), whole.alias("doc"))
+    out = with_copies(_apart(spark, rows, repeated) if crowded else rows, plan)
     return (out.where("__copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-               .select(*[F.col(f"doc.`{c}`") for c in docs.columns]))
+               .select(*[F.col(f"doc.`{c}`") for c in columns]))

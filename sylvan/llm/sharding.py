@@ -12,7 +12,9 @@ A record's position is its rank within its slot plus the rows of the shard's
 earlier slots, so no task ever ranks more than one slot.
 
 Defined results: null text has 16 bytes and crc32 0; a null id hashes like any
-other value; rows that repeat id and text share a slot; an empty table gives
+other value; rows that repeat id and text are spread over the slots by their
+place in the written records, so the law holds however many there are and no
+task ranks them all; an empty table gives
 no rows (and a map of empty slots); other columns are never read.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from sylvan.llm.common import materialise
+from sylvan.llm.common import materialise, small
 
 SLOTS = 8192
 
@@ -31,6 +33,21 @@ def records(docs: DataFrame, key="doc_id", text="text", slots: int = SLOTS) -> D
                 .withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")))
 
 
+def _without_crowds(spark: SparkSession, recs: DataFrame, slots: int) -> DataFrame:
+    """Written records in which rows equal in id, size and text checksum have slots of their own."""
+    same = ["doc_id", "text_crc32", "size"]
+    recs = materialise(spark, recs.withColumn("row", F.monotonically_increasing_id()), "shard-records")
+    crowds = materialise(spark, recs.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-crowds")
+    if not crowds.count():
+        return recs.drop("row")
+    c = small(crowds.select(*[F.col(k).alias(f"__{k}") for k in same]))
+    met = recs.join(c, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_crc32") == F.col("__text_crc32"))
+                    & (F.col("size") == F.col("__size")), "left")
+    apart = F.pmod(F.xxhash64(*same, "row"), F.lit(slots)).cast("int")
+    vslot = F.when(F.col("__size").isNotNull(), apart).otherwise(F.col("vslot")).alias("vslot")
+    return materialise(spark, met.select(*same[:1], "size", "text_crc32", vslot), "shard-spread")
+
+
 def slot_load(spark: SparkSession, recs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """bytes and rows of every slot, empty ones included (``slots`` rows)."""
     have = recs.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -88,7 +105,7 @@ def sharded(spark: SparkSession, docs: DataFrame, shards: int = 40, key="doc_id"
 
     ``slot_map``: an earlier map to edit (its bytes are measured anew).
     """
-    recs = materialise(spark, records(docs, key, text, slots), "shard-records")
+    recs = _without_crowds(spark, records(docs, key, text, slots), slots)
     load = materialise(spark, slot_load(spark, recs, slots), "shard-load")
     old = first_map(load, shards) if slot_map is None else slot_map.select("version", "vslot", "shard").join(load, "vslot")
     newest = old.where(F.col("version") == old.agg(F.max("version")).first()[0])

@@ -149,3 +149,46 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plans(spark, plan):
     text = plan(spark, fixture.frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+# --- one row repeated very often --------------------------------------------------
+
+def crowded(spark, n=2000, copies=1000):
+    """n documents, and one row ``copies`` times."""
+    data = [(i, f"words of document {i} " * (i % 7 + 1), "abc"[i % 3]) for i in range(n)]
+    data += [(77, "the same row again and again " * 3, "a")] * copies + [(None, None, None)] * (copies // 2)
+    return spark.createDataFrame(data, "doc_id long, text string, source string").repartition(6)
+
+
+def test_mix_takes_repeated_rows_one_by_one(spark):
+    out = mixing.mix_sizes(spark, crowded(spark)).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    total = Counter(r.source_size for r in out)
+    for r in out:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        largest[r.source_size] = max(largest[r.source_size], r.size)
+        assert r.taken <= 2 * r.size
+    for s in total:
+        assert abs(taken[s] - target[s]) <= largest[s], s
+    again = mixing.mix_sizes(spark, crowded(spark).repartition(3)).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+    mixed = mixing.mixed(spark, crowded(spark))
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(WORDS.findall(r.text or ""))
+    assert sorted(words.values()) == sorted(v for v in taken.values() if v)
+
+
+def test_shards_stay_equal_with_a_repeated_row(spark):
+    out, _ = sharding.sharded(spark, crowded(spark), 8)
+    load, rows = Counter(), Counter()
+    for r in out.collect():
+        load[r.shard] += r.size
+        rows[r.shard] += 1
+    mean = sum(load.values()) / 8
+    assert all(abs(v - mean) < 0.05 * mean for v in load.values())
+    places = defaultdict(list)
+    for r in out.collect():
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
