@@ -5,8 +5,10 @@ method adds spans of kind ``random``: long runs of key characters that a
 byte-level BPE vocabulary needs many tokens for. Natural words and identifiers
 take three and more characters a token, random strings about one and a half;
 runs under ``RATIO`` are reported, after digests (hex of a hash's length,
-UUIDs), plain numbers, and identifiers (words of one case, with or without
-separators) are set aside. A run that touches a base span is that span's.
+UUIDs) and plain numbers are set aside. Identifiers (words of one case, with or
+without separators) have more characters a token, random letters of one case
+fewer than prose has; of runs with that form those under ``LETTERS_RATIO`` are
+reported. A run that touches a base span is that span's.
 
 Of an address (``@`` or ``://``) only the host is set aside: the dotted name
 after ``://`` and the user, or after the ``@`` of a mail address, labels of at
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +40,8 @@ KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters a token below which a run counts as random, and the shortest run that is tested.
 RATIO, SHORTEST = 2.2, 20
+#: The same for runs that have the form of identifiers.
+LETTERS_RATIO = 1.9
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -71,10 +76,30 @@ def looks_digest(run: str) -> bool:
 
 
 def looks_known(run: str) -> bool:
-    """Digests and identifiers: strings whose form says what they are."""
-    if looks_digest(run) or run.isdigit():
-        return True
-    return _IDENTIFIER.fullmatch(run) is not None
+    """Digests and numbers: strings whose form says what they are."""
+    return looks_digest(run) or run.isdigit()
+
+
+def is_random(run: str, enc, ratio: float = RATIO) -> bool:
+    """The token-efficiency test."""
+    if looks_known(run):
+        return False
+    if _IDENTIFIER.fullmatch(run):
+        ratio = min(ratio, LETTERS_RATIO)
+    return len(run) < ratio * len(enc.encode_ordinary(run))
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -102,29 +127,28 @@ def _besides_hosts(chunk: str) -> Iterator[tuple[int, int]]:
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     out = []
+    starts, ends = _merged(taken)
 
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y, _ in taken)
-
-    def is_random(run: str) -> bool:
-        return not looks_known(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+        i = bisect_left(starts, b)  # the last stretch that begins before b
+        return i == 0 or ends[i - 1] <= a
 
     for long in _LONG.finditer(text):
         if long.end() - long.start() < SHORTEST:
             continue
         at, chunk = long.start(), long.group()
         if "@" not in chunk and "://" not in chunk:
-            out += [(at + m.start(), at + m.end(), "random") for m in _RUN.finditer(chunk) if free(at + m.start(), at + m.end()) and is_random(m.group())]
+            out += [(at + m.start(), at + m.end(), "random") for m in _RUN.finditer(chunk) if free(at + m.start(), at + m.end()) and is_random(m.group(), enc, ratio)]
             continue
         for lo, hi in _besides_hosts(chunk):
             for m in _RUN.finditer(chunk, lo, hi):
                 run = m.group().strip("/")
                 a = at + m.start() + m.group().index(run)
                 b = a + len(run)
-                if len(run) >= SHORTEST and free(a, b) and is_random(run):
+                if len(run) >= SHORTEST and free(a, b) and is_random(run, enc, ratio):
                     out.append((a, b, "random"))
                 elif "/" in run:
-                    out += [(a + p.start(), a + p.end(), "random") for p in _PART.finditer(run) if free(a + p.start(), a + p.end()) and is_random(p.group())]
+                    out += [(a + p.start(), a + p.end(), "random") for p in _PART.finditer(run) if free(a + p.start(), a + p.end()) and is_random(p.group(), enc, ratio)]
     return out
 
 
