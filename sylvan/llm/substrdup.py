@@ -181,9 +181,12 @@ def _cuts(*keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _by_row(doc: np.ndarray, part: np.ndarray, h: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(document, part, its windows) from parallel arrays."""
-    o = np.lexsort((part, doc))
+    """(document, part, its windows, each once) from parallel arrays."""
+    o = np.lexsort((h, part, doc))
     doc, part, h = doc[o], part[o], h[o]
+    if len(h):
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])))
+        doc, part, h = doc[new], part[new], h[new]
     return [(int(doc[lo]), int(part[lo]), h[lo:hi].tobytes()) for lo, hi in _cuts(doc, part)]
 
 
@@ -279,7 +282,13 @@ def release(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
             h = np.frombuffer(hs, dtype=np.uint64)
             hit = np.isin(h, np.frombuffer(verdicts[g], dtype=np.uint64))
             rows += _by_row(np.frombuffer(docs, dtype=np.int64)[hit], np.frombuffer(parts, dtype=np.int32)[hit], h[hit])
-    return pd.DataFrame([(d, p, np.frombuffer(x, dtype=np.int64)) for d, p, x in rows], columns=["doc", "part", "hs"])
+    # batches with equal rows name the same windows: each goes on once
+    by_row: dict[tuple[int, int], set[bytes]] = {}
+    for d, p, x in rows:
+        by_row.setdefault((d, p), set()).add(x)
+    out = [(d, p, np.frombuffer(xs.pop(), dtype=np.int64) if len(xs) == 1 else np.unique(np.frombuffer(b"".join(xs), dtype=np.int64)))
+           for (d, p), xs in by_row.items()]
+    return pd.DataFrame(out, columns=["doc", "part", "hs"])
 
 
 def removable(spark: SparkSession, texts: DataFrame, twice: np.ndarray, bits: int, buckets: int, width: int) -> DataFrame:
