@@ -49,6 +49,8 @@ from sylvan.llm.parens import BalancedParentheses
 ROOT = bytes(16)
 #: Runs that one shard's paths hold, about.
 SHARD_RUNS = 400_000
+#: Nodes sent to every task at most: those with more than this share of all steps.
+HOT_NODES = 10_000
 
 
 # --- turns -------------------------------------------------------------------
@@ -202,8 +204,15 @@ class _Step:
 def runs_of(spark: SparkSession, steps: DataFrame, root: dict) -> DataFrame:
     """Written: node rows (path null) and path rows (path not null)."""
     workers_ready(spark)
-    counts = _counted(steps.where("depth > 0"), "node")
-    met = steps.where("depth > 0").select("conv", "depth", "node", "bytes").join(counts, "node")
+    inner = steps.where("depth > 0")
+    counts = materialise(spark, _counted(inner, "node"), "trie-counts")
+    # a node with a share of all steps would be one hot join key: nodes with more than a 10,000th of them, 10,000 at
+    # most, go to every task, and only the steps at other nodes are shuffled
+    many = inner.count() // HOT_NODES
+    hot, other = counts.where(F.col("n") > many), counts.where(F.col("n") <= many)
+    inner = inner.select("conv", "depth", "node", "bytes")
+    met = inner.join(F.broadcast(hot), "node").unionByName(
+        inner.join(F.broadcast(hot.select("node")), "node", "left_anti").join(other, "node"))
     # the root would be one join key for every conversation; it comes as a step without counts
     none = [F.lit(None).cast("long").alias(c) for c in ("n", "least", "least_end", "n_ends")]
     at_root = steps.where("depth = 0").select("conv", "depth", "node", "bytes", *none)
