@@ -46,11 +46,11 @@ SPAN, SPANS, EPOCHS, STEP = 12, 4, 8, 0.5
 BUCKETS = 1 << 16
 LEXICON_LEAST = 5
 #: Bytes that the words a worker remembers take, about.
-REMEMBERED = 32 << 20
+REMEMBERED = 48 << 20
 #: Words of the padded batches in which texts are labelled side by side.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 400_000
 #: Texts whose words a worker holds at once.
-TEXTS = 250
+TEXTS = 1000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
 
