@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvan.operators.names import spare_names
 from sylvan.operators.numbering import global_row_number
 from sylvan.session import scratch_path, shared_dir
 
@@ -54,10 +55,11 @@ def build_dictionary(df: DataFrame, column: str, max_broadcast: int = MAX_BROADC
 
 
 def _with_codes(df: DataFrame, column: str, dictionary: DataFrame, small: bool, target: str) -> DataFrame:
-    d = F.broadcast(dictionary) if small else dictionary
-    joined = df.join(d, df[column] == d["_value"], "left")
-    code = F.coalesce(F.col("_code"), F.lit(-1)).cast("int")
-    cols = [code.alias(target) if c == target else F.col(c) for c in df.columns]
+    value, number = spare_names(df, "value", "code")
+    d = dictionary.select(F.col("_value").alias(value), F.col("_code").alias(number))
+    joined = df.join(F.broadcast(d) if small else d, F.col(f"`{column}`") == F.col(value), "left")
+    code = F.coalesce(F.col(number), F.lit(-1)).cast("int")
+    cols = [code.alias(target) if c == target else F.col(f"`{c}`") for c in df.columns]
     if target not in df.columns:
         cols.append(code.alias(target))
     return joined.select(*cols)

@@ -1,4 +1,4 @@
-"""Global row numbers, ordered splits, row caps and batches.
+"""Global row numbers, numbered splits and batches (:mod:`sylvan.operators.select` splits and caps without numbers).
 
 A global ``row_number() OVER (ORDER BY key)`` puts every row through one
 task (a ``SinglePartition`` exchange).  Here the rows are range-partitioned
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions.columns import batch_of
+from sylvan.operators.names import spare_name, spare_names
 from sylvan.session import scratch_path, shared_dir
 
 _LOW_33_BITS = (1 << 33) - 1
@@ -35,24 +36,24 @@ def global_row_number(df: DataFrame, order_cols, out: str = "row_no",
     spark = df.sparkSession
     shared_dir(spark)
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*order_cols, "_tie"]
-    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+    tie, pid, local, start = spare_names([*df.columns, out], "tie", "pid", "local", "start")
+    order = [*order_cols, tie]
+    ranged = (df.withColumn(tie, F.monotonically_increasing_id())
               .repartitionByRange(n, *order)
               .sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS))))
+              .withColumn(pid, F.spark_partition_id())
+              .withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS))))
     # materialise once in the shared folder: both passes below then see the
     # same partitions (range boundaries come from a sample and could differ
     # between two executions of the plan)
     path = scratch_path(spark, "ranged")
     ranged.write.parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
-    counts = ranged.groupBy("_pid").count().toPandas().sort_values("_pid")  # one row per partition
-    acc = int(counts["count"].sum())
-    starts = spark.createDataFrame(pd.DataFrame({"_pid": counts["_pid"], "_start": counts["count"].cumsum() - counts["count"]}),
-                                   "_pid int, _start long")
-    return ranged.join(F.broadcast(starts), "_pid").select(
-        *[F.col(c) for c in df.columns], (F.col("_start") + F.col("_local")).alias(out)).withMetadata(out, {"rows": acc})
+    counts = ranged.groupBy(pid).agg(F.count(F.lit(1)).alias(start)).toPandas().sort_values(pid)  # one row per partition
+    acc = int(counts[start].sum())
+    starts = spark.createDataFrame(pd.DataFrame({pid: counts[pid], start: counts[start].cumsum() - counts[start]}), f"`{pid}` int, `{start}` long")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    return ranged.join(F.broadcast(starts), pid).select(*kept, (F.col(start) + F.col(local)).alias(out)).withMetadata(out, {"rows": acc})
 
 
 def row_count_of(numbered: DataFrame, out: str = "row_no") -> int:
@@ -70,24 +71,13 @@ def ordered_split(df: DataFrame, order_cols, train_fraction: float,
         out, F.when(F.col(row_col) < F.lit(n_train), F.lit("train")).otherwise(F.lit("test")))
 
 
-def row_cap(df: DataFrame, order_cols, n: int) -> DataFrame:
-    """The first ``n`` rows in key order, by row number: no task holds them all, however large ``n`` is."""
-    return global_row_number(df, order_cols, "_cap").where(F.col("_cap") < n).drop("_cap")
-
-
-def capped_halves(first: DataFrame, second: DataFrame, order_cols, nrows: int,
-                  names=("train", "test"), source_col: str = "source") -> DataFrame:
-    """Pre-split input: each half capped at ``nrows // 2`` rows, tagged."""
-    half = nrows // 2
-    a = row_cap(first, order_cols, half).withColumn(source_col, F.lit(names[0]))
-    b = row_cap(second, order_cols, half).withColumn(source_col, F.lit(names[1]))
-    return a.unionByName(b)
-
-
 def batch_counts(df: DataFrame, order_cols, q: int) -> DataFrame:
     """Query-sized slices ``rows[i*q:(i+1)*q]``: batch id, rows, remainder flag."""
-    numbered = global_row_number(df, order_cols, "_row")
-    return (numbered.select(batch_of("_row", q).alias("batch_id"))
+    row = spare_name(df, "row")
+    # only the order columns are numbered
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    numbered = global_row_number(df.select(*cols), cols, row)
+    return (numbered.select(batch_of(row, q).alias("batch_id"))
             .groupBy("batch_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
             .select("batch_id", "n", (F.col("n") < F.lit(q)).alias("is_remainder")))
 

@@ -18,19 +18,24 @@ relational   rows x trees (``explode`` of the tree ids), one broadcast
 vectorised   ``mapInPandas`` over Arrow batches; the forest ships once as a
              broadcast of NumPy arrays and every tree is walked for the whole
              batch in ``max_depth`` vector steps.  Forests beyond the
-             shipping bound go relationally.
+             shipping bound are walked in tree groups.
 expression   each tree compiled into one nested ``CASE WHEN`` column; all
-             of it runs inside whole-stage codegen.  Forests too large to
-             compile go relationally.
+             of it runs inside whole-stage codegen.  Forests too large for
+             one expression are compiled in tree groups.
 mllib        the native ``transform`` of an MLlib model.
 sparse_long  rows given as (row key, feature, value) entries; only the
              entries of features the forest reads are kept, grouped into
              one map per row, then walked relationally.
+
+Several tree groups read one copy of the rows, written once with a row id, and
+add up their sums by that id.  Inside a plan the caller's columns have names
+by place (``_k0``, ``_k1``, ...), so none of their names can meet one of ours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,13 +78,18 @@ def _sum_columns(meta: ForestMeta) -> list[str]:
     return ["_swv", "_sw"]
 
 
-def finalize(sums: DataFrame, key: str, meta: ForestMeta, carry: Sequence[str] = ()) -> DataFrame:
-    """Per-row sums -> ``key, score, prediction`` (the combine rule).
+def _keys(names: Sequence[str]) -> list[Column]:
+    """The caller's columns under names by place."""
+    return [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(names)]
+
 
-    ``carry`` columns (e.g. the label) ride along, so evaluating needs no
+def finalize(sums: DataFrame, names: Sequence[str], meta: ForestMeta) -> DataFrame:
+    """Per-row sums -> the caller's columns ``names``, ``score, prediction`` (the combine rule).
+
+    Columns beyond the key (e.g. the label) ride along, so evaluating needs no
     join back to the input.
     """
-    key_cols = [F.col(key), *[F.col(c) for c in carry]]
+    key_cols = [F.col(f"_k{i}").alias(c) for i, c in enumerate(names)]
     base = F.lit(float(meta.base))
     cls = meta.task == "classification"
     if meta.combine == "vote":
@@ -144,11 +154,10 @@ def _node_key(tree: Column, node: Column) -> Column:
     return tree.cast("long") * F.lit(_TREE_SHIFT) + node.cast("long")
 
 
-def _walk(rows: DataFrame, nodes: DataFrame, key: str, forest: Forest,
-          lookup, carry: Sequence[str] = ()) -> DataFrame:
+def _walk(rows: DataFrame, nodes: DataFrame, forest: Forest, lookup, carry: Sequence[str]) -> DataFrame:
     """Walk every (row, tree) pair ``max_depth`` levels down.
 
-    ``rows`` has ``key, tree_id, node_id`` plus whatever ``lookup`` needs;
+    ``rows`` has ``carry``, ``tree_id, node_id`` and whatever ``lookup`` needs;
     ``lookup(feature_col)`` returns the row's value of that feature.  Each
     level is one broadcast equi-join on the (tree, node) long key; leaves
     map to themselves, so rows that finish early stay put.
@@ -166,37 +175,49 @@ def _walk(rows: DataFrame, nodes: DataFrame, key: str, forest: Forest,
                                F.col("default_left"), F.col(CATEGORIES) if forest.has_categories else None), F.col("_lk")).otherwise(F.col("_rk"))
         rows = j.select(*keep, F.when(F.col("feature").isNull(), F.col("_k")).otherwise(nxt).alias("_k"))
     leaf_nodes = F.broadcast(nodes.select(_node_key(t, F.col("node_id")).alias("_k"), *_leaf_terms(forest)))
-    return rows.join(leaf_nodes, "_k").select(
-        F.col(key), *[F.col(c) for c in carry], *_sum_columns(forest.meta))
+    return rows.join(leaf_nodes, "_k").select(*carry, *_sum_columns(forest.meta))
+
 
+def _carried(rows: DataFrame) -> list[str]:
+    """The caller's columns of a plan's rows, and their row id."""
+    return [c for c in rows.columns if c == "_rid" or c.startswith("_k") and c[2:].isdigit()]
 
-def _aggregate_terms(terms: DataFrame, key: str, meta: ForestMeta,
-                     carry: Sequence[str] = (), group_key: str | None = None) -> DataFrame:
-    g = group_key or key
-    firsts = [c for c in ([key] if group_key else []) + list(carry)]
-    return terms.groupBy(g).agg(*[F.first(c).alias(c) for c in firsts],
-                                *[F.sum(c).alias(c) for c in _sum_columns(meta)])
 
+def _aggregate_terms(terms: DataFrame, meta: ForestMeta) -> DataFrame:
+    """The sums of a row's terms, by row id."""
+    firsts = [c for c in _carried(terms) if c != "_rid"]
+    return terms.groupBy("_rid").agg(*[F.first(c).alias(c) for c in firsts], *[F.sum(c).alias(c) for c in _sum_columns(meta)])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def _walk_groups(rows0: DataFrame, forest: Forest, key: str, lookup, carry: Sequence[str],
-                 max_group_nodes: int) -> DataFrame:
+
+def _walk_groups(rows0: DataFrame, forest: Forest, lookup, max_group_nodes: int, absent: float | None = None) -> DataFrame:
     """The terms of all trees, one walk per tree group.
 
     Several groups read one written copy of the rows, so the input is scanned
-    once and a row id is the same in every group.
+    once and a row id is the same in every group. A tree above the bound is
+    walked in bands of levels (:mod:`sylvan.operators.large_trees`).
     """
     groups = forest_groups(forest, max_group_nodes)
-    if len(groups) > 1:
-        spark = rows0.sparkSession
-        shared_dir(spark)
-        path = scratch_path(spark, "walk_rows")
-        rows0.write.parquet(path)
-        rows0 = spark.read.schema(rows0.schema).parquet(path)
+    large = set()
+    if len(groups) > 1 or forest.meta.n_nodes > max_group_nodes:
+        rows0 = _written(rows0, "walk_rows")
+        large = {t for t, n in forest.tree_sizes() if n > max_group_nodes}
     terms = None
     for a, b in groups:
         nodes = forest.nodes if len(groups) == 1 else forest.nodes.where(F.col("tree_id").between(a, b - 1))
-        rows = rows0.select("*", F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"), F.lit(0).alias("node_id"))
-        part = _walk(rows, nodes, key, forest, lookup, carry)
+        if b - a == 1 and a in large:
+            from sylvan.operators.large_trees import walk_large_tree
+            part = walk_large_tree(rows0, nodes, forest, max_group_nodes, absent)
+        else:
+            rows = rows0.select("*", F.explode(F.sequence(F.lit(a), F.lit(b - 1))).alias("tree_id"), F.lit(0).alias("node_id"))
+            part = _walk(rows, nodes, forest, lookup, _carried(rows0))
         terms = part if terms is None else terms.unionByName(part)
     return terms
 
@@ -214,19 +235,31 @@ def score_relational(forest: Forest, df: DataFrame, key: str, features,
     (bucketed table, earlier ``repartition(key)``) is aggregated with no
     exchange at all.
     """
-    meta = forest.meta
-    carry = list(carry)
-    rid = F.col(key) if key_is_unique else F.monotonically_increasing_id()
-    x = df.select(F.col(key), *[F.col(c) for c in carry], feature_array(features).alias("_x"),
-                  rid.alias("_rid"))
-    terms = _walk_groups(x, forest, key, lambda f: F.get(F.col("_x"), f), ["_rid", *carry], max_group_nodes)
-    return finalize(_aggregate_terms(terms, key, meta, carry, group_key="_rid"), key, meta, carry)
+    names = [key, *carry]
+    rid = F.col(f"`{key}`") if key_is_unique else F.monotonically_increasing_id()
+    x = df.select(*_keys(names), feature_array(features).alias("_x"), rid.alias("_rid"))
+    terms = _walk_groups(x, forest, lambda f: F.get(F.col("_x"), f), max_group_nodes)
+    return finalize(_aggregate_terms(terms, forest.meta), names, forest.meta)
 
 
 # ---------------------------------------------------------------------------
 # Sparse rows in long form
 # ---------------------------------------------------------------------------
 
+def _sparse_rows(forest: Forest, entries: DataFrame, key: str, feature_col: str, value_col: str, keys: DataFrame | None, lists) -> DataFrame:
+    """One row per row of ``keys``: _k0, _rid and what ``lists`` (an aggregate of _f, _v) makes of the key's entries.
+
+    Only entries of features the forest reads are kept. A null key meets the
+    entries whose key is null; a key that stands twice in ``keys`` is two rows.
+    """
+    used = forest.used_features().withColumnRenamed("feature", "_f")
+    cells = entries.select(F.col(f"`{key}`").alias("_e"), F.col(f"`{feature_col}`").cast("int").alias("_f"), F.col(f"`{value_col}`").cast("double").alias("_v"))
+    kept = cells.join(used, "_f", "left_semi").groupBy("_e").agg(*lists)
+    rows = entries.select(F.col(f"`{key}`").alias("_k0")).distinct() if keys is None else keys.select(F.col(f"`{key}`").alias("_k0"))
+    rows = rows.withColumn("_rid", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("_k0").eqNullSafe(F.col("_e")), "left").drop("_e")
+
+
 def score_sparse_long(forest: Forest, entries: DataFrame, key: str,
                       feature_col: str = "feature", value_col: str = "value",
                       absent: float | None = 0.0, keys: DataFrame | None = None,
@@ -235,26 +268,21 @@ def score_sparse_long(forest: Forest, entries: DataFrame, key: str,
 
     An absent entry reads as ``absent`` (0 by default; ``None`` = missing,
     which follows the node's default branch).  Only features the forest
-    reads are kept (semi join with the tiny used-feature set), then each
+    reads are kept (semi join with the used-feature set), then each
     row's entries become one map (bounded by the number of used features).
     ``keys`` lists every row to score (rows with no entry at all); by
     default the keys present in ``entries``.
     """
     meta = forest.meta
-    used = F.broadcast(forest.used_features().withColumnRenamed("feature", "_f"))
-    kept = (entries.join(used, F.col(feature_col).cast("int") == F.col("_f"), "left_semi")
-            .select(F.col(key), F.col(feature_col).cast("int").alias("_f"),
-                    F.col(value_col).cast("double").alias("_v")))
-    maps = kept.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_f", "_v"))).alias("_m"))
-    if keys is None:
-        keys = entries.select(key).distinct()
-    rows0 = keys.select(key).join(maps, key, "left")
+    as_map = F.map_from_entries(F.collect_list(F.struct("_f", "_v"))).alias("_m")
+    # written once: the row ids are the same in every tree group
+    rows0 = _written(_sparse_rows(forest, entries, key, feature_col, value_col, keys, [as_map]), "sparse_rows")
     if absent is None:
         lookup = lambda f: F.element_at(F.col("_m"), f)  # noqa: E731 - null when absent
     else:
         lookup = lambda f: F.coalesce(F.element_at(F.col("_m"), f), F.lit(float(absent)))
-    terms = _walk_groups(rows0, forest, key, lookup, [], max_group_nodes)
-    return finalize(_aggregate_terms(terms, key, meta), key, meta)
+    terms = _walk_groups(rows0, forest, lookup, max_group_nodes, absent)
+    return finalize(_aggregate_terms(terms, meta), [key], meta)
 
 
 def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
@@ -268,34 +296,13 @@ def score_sparse_vectorised(forest: Forest, entries: DataFrame, key: str,
     entries there are, not rows x features.  A repeated entry raises.
     """
     meta = forest.meta
-    if meta.n_nodes > MAX_SHIPPED_NODES:
-        # the same scores, walked in broadcast tree groups
-        return score_sparse_long(forest, entries, key, feature_col, value_col, absent, keys)
-    arrays = forest.to_arrays()
-    spark = entries.sparkSession
-    ship_package(spark)
-    bc = spark.sparkContext.broadcast(arrays)
-    width = max(1, int(arrays["feature"].max()) + 1)
-    used = F.broadcast(forest.used_features().withColumnRenamed("feature", "_f"))
-    kept = (entries.join(used, F.col(feature_col).cast("int") == F.col("_f"), "left_semi")
-            .where(F.col(value_col).isNotNull())
-            .groupBy(key).agg(F.collect_list(F.struct(F.col(feature_col).cast("int").alias("f"),
-                                                      F.col(value_col).cast("double").alias("v"))).alias("_e")))
-    if keys is None:
-        keys = entries.select(key).distinct()
-    rows = keys.select(key).join(kept, key, "left").select(key, F.col("_e.f").alias("_fs"), F.col("_e.v").alias("_vs"))
-    combine, sum_cols = meta.combine, _sum_columns(meta)
+    width = max(1, int(forest.used_features().agg(F.max("feature")).first()[0] or 0) + 1)
+    lists = F.collect_list(F.when(F.col("_v").isNotNull(), F.struct(F.col("_f").alias("f"), F.col("_v").alias("v")))).alias("_s")
+    rows = _sparse_rows(forest, entries, key, feature_col, value_col, keys, [lists])
+    rows = rows.select("_k0", "_rid", F.col("_s.f").alias("_fs"), F.col("_s.v").alias("_vs"))
     fill = np.nan if absent is None else float(absent)
-
-    def run(batches):
-        a = bc.value
-        for pdf in batches:
-            X = SparseRows(pdf["_fs"], pdf["_vs"], width, fill)
-            got = walk_arrays(a, X, combine)
-            sums = got.T if combine == "vote" else got
-            yield pd.DataFrame({key: pdf[key], **dict(zip(sum_cols, sums))})
-
-    return finalize(rows.mapInPandas(run, _sum_schema(rows.schema[key], meta)), key, meta)
+    sums = _vector_sums(forest, rows, lambda pdf: SparseRows(pdf["_fs"], pdf["_vs"], width, fill))
+    return finalize(sums, [key], meta)
 
 
 class SparseRows:
@@ -382,52 +389,57 @@ def walk_arrays(a: dict, X: np.ndarray, combine: str, tree_chunk: int = VECTOR_T
     return swv, np.full(n, a["weight"])
 
 
-def _sum_schema(key_field: T.StructField, meta: ForestMeta) -> T.StructType:
-    return T.StructType([key_field] + [T.StructField(c, T.DoubleType()) for c in _sum_columns(meta)])
+def _vector_sums(forest: Forest, rows: DataFrame, matrix) -> DataFrame:
+    """The caller's columns and the sums of every row; ``matrix(batch)`` gives the features of an Arrow batch.
 
-
-def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
-                     carry: Sequence[str] = ()) -> DataFrame:
-    meta = forest.meta
-    carry = list(carry)
-    if meta.n_nodes > MAX_SHIPPED_NODES:
-        # the same scores, walked in broadcast tree groups
-        return score_relational(forest, df, key, features, carry)
-    arrays = forest.to_arrays()
-    spark = df.sparkSession
+    One pass for a forest within the shipping bound. A larger one is walked in
+    tree groups over one written copy of the rows, a broadcast each, and the
+    sums are added up by row id; no worker holds more than one group.
+    """
+    meta, spark = forest.meta, rows.sparkSession
     ship_package(spark)
-    bc = spark.sparkContext.broadcast(arrays)
+    groups = forest.array_groups(MAX_SHIPPED_NODES)
+    names, sum_cols = _carried(rows), _sum_columns(meta)
+    if len(groups) == 1:
+        names = [c for c in names if c != "_rid"]
+    elif len(groups) > 1:
+        rows = _written(rows, "vector_rows")
+    schema = T.StructType([rows.schema[c] for c in names] + [T.StructField(c, T.DoubleType()) for c in sum_cols])
+    combine = meta.combine
+
+    def part(arrays: dict) -> DataFrame:
+        bc = spark.sparkContext.broadcast(arrays)
+
+        def run(batches):
+            for pdf in batches:
+                got = walk_arrays(bc.value, matrix(pdf), combine)
+                yield pd.DataFrame({**{c: pdf[c] for c in names}, **dict(zip(sum_cols, got.T if combine == "vote" else got))})
+
+        return rows.mapInPandas(run, schema)
+
+    parts = [part(g) for g in groups]
+    if len(parts) == 1:
+        return parts[0]
+    return _aggregate_terms(reduce(DataFrame.unionByName, parts), meta)
+
+
+def _plain_features(df: DataFrame, names: Sequence[str], features, width: int) -> tuple[DataFrame, list[str]]:
+    """The caller's columns and one double column a feature (an array column is unpacked JVM-side)."""
     if isinstance(features, str):
-        # unpack the array JVM-side so Python gets plain columns
-        width = meta.n_features
-        fcols = [F.get(F.col(features), F.lit(i)).cast("double").alias(f"_f{i}") for i in range(width)]
+        fcols = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(width)]
     else:
-        fcols = [c.cast("double").alias(f"_f{i}") for i, c in enumerate(_feature_cols(features))]
-    x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
-    names = [f"_f{i}" for i in range(len(fcols))]
-    schema = _sum_schema(x.schema[key], meta)
-    for c in carry:
-        schema.add(x.schema[c])
-    combine = meta.combine
-    sum_cols = _sum_columns(meta)
+        fcols = [c.cast("double") for c in _feature_cols(features)]
+    fnames = [f"_f{i}" for i in range(len(fcols))]
+    return df.select(*_keys(names), *[c.alias(n) for c, n in zip(fcols, fnames)]), fnames
 
-    def run(batches):
-        a = bc.value
-        for pdf in batches:
-            X = pdf[names].to_numpy(dtype=np.float64, na_value=np.nan)
-            out = {key: pdf[key]}
-            if combine == "vote":
-                acc = walk_arrays(a, X, combine)
-                for c, name in enumerate(sum_cols):
-                    out[name] = acc[:, c]
-            else:
-                swv, sw = walk_arrays(a, X, combine)
-                out["_swv"], out["_sw"] = swv, sw
-            for c in carry:
-                out[c] = pdf[c]
-            yield pd.DataFrame(out)
 
-    return finalize(x.mapInPandas(run, schema), key, meta, carry)
+def score_vectorised(forest: Forest, df: DataFrame, key: str, features,
+                     carry: Sequence[str] = ()) -> DataFrame:
+    meta, names = forest.meta, [key, *carry]
+    x, fnames = _plain_features(df, names, features, meta.n_features)
+    if meta.n_nodes > MAX_SHIPPED_NODES:
+        x = x.withColumn("_rid", F.monotonically_increasing_id())
+    return finalize(_vector_sums(forest, x, lambda pdf: pdf[fnames].to_numpy(dtype=np.float64, na_value=np.nan)), names, meta)
 
 
 def score_with_function(df: DataFrame, key: str, features: Sequence[str], predict_fn,
@@ -436,24 +448,18 @@ def score_with_function(df: DataFrame, key: str, features: Sequence[str], predic
     (rows x features, NaN = missing) to one number per row, applied to each
     Arrow batch with ``mapInPandas``.  The function is shipped with the
     task closure, so it must be picklable and model-sized."""
-    carry = list(carry)
+    names = [key, *carry]
     ship_package(df.sparkSession)
-    fcols = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
-    x = df.select(F.col(key), *[F.col(c) for c in carry], *fcols)
-    names = [f"_f{i}" for i in range(len(fcols))]
-    schema = T.StructType([x.schema[key], *[x.schema[c] for c in carry],
-                           T.StructField(out, T.DoubleType())])
+    x, fnames = _plain_features(df, names, list(features), len(features))
+    kept = _carried(x)
+    schema = T.StructType([*[x.schema[c] for c in kept], T.StructField("_s", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
-            X = pdf[names].to_numpy(dtype=np.float64, na_value=np.nan)
-            res = {key: pdf[key]}
-            for c in carry:
-                res[c] = pdf[c]
-            res[out] = np.asarray(predict_fn(X), dtype=np.float64)
-            yield pd.DataFrame(res)
+            X = pdf[fnames].to_numpy(dtype=np.float64, na_value=np.nan)
+            yield pd.DataFrame({**{c: pdf[c] for c in kept}, "_s": np.asarray(predict_fn(X), dtype=np.float64)})
 
-    return x.mapInPandas(run, schema)
+    return x.mapInPandas(run, schema).select(*[F.col(k).alias(c) for k, c in zip(kept, names)], F.col("_s").alias(out))
 
 
 # ---------------------------------------------------------------------------
@@ -486,12 +492,12 @@ def _tree_sql(a: dict, g: int, xs: list[str], leaf_value) -> str:
             f"ELSE {_tree_sql(a, int(a['right'][g]), xs, leaf_value)} END")
 
 
-def forest_expressions(forest: Forest, names: list[str]) -> list[Column]:
+def forest_expressions(forest: Forest, names: list[str], arrays: dict | None = None) -> list[Column]:
     """What the trees give for a row, built as SQL text over the feature columns
     ``names`` and parsed once: ``_swv`` and ``_sw``, or for a vote ``_leaves``,
     one array of class terms per tree (each tree is compiled once, whatever
     the number of classes)."""
-    a = forest.to_arrays()
+    a = forest.to_arrays() if arrays is None else arrays
     xs = [f"`{n}`" for n in names]
     if forest.meta.combine == "vote":
         def counts(g):
@@ -503,23 +509,25 @@ def forest_expressions(forest: Forest, names: list[str]) -> list[Column]:
 
 def score_expression(forest: Forest, df: DataFrame, key: str, features,
                      carry: Sequence[str] = ()) -> DataFrame:
-    meta = forest.meta
-    if meta.n_nodes > MAX_EXPRESSION_NODES:
-        # the same scores; the generated code would be far too long
-        return score_relational(forest, df, key, features, carry)
-    if isinstance(features, str):
-        fcols = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(meta.n_features)]
-    else:
-        fcols = [c.cast("double") for c in _feature_cols(features)]
-    names = [f"_f{i}" for i in range(len(fcols))]
-    x = df.select(F.col(key), *[F.col(c) for c in carry], *[c.alias(n) for c, n in zip(fcols, names)])
-    kept = [F.col(key), *[F.col(c) for c in carry]]
-    sums = x.select(*kept, *forest_expressions(forest, names))
-    if meta.combine == "vote":
+    meta, names = forest.meta, [key, *carry]
+    x, fnames = _plain_features(df, names, features, meta.n_features)
+    groups = forest.array_groups(MAX_EXPRESSION_NODES)
+    if len(groups) > 1:  # code for one group at a time, over one written copy of the rows
+        x = _written(x.withColumn("_rid", F.monotonically_increasing_id()), "expression_rows")
+    kept = _carried(x)
+
+    def part(arrays: dict) -> DataFrame:
+        sums = x.select(*kept, *forest_expressions(forest, fnames, arrays))
+        if meta.combine != "vote":
+            return sums
+
         def total(c):
             return F.aggregate("_leaves", F.lit(0.0), lambda s, leaf: s + F.get(leaf, F.lit(c)))
-        sums = sums.select(*kept, *[total(c).alias(f"_c{c}") for c in range(meta.n_classes)])
-    return finalize(sums, key, meta, carry)
+        return sums.select(*kept, *[total(c).alias(f"_c{c}") for c in range(meta.n_classes)])
+
+    parts = [part(g) for g in groups]
+    sums = parts[0] if len(parts) == 1 else _aggregate_terms(reduce(DataFrame.unionByName, parts), meta)
+    return finalize(sums, names, meta)
 
 
 # ---------------------------------------------------------------------------
@@ -549,6 +557,12 @@ STRATEGIES = {
 }
 
 
+def in_groups(forest: Forest, strategy: str) -> bool:
+    """Whether a plan takes the forest in several tree groups."""
+    bound = {"relational": MAX_GROUP_NODES, "vectorised": MAX_SHIPPED_NODES, "expression": MAX_EXPRESSION_NODES}[strategy]
+    return forest.meta.n_nodes > bound
+
+
 def score(forest: Forest, df: DataFrame, key: str, features, strategy: str = "vectorised",
           carry: Sequence[str] = ()) -> DataFrame:
     """Score by the named plan; all plans give the same scores."""

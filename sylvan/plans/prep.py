@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sylvan.functions import columns as C
 from sylvan.operators.encode import category_codes, encode_all_text
 from sylvan.operators.numbering import batch_counts as _batch_counts
-from sylvan.operators.numbering import capped_halves as _capped_halves
+from sylvan.operators.numbering import global_row_number
 from sylvan.operators.numbering import ordered_split as _ordered_split
-from sylvan.operators.numbering import row_cap as _row_cap
+from sylvan.operators.select import capped_halves as _capped_halves
+from sylvan.operators.select import split_at, take_first
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path
 from sylvan.sources import files
@@ -63,7 +64,7 @@ def scan_csv_header(spark, sf_dir):
 @query("row_cap", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def row_cap(spark, sf_dir):
     orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
-    return _row_cap(orders, "o_orderkey", 100)
+    return take_first(orders, "o_orderkey", 100)
 
 
 @query("chunk_union", "SELECT * FROM supplier")
@@ -238,6 +239,34 @@ def ordered_split(spark, sf_dir):
     return _ordered_split(o, "o_orderkey", 0.8).select("o_orderkey", "row_no", "split")
 
 
+_HOT = "CASE WHEN event_id % 3 = 0 THEN 77 ELSE user_id END"
+
+
+@query("split_hot_key", f"SELECT event_id, CASE WHEN row_number() OVER (ORDER BY {_HOT}, event_type, event_id) <= floor(count(*) OVER () * 0.8) "
+       "THEN 'train' ELSE 'test' END AS split FROM events")
+def split_hot_key(spark, sf_dir):
+    """L1 by the cut key, no row numbers: a third of the rows on the first key, a text as the second."""
+    ev = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
+    ev = ev.withColumn("k", F.when(F.col("event_id") % 3 == 0, F.lit(77)).otherwise(F.col("user_id")))
+    return split_at(ev, ["k", "event_type", "event_id"], 0.8).select("event_id", "split")
+
+
+@query("cap_by_value", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal NULLS FIRST, c_custkey LIMIT 333")
+def cap_by_value(spark, sf_dir):
+    """S4 ordered by a double: quantile rounds."""
+    return take_first(table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"]), ["c_acctbal", "c_custkey"], 333)
+
+
+@query("own_column_names", "SELECT o_orderkey, o_custkey AS _tie, o_custkey + 1 AS _pid, o_custkey + 2 AS _local, o_orderstatus AS _code, o_orderstatus AS _value, "
+       "CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_no, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS code FROM orders")
+def own_column_names(spark, sf_dir):
+    """L1, P5: columns that are called like what operators add for a while keep their values."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    own = o.select("o_orderkey", F.col("o_custkey").alias("_tie"), (F.col("o_custkey") + 1).alias("_pid"), (F.col("o_custkey") + 2).alias("_local"),
+                   F.col("o_orderstatus").alias("_code"), F.col("o_orderstatus").alias("_value"))
+    return category_codes(global_row_number(own, "o_orderkey"), "_value", out="code")
+
+
 @query("capped_halves",
        "(SELECT o_orderkey, o_totalprice, 'train' AS source FROM orders WHERE o_orderstatus = 'F' "
        "ORDER BY o_orderkey LIMIT 500) UNION ALL "

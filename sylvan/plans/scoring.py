@@ -126,7 +126,7 @@ def score_multiclass(spark, sf_dir):
 def _sql_sparse_fast():
     entries = ("SELECT vec_id, CAST(p - 1 AS INTEGER) AS feature, CAST(e AS DOUBLE) AS value "
                "FROM (SELECT vec_id, unnest(embedding) AS e, "
-               "unnest(range(1, len(embedding) + 1)) AS p FROM embeddings) WHERE abs(e) > 0.2")
+               "unnest(range(1, len(embedding) + 1)) AS p FROM embeddings) WHERE e <> 0")
     dense = (f"SELECT v.vec_id, list_transform(range(1, 65), lambda j: coalesce("
              f"map_extract(m, CAST(j - 1 AS INTEGER))[1], 0.0)) AS xs FROM embeddings v LEFT JOIN "
              f"(SELECT vec_id, map(list(feature), list(value)) AS m FROM ({entries}) GROUP BY vec_id) s "
@@ -136,10 +136,10 @@ def _sql_sparse_fast():
 
 
 def sparse_entries(spark, sf_dir):
-    """embeddings as long (vec_id, feature, value) entries with |value| > 0.2."""
+    """embeddings as long (vec_id, feature, value) entries: all values but zeros, which an absent entry stands for."""
     emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return (emb.select("vec_id", F.posexplode("embedding").alias("feature", "value"))
-            .where(F.abs("value") > 0.2)
+            .where(F.col("value") != 0)
             .select("vec_id", F.col("feature").cast("int"), F.col("value").cast("double")))
 
 

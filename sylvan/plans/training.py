@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylvan.operators import score as S
 from sylvan.operators.forest import forest_stats, grid_forest
-from sylvan.operators.numbering import ordered_split
+from sylvan.operators.select import split_at
 from sylvan.operators.train import save_model, train_forest, train_from_table as _train_from_table
 from sylvan.plans.features import EVENT_FEATURES, event_features, events_forest, sql_score_events, sql_walk_sums
 from sylvan.plans.registry import query
@@ -30,7 +30,7 @@ SQL_SCORE = sql_score_events(T_, D_)
 def _train_test(spark, sf_dir, label="y"):
     x = event_features(spark, sf_dir, keep=("event_type", "value"))
     x = x.withColumn("y", (F.col("event_type") == "purchase").cast("double"))
-    split = ordered_split(x, "event_id", 0.8)
+    split = split_at(x, "event_id", 0.8)
     return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
 

@@ -3,8 +3,9 @@
 ``readStream`` over a folder of Parquet feature files (``maxFilesPerTrigger``
 files per micro-batch) -> stateless forest scoring (vectorised or compiled
 plan) -> ``writeStream`` Parquet sink with its checkpoint in the shared
-folder.  The relational plan's per-row aggregate is stateful, so it runs
-per micro-batch inside ``foreachBatch`` instead.
+folder.  The relational plan, and any plan over a forest so large that it is
+scored in tree groups, adds up sums per row; a stream would hold these as
+state, so they run per micro-batch inside ``foreachBatch`` instead.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ def start_scoring_stream(spark: SparkSession, forest: Forest, source_dir: str, s
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     writer = None
-    if strategy == "relational":
+    if strategy == "relational" or S.in_groups(forest, strategy):
         def each(batch: DataFrame, epoch: int) -> None:
             # a replayed micro-batch replaces its own folder
-            S.score_relational(forest, batch, key, features).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+            S.STRATEGIES[strategy](forest, batch, key, features).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
         writer = stream.writeStream.foreachBatch(each)
     else:
         scored = S.STRATEGIES[strategy](forest, stream, key, features)
