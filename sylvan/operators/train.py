@@ -2,8 +2,8 @@
 
 Row order is made explicit before fitting (sorted within partitions by the
 key) and seeds are fixed, so a re-run on the same partitions fits the same
-forest.  Random forests refuse tables with missing values (M6); boosted
-trees accept them through ``VectorAssembler(handleInvalid='keep')``.
+forest.  MLlib's forests take no missing values, so tables that have some are
+refused (M6); 'xgboost' and 'lightgbm' learn where missing values go.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.operators.boost import Boosted, BoostParams, boost
+from sylvan.functions.sqlfuncs import Project
 from sylvan.operators.evaluate import positive_weight, require_no_nulls
 from sylvan.sources.forests import load_forest, save_forest
 
@@ -73,7 +74,7 @@ def train_forest(df: DataFrame, features: Sequence[str] | str, label: str, algor
     if df.isEmpty():
         # an all-test split (train fraction 0) leaves nothing to fit
         raise ValueError("the training table is empty (train fraction 0?)")
-    if algorithm == "randomforest":
+    if algorithm in ("randomforest", "gbt"):
         _require_whole(df, features)
     data = assemble(_ordered(df, key), features)
     kw = dict(featuresCol="features", labelCol=label, maxDepth=max_depth, maxBins=max_bins, seed=seed)
@@ -121,11 +122,18 @@ def train(spark: SparkSession, project: str, algorithm: str, task: str, hyperpar
     relation = spark.table(relation_name)
     features = [c for c in relation.columns if c not in (y_column, key)]
     row = train_from_table(spark, project, relation, y_column, features, algorithm, task, hyperparams_json, model_path, key)
-    row = row.withColumn("relation_name", F.lit(relation_name)).withColumn("y_column", F.lit(y_column))
+    row = (row.withColumn("relation_name", F.lit(relation_name)).withColumn("y_column", F.lit(y_column))
+              .withColumn("features", F.array(*map(F.lit, features))))
     row.write.mode("append").parquet(projects_path)
     return row
 
 
+def deployed(spark: SparkSession, projects_path: str) -> dict[str, Project]:
+    """The projects of the ``projects`` table, one row each, with their forests: for :func:`register_forest_table`."""
+    rows = spark.read.parquet(projects_path).where("status = 'deployed'").select("project", "model_path", "features").collect()
+    return {r.project: Project(load_forest(spark, r.model_path), r.features) for r in rows}
+
+
 def train_from_table(spark: SparkSession, project: str, relation: DataFrame, y_column: str,
                      features: Sequence[str], algorithm: str, task: str, hyperparams_json: str,
                      model_path: str, key: str | None = None) -> DataFrame:

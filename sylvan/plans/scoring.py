@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sylvan.functions.sqlfuncs import predict_batch, register_forest_predict
+from sylvan.functions.sqlfuncs import (Project, in_pieces, predict_batch, register_forest_predict, register_forest_table,
+                                       register_predict_batch)
 from sylvan.operators import score as S
 from sylvan.operators.numbering import with_batches
 from sylvan.plans.features import (EMBEDDING_RANGES, EVENT_FEATURES, EVENT_RANGES,
@@ -190,6 +191,53 @@ def predict_batch_q(spark, sf_dir):
     return out.select("event_id", "batch_id", (F.col("score") > 0).cast("int").alias("prediction"))
 
 
+@query("sql_predict_batch", _sql_batches())
+def sql_predict_batch(spark, sf_dir):
+    """A9 / F11 as SQL text: ``predict_batch`` over the array of an aggregate, a batch in pieces of at most 300 rows."""
+    register_predict_batch(spark, events_forest(spark, T_, D_), "predict_batch")
+    in_pieces(with_batches(event_features(spark, sf_dir), "event_id", BATCH_Q), "piece", 300).createOrReplaceTempView("event_batches")
+    return spark.sql("""
+        SELECT e.k AS event_id, batch_id, CAST(e.s > 0 AS INT) AS prediction
+        FROM (SELECT batch_id, rows.k AS k, predict_batch(rows.x) AS s
+              FROM (SELECT batch_id, array_agg(struct(event_id AS k, array(f0, f1, f2, f3) AS x)) AS rows
+                    FROM event_batches GROUP BY batch_id, piece))
+        LATERAL VIEW explode(arrays_zip(k, s)) AS e""")
+
+
+@query("sql_forest_table", sql_score_events(T_, D_).replace("SELECT k AS event_id, ", "SELECT k AS event_id, x.event_type, ").replace(
+    "FROM leaves GROUP BY k", "FROM leaves JOIN (SELECT event_id, event_type FROM events) x ON x.event_id = k GROUP BY k, x.event_type"))
+def sql_forest_table(spark, sf_dir):
+    """2.11 / F10: ``SELECT * FROM forest_score(TABLE(t), 'project')``, the schema taken from the table."""
+    register_forest_table(spark, {"events": Project(events_forest(spark, T_, D_), FEATS)}, "forest_score")
+    event_features(spark, sf_dir, keep=("event_type",)).createOrReplaceTempView("event_rows")
+    return spark.sql("SELECT event_id, event_type, score, CAST(prediction AS INT) AS prediction FROM forest_score(TABLE(event_rows), 'events')")
+
+
+@query("score_large_tree", sql_score_events(1, 8))
+def score_large_tree(spark, sf_dir):
+    """A tree of 511 nodes with a broadcast bound of 60: bands of levels, rows walk where their subtree lies."""
+    return S.score_relational(events_forest(spark, 1, 8), event_features(spark, sf_dir), "event_id", FEATS, max_group_nodes=60) \
+        .select("event_id", "score", "prediction")
+
+
+def _sql_awkward_keys():
+    inner = _sql_sparse_fast()
+    return (f"WITH s AS ({inner}) SELECT nullif(vec_id, 3) AS vec_id, score FROM s UNION ALL SELECT nullif(vec_id, 3), score FROM s WHERE vec_id % 5 = 3")
+
+
+@query("sparse_awkward_keys", _sql_awkward_keys())
+def sparse_awkward_keys(spark, sf_dir):
+    """A row whose key is null, and keys that stand twice among the rows to score."""
+    forest = grid_forest(spark, T_, D_, EMBEDDING_RANGES)
+    key = F.when(F.col("vec_id") != 3, F.col("vec_id")).alias("vec_id")
+    ids = table(spark, sf_dir, "embeddings", ["vec_id"])
+    keys = ids.union(ids.where("vec_id % 5 = 3")).select(key)
+    entries = sparse_entries(spark, sf_dir).select(key, "feature", "value")
+    long = S.score_sparse_long(forest, entries, "vec_id", absent=0.0, keys=keys.where("vec_id % 2 = 0 or vec_id is null"))
+    vectorised = S.score_sparse_vectorised(forest, entries, "vec_id", absent=0.0, keys=keys.where("vec_id % 2 != 0"))
+    return long.union(vectorised).select("vec_id", "score")
+
+
 # --- A13 -----------------------------------------------------------------------
 
 def prediction_histogram_df(spark, sf_dir):
