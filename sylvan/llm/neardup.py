@@ -5,12 +5,17 @@ Documents whose fingerprints differ in at most ``radius`` (2) bits are linked,
 and linked documents form groups.
 
 Links are sought among *distinct* fingerprints only, so a group of equal texts
-is one fingerprint however many rows it has. Two fingerprints two bits apart
-agree on at least two of four 16-bit segments: the distances of these segments
-are zero, so the pair meets under one of six two-segment keys. A pivot table
-holds each fingerprint's Hamming distances to reference fingerprints; by the
-triangle inequality a pair whose largest coordinate difference is over the
-radius cannot be a link and is dropped, and the rest are verified bit by bit.
+is one fingerprint however many rows it has. The pivot table holds each
+fingerprint's Hamming distances to reference fingerprints, taken apart by four
+16-bit segments: ``PIVOTS`` references give 4 x ``PIVOTS`` coordinates. By the
+triangle inequality coordinates of two fingerprints differ by no more than
+their bits do within that segment.
+
+Candidates come from the table alone: two bits touch at most two segments, so a
+link has equal coordinates in two whole segments, and pairs meet under the
+coordinates of ``KEY_PIVOTS`` references in two segments (six choices of two).
+Of these, pairs whose largest coordinate difference is over the radius cannot
+be links and are dropped; the rest are verified bit by bit.
 
 A key that more than ``crowd`` fingerprints share (one large family of near
 copies) emits no pairs: its members go another exact way. Two fingerprints are
@@ -38,8 +43,9 @@ from sylvan.llm.common import materialise, release, spare, workers_ready
 from sylvan.llm.components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
-#: Reference fingerprints of the pivot table.
-PIVOTS = 16
+#: Reference fingerprints of the pivot table, and those whose coordinates candidates must share in two segments.
+PIVOTS, KEY_PIVOTS = 16, 6
+SEGMENTS = 4
 #: Fingerprints under one key beyond which the one-bit way is taken.
 CROWD = 64
 
@@ -89,22 +95,31 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
+def _coordinate(f: str, pivot: int, segment: int):
+    """Hamming distance of a fingerprint's segment to a reference's."""
+    mask = 0xFFFF << 16 * segment
+    mask -= (1 << 64) if mask >> 63 else 0
+    return F.bit_count(F.col(f).bitwiseXOR(F.lit(pivot)).bitwiseAND(F.lit(mask)))
+
+
 def links(spark: SparkSession, prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints f -> edges (u, v) that connect whatever lies within the radius."""
     if radius != 2:
         raise ValueError("segments and the one-bit way are laid out for a radius of 2")
-    seg = [F.shiftrightunsigned("f", 16 * s).bitwiseAND(0xFFFF) for s in range(4)]
-    two = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-    keys = F.array(*[F.lit(i << 32) + F.shiftleft(seg[a], 16) + seg[b] for i, (a, b) in enumerate(two)])
+    refs = pivots()
+    two = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
+    # a segment's key: its coordinates to the first references, 0 to 16, five bits each
+    seg = [sum(F.shiftleft(_coordinate("f", p, s).cast("long"), 5 * j) for j, p in enumerate(refs[:KEY_PIVOTS])) for s in range(SEGMENTS)]
+    keys = F.array(*[F.shiftleft(seg[a], 5 * KEY_PIVOTS) + seg[b] + F.lit(i << 10 * KEY_PIVOTS) for i, (a, b) in enumerate(two)])
     keyed = prints.select("f", F.explode(keys).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(spark, keyed.join(shared, "key"), "near-keys")
-    table = F.array(*[F.bit_count(F.col("f").bitwiseXOR(F.lit(p))) for p in pivots()])
+    table = F.array(*[_coordinate("f", p, s).cast("tinyint") for p in refs for s in range(SEGMENTS)])
     side = met.where(F.col("n") <= crowd).select("key", "f", table.alias("d"))
     a, b = side.toDF("key", "u", "du"), side.toDF("key", "v", "dv")
-    widest = F.array_max(F.zip_with("du", "dv", lambda x, y: F.abs(x - y)))
+    apart = F.zip_with("du", "dv", lambda x, y: F.abs(x - y).cast("int"))
     pairs = (a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")))
-              .where(widest <= radius)
+              .where(F.array_max(apart) <= radius)
               .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     crowded = met.where(F.col("n") > crowd).select("f").distinct()
