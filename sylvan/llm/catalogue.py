@@ -141,11 +141,13 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN twice USING (doc
 s AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+             , len(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))::BIGINT AS n_pairs,
+             len(list_filter(ls, lambda x: regexp_matches(x, '[.]{{3}}[\x20\x09-\x0D]*$')))::BIGINT AS n_cut
       FROM d LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 100 * n_symbols <= 10 * n_words
-       AND 100 * n_dup_lines <= 30 * n_lines AS kept FROM b
+       AND 100 * n_dup_lines <= 30 * n_lines AND 10 * n_pairs >= n_words - 1 AND 100 * n_cut <= 30 * n_lines AS kept FROM b
 """
 
 

@@ -4,8 +4,9 @@ Each rule is a cheap or dear test of one document. On a bounded sample of
 documents (``SAMPLE``, chosen by hash) every rule runs alone; its mean cost and
 the share it rejects give the order: most rejections per second first. A
 document is then tested in that order until a rule rejects it, and a statistic
-is worked out only when a rule first asks for it. The order changes the cost,
-never the verdict, which is that no rule rejects.
+is worked out only when a rule first asks for it: the dear ones (distinct pairs
+of words, line endings) only for documents that the rules before them let pass.
+The order changes the cost, never the verdict, which is that no rule rejects.
 
 Defined results: null text has no words and is rejected; rows may repeat; an
 empty table gives no rows (rules stay in their given order); ids and other
@@ -84,6 +85,17 @@ class Stats:
         return int(covered.sum())
 
 
+    @cached_property
+    def n_pairs(self) -> int:
+        """Distinct pairs of neighbouring words."""
+        return len(set(zip(self.words, self.words[1:])))
+
+    @cached_property
+    def n_cut_lines(self) -> int:
+        """Lines that break off in dots."""
+        return sum(x.rstrip(SPACES).endswith("...") for x in self.lines)
+
+
 #: name -> whether the rule rejects. All limits are whole-number tests, so SQL states them exactly.
 RULES: dict[str, Callable[[Stats], bool]] = {
     "few_words": lambda s: s.n_words < 50,
@@ -91,6 +103,8 @@ RULES: dict[str, Callable[[Stats], bool]] = {
     "word_length": lambda s: not 2 * s.n_words <= s.word_chars <= 15 * s.n_words,
     "symbols": lambda s: 100 * s.n_symbols > 10 * s.n_words,
     "dup_lines": lambda s: 100 * s.n_dup_lines > 30 * len(s.lines),
+    "few_pairs": lambda s: 10 * s.n_pairs < s.n_words - 1,
+    "cut_lines": lambda s: 100 * s.n_cut_lines > 30 * len(s.lines),
 }
 BASE = ("few_words", "repeats")
 
@@ -119,37 +133,48 @@ def measure(spark: SparkSession, docs: DataFrame, text: str = "text", rules: tup
     return sorted(rated, key=lambda r: -r[2] / max(r[1], 1e-9))
 
 
+def cascade(s: Stats, order: list[str]) -> tuple[str | None, list[str]]:
+    """(the rule that rejects, the rules that were run to find out)."""
+    ran = []
+    for r in order:
+        ran.append(r)
+        if RULES[r](s):
+            return r, ran
+    return None, ran
+
+
 def passing(spark: SparkSession, docs: DataFrame, text: str = "text", rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
     """The documents that no rule rejects, columns unchanged; a document costs the rules up to the one that rejects it."""
     order = [r[0] for r in measure(spark, docs, text, rules)]
 
     @F.pandas_udf("boolean")
     def passes(texts: pd.Series) -> pd.Series:
-        return pd.Series([not any(RULES[r](s) for r in order) for s in map(Stats, texts)], dtype=bool)
+        return pd.Series([cascade(s, order)[0] is None for s in map(Stats, texts)], dtype=bool)
 
     return docs.where(passes(F.col(text).cast("string")))
 
 
 def judged(spark: SparkSession, docs: DataFrame, statistics: tuple[str, ...], key: str = "doc_id", text: str = "text",
            rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
-    """doc_id, the wanted statistics, rejected_by (null: kept). Statistics are shared with the rules."""
+    """doc_id, the wanted statistics, rejected_by (null: kept), rules_run. Statistics are shared with the rules."""
     order = [r[0] for r in measure(spark, docs, text, rules)]
-    schema = ", ".join(["id string", *(f"{s} long" for s in statistics), "rejected_by string"])
+    names = [*statistics, "rejected_by", "rules_run"]
+    schema = ", ".join(["id string", *(f"{s} long" for s in statistics), "rejected_by string", "rules_run array<string>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 s = Stats(t)
-                by = next((r for r in order if RULES[r](s)), None)
-                rows.append((*(getattr(s, k) for k in statistics), by))
-            out = pd.DataFrame(rows, columns=[*statistics, "rejected_by"])
+                by, ran = cascade(s, order)
+                rows.append((*(getattr(s, k) for k in statistics), by, ran))
+            out = pd.DataFrame(rows, columns=names)
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).cast("string").alias("id"), text_or_empty(text).alias("text")).mapInPandas(run, schema)
-                .select(F.col("id").cast(kind).alias("doc_id"), *statistics, "rejected_by"))
+                .select(F.col("id").cast(kind).alias("doc_id"), *names))
 
 
 def quality_report(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -378,3 +378,36 @@ def test_substring_dedup_of_one_row_in_many_batches(spark, monkeypatch):
     assert sorted({(r.doc_id or -1, r.n_removed) for r in out}) == [(-1, 40), (1, 0), (9, 40)] and len(out) == 601
     rows = substrdup._by_row(np.array([5] * 1000), np.array([1] * 1000, dtype=np.int32), np.array([3, 4] * 500, dtype=np.uint64))
     assert [(d, p, len(x)) for d, p, x in rows] == [(5, 1, 16)]
+
+
+def test_dear_rules_run_on_fewer_documents(spark):
+    """A counter of the rules that were run: the order is by rejection per cost, and what is rejected early costs no dear rule."""
+    good = " ".join(f"word{i} of text{i % 7}" for i in range(80))
+    data = [(i, "few words" if i % 3 else good + f" {i}") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = quality.judged(spark, docs, ("n_words",)).collect()
+    ran = Counter(r for row in out for r in row.rules_run)
+    assert len(out) == 300 and max(ran.values()) == 300
+    assert all(ran[r] < 300 for r in ("few_pairs", "cut_lines", "repeats")) and all(ran[r] >= 100 for r in quality.RULES)
+    assert all((row.rejected_by is None) == (len(row.rules_run) == len(quality.RULES)) for row in out if row.n_words > 50)
+
+
+def test_dear_rules():
+    verdict = lambda t: {r for r, f in quality.RULES.items() if f(quality.Stats(t))}
+    assert verdict("a b " * 400) >= {"few_pairs", "repeats"}
+    assert "cut_lines" in verdict("\n".join(f"line number {i} goes on and on..." for i in range(30)))
+    assert verdict(" ".join(f"word{i}" for i in range(100)) + " ...\none\ntwo\nlast line") == set()
+
+
+def test_candidates_come_from_the_pivot_table(spark, monkeypatch):
+    """Every link shares its coordinates to the key references in two segments; worse references lose none."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    prints = sorted({x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base for _ in range(3)} | set(base))
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    df = spark.createDataFrame([(x,) for x in signed], "f long")
+    for refs in (neardup.pivots(), [0] * 16):
+        monkeypatch.setattr(neardup, "pivots", lambda refs=refs: refs)
+        got = {tuple(sorted((r.u, r.v))) for r in neardup.links(spark, df, crowd=10 ** 6).collect()}
+        assert got == want
