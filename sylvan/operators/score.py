@@ -535,15 +535,15 @@ def score_expression(forest: Forest, df: DataFrame, key: str, features,
 # ---------------------------------------------------------------------------
 
 def score_mllib(model, df: DataFrame, key: str, features: Sequence[str] | str,
-                task: str = "classification") -> DataFrame:
+                task: str = "classification", carry: Sequence[str] = ()) -> DataFrame:
     """assemble the feature vector and run the model's ``transform``
     (the model is broadcast to the executors by MLlib)."""
     from sylvan.operators.train import assemble
-    cols = [features] if isinstance(features, str) else list(features)
+    cols = list(dict.fromkeys([key, *carry, *([features] if isinstance(features, str) else features)]))
     m = model.copy().setFeaturesCol("_features").setPredictionCol("_prediction")
-    out = m.transform(assemble(df.select(F.col(key), *[F.col(c) for c in cols]), features, "_features"))
+    out = m.transform(assemble(df.select(*[F.col(c) for c in cols]), features, "_features"))
     pred = F.col("_prediction").cast("int") if task == "classification" else F.col("_prediction")
-    return out.select(F.col(key), pred.alias("prediction"))
+    return out.select(key, *carry, pred.alias("prediction"))
 
 
 # ---------------------------------------------------------------------------

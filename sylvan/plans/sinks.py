@@ -14,6 +14,7 @@ from sylvan.plans.prep import CUSTOMER_DDL
 from sylvan.plans.registry import query
 from sylvan.session import scratch_path
 from sylvan.sinks import writers as W
+from sylvan.sinks.versioned import VersionedTable
 from sylvan.sources.tables import table
 
 _CUSTOMER_NULLS = ("SELECT c_custkey, c_name, c_nationkey, "
@@ -114,3 +115,19 @@ def observed_write_stats(spark, sf_dir):
     written = spark.read.parquet(path)
     return written.agg(F.countDistinct("l_returnflag").cast("long").alias("n_flags")).select(
         F.lit(int(got["n"])).cast("long").alias("n"), F.lit(float(got["sum_qty"])).alias("sum_qty"), "n_flags")
+
+
+@query("versioned_load", "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT c_custkey, c_acctbal FROM customer")
+def versioned_load(spark, sf_dir):
+    """Two loads, one of them retried, and one that died before its commit: each row is there once."""
+    schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_acctbal", T.DoubleType())])
+    path = scratch_path(spark, "versioned")
+    for name, table_name, cols in (("load-1", "supplier", ("s_suppkey", "s_acctbal")), ("load-2", "customer", ("c_custkey", "c_acctbal"))):
+        rows = table(spark, sf_dir, table_name, list(cols))
+        csv = scratch_path(spark, "load_csv")
+        W.write_csv(rows.select(F.col(cols[0]).cast("long"), F.col(cols[1]).cast("double")), csv)
+        for _ in range(2):
+            W.bulk_load_once(spark, csv, schema, path, name)
+    # what a writer leaves that was stopped before it could publish
+    spark.range(10).select(F.col("id").alias("s_suppkey"), F.lit(0.0).alias("s_acctbal")).write.parquet(f"{path}/data-stopped")
+    return VersionedTable(spark, path).read()

@@ -43,48 +43,65 @@ def _fit(spark, sf_dir, algorithm, task):
     return model, path, test
 
 
-@query("train_rf_classify")
+#: Test rows and the class that the event type gives away: what a classifier that learned must say.
+_SQL_TEST = ("SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS prediction FROM events "
+             "QUALIFY row_number() OVER (ORDER BY event_id) > floor(count(*) OVER () * 0.8)")
+_SQL_TREES = "SELECT CAST(t AS INTEGER) AS tree_id, true AS depth_ok, true AS binary_tree, true AS learned FROM range(10) r(t)"
+
+
+def _tree_facts(spark, sf_dir, algorithm, task):
+    """Per tree: at most 8 levels, every split with two children; and whether the forest beats the best constant on its training rows."""
+    _, path, _ = _fit(spark, sf_dir, algorithm, task)
+    forest = FS.forest_from_mllib_dir(spark, path)
+    label = "y" if task == "classification" else "value"
+    scored = S.score_vectorised(forest, _train_test(spark, sf_dir)[0], "event_id", EVENT_FEATURES, carry=[label])
+    if task == "classification":
+        learned = F.avg((F.col("prediction") == F.col(label)).cast("double")) > F.greatest(F.avg(label), 1 - F.avg(label))
+    else:
+        learned = F.avg((F.col("prediction") - F.col(label)) ** 2) < F.var_pop(label)
+    one = scored.agg(learned.alias("learned"))  # one row
+    return forest_stats(forest).join(F.broadcast(one), F.lit(True)).select(
+        "tree_id", (F.col("depth") <= 8).alias("depth_ok"), (F.col("leaves") * 2 == F.col("nodes") + 1).alias("binary_tree"), "learned")
+
+
+@query("train_rf_classify", _SQL_TREES)
 def train_rf_classify(spark, sf_dir):
-    """M1/M2: random forest classifier (10 trees, depth 8) -> per-tree stats."""
-    _, path, _ = _fit(spark, sf_dir, "randomforest", "classification")
-    return forest_stats(FS.forest_from_mllib_dir(spark, path))
+    """M1/M2: random forest classifier (10 trees, depth 8)."""
+    return _tree_facts(spark, sf_dir, "randomforest", "classification")
 
 
-@query("train_rf_regress")
+@query("train_rf_regress", _SQL_TREES)
 def train_rf_regress(spark, sf_dir):
-    _, path, _ = _fit(spark, sf_dir, "randomforest", "regression")
-    return forest_stats(FS.forest_from_mllib_dir(spark, path))
+    return _tree_facts(spark, sf_dir, "randomforest", "regression")
 
 
-@query("train_gbt_classify")
+@query("train_gbt_classify", _SQL_TREES)
 def train_gbt_classify(spark, sf_dir):
-    """M3/M4: boosted trees (MLlib GBT, step 0.1)."""
-    _, path, _ = _fit(spark, sf_dir, "gbt", "classification")
-    return forest_stats(FS.forest_from_mllib_dir(spark, path))
+    """Boosted trees of MLlib (step 0.1)."""
+    return _tree_facts(spark, sf_dir, "gbt", "classification")
 
 
-@query("train_gbt_regress")
+@query("train_gbt_regress", _SQL_TREES)
 def train_gbt_regress(spark, sf_dir):
-    _, path, _ = _fit(spark, sf_dir, "gbt", "regression")
-    return forest_stats(FS.forest_from_mllib_dir(spark, path))
+    return _tree_facts(spark, sf_dir, "gbt", "regression")
 
 
-@query("score_mllib")
+@query("score_mllib", _SQL_TEST)
 def score_mllib(spark, sf_dir):
     """the native ``transform`` on the test split."""
     model, _, test = _fit(spark, sf_dir, "randomforest", "classification")
     return S.score_mllib(model, test, "event_id", EVENT_FEATURES)
 
 
-@query("forest_nodes_from_model")
+@query("forest_nodes_from_model", _SQL_TEST)
 def forest_nodes_from_model(spark, sf_dir):
     """Saved model folder -> node relation -> relational scoring."""
     _, path, test = _fit(spark, sf_dir, "randomforest", "classification")
     forest = FS.forest_from_mllib_dir(spark, path)
-    return S.score_relational(forest, test, "event_id", EVENT_FEATURES)
+    return S.score_relational(forest, test, "event_id", EVENT_FEATURES).select("event_id", "prediction")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", _SQL_TEST)
 def model_roundtrip(spark, sf_dir):
     """K8: save, load, score: predictions of the reloaded model."""
     from pyspark.ml.classification import RandomForestClassificationModel
@@ -93,13 +110,17 @@ def model_roundtrip(spark, sf_dir):
     return S.score_mllib(again, test, "event_id", EVENT_FEATURES)
 
 
-@query("train_from_table")
+@query("train_from_table", "SELECT 'events_training' AS project, 'gbt' AS algorithm, 'classification' AS task, CAST(10 AS INTEGER) AS n_trees, "
+       f"'deployed' AS status, p.event_id, p.prediction FROM ({_SQL_TEST}) p")
 def train_from_table(spark, sf_dir):
-    """M5: SQL-style train call over a registered relation -> one row."""
-    train, _ = _train_test(spark, sf_dir)
-    return _train_from_table(spark, "events_training", train, "y", EVENT_FEATURES, "gbt",
-                             "classification", '{"n_estimators": 10, "max_depth": 8}',
-                             scratch_path(spark, "project_model"), key="event_id")
+    """M5: SQL-style train call over a registered relation -> one row, and what its deployed model says of the test rows."""
+    train, test = _train_test(spark, sf_dir)
+    row = _train_from_table(spark, "events_training", train, "y", EVENT_FEATURES, "gbt",
+                            "classification", '{"n_estimators": 10, "max_depth": 8}',
+                            scratch_path(spark, "project_model"), key="event_id")
+    path = row.first().model_path
+    said = S.score_vectorised(FS.load_forest(spark, path), test, "event_id", EVENT_FEATURES).select("event_id", "prediction")
+    return said.join(F.broadcast(row.select("project", "algorithm", "task", "n_trees", "status")), F.lit(True))
 
 
 # --- forest dumps (checked against SQL: the grid forest is known) ----------------
@@ -263,7 +284,13 @@ def score_stream(spark, sf_dir):
 
 
 
-@query("train_metric")
+_LINE = "CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1_score, CAST(count(*) AS BIGINT) AS support FROM t"
+
+
+@query("train_metric", "WITH t AS (SELECT CAST(event_type = 'purchase' AS INTEGER) AS y FROM events QUALIFY row_number() OVER (ORDER BY event_id) "
+       f"<= floor(count(*) OVER () * 0.8)) SELECT CAST(y AS VARCHAR) AS label, {_LINE} GROUP BY y "
+       "UNION ALL SELECT 'accuracy', NULL, NULL, CAST(1 AS DOUBLE), count(*) FROM t "
+       f"UNION ALL SELECT 'macro avg', {_LINE} UNION ALL SELECT 'weighted avg', {_LINE}")
 def train_metric(spark, sf_dir):
     """M7: the classification report of the fitted forest on its own
     training rows (A2 on ``model.transform(train)``)."""
@@ -271,6 +298,5 @@ def train_metric(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     model = train_forest(train, EVENT_FEATURES, "y", "randomforest", "classification", n_trees=10,
                          max_depth=8, key="event_id")
-    scored = S.score_mllib(model, train.select("event_id", "y", *EVENT_FEATURES), "event_id",
-                           EVENT_FEATURES)
-    return classification_report(scored.join(train.select("event_id", "y"), "event_id"), "y", "prediction")
+    scored = S.score_mllib(model, train, "event_id", EVENT_FEATURES, carry=["y"])
+    return classification_report(scored, "y", "prediction")

@@ -6,10 +6,14 @@ caller passes its own; nothing is written to a machine-local folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvan.sinks.versioned import VersionedTable
+
 
 def ddl_of(schema: T.StructType) -> str:
     """K2: a column DDL string from a ``StructType``."""
@@ -26,10 +30,21 @@ def write_csv(df: DataFrame, path: str, header: bool = False, compression: str |
 
 
 def replace_table(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
-    """K2: drop-and-create: the table afterwards holds exactly ``df``."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({ddl_of(df.schema)}) USING parquet LOCATION '{path}'")
-    df.write.insertInto(name, overwrite=True)
+    """K2: the table afterwards holds exactly ``df``.
+
+    The rows are written to a new folder below ``path`` first; a table that is
+    there is then pointed at it in one step, so its readers see the old rows
+    or the new ones. Only a table of another schema is dropped and created.
+    """
+    folder = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    have = spark.table(name).schema if spark.catalog.tableExists(name) else None
+    if have is not None and ddl_of(have) == ddl_of(df.schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({ddl_of(df.schema)}) USING parquet LOCATION '{folder}'")
     return spark.table(name)
 
 
@@ -62,9 +77,23 @@ def write_text_int(scored: DataFrame, path: str, col: str = "prediction", key: s
         scored.select(as_int.cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def append_runs(df: DataFrame, path: str) -> None:
-    """Append one row per run to the ``runs`` table (Parquet, append)."""
-    df.write.mode("append").parquet(path)
+def append_runs(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Append one row per run to the ``runs`` table.
+
+    With a ``run_id`` the table is versioned (:mod:`sylvan.sinks.versioned`): a
+    retried append adds its rows once. Without one it is a plain Parquet append.
+    """
+    if run_id is None:
+        df.write.mode("append").parquet(path)
+    else:
+        VersionedTable(df.sparkSession, path).commit(df, run_id, append=True)
+
+
+def bulk_load_once(spark: SparkSession, path_csv: str, schema: T.StructType, path: str, run_id: str, header: bool = False) -> DataFrame:
+    """K3 for loads that may be retried: a CSV's rows are in the table once, all or none of them."""
+    table = VersionedTable(spark, path)
+    table.commit(spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path_csv), run_id, append=True)
+    return table.read()
 
 
 def write_runs_csv(df: DataFrame, path: str) -> None:
