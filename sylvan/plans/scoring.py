@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions.sqlfuncs import (Project, in_pieces, predict_batch, register_forest_predict, register_forest_table,
                                        register_predict_batch)
 from sylvan.operators import score as S
+from sylvan.operators.bitvector import score_bitvector
 from sylvan.operators.numbering import with_batches
+from sylvan.operators.slices import SliceIndex
+from sylvan.session import scratch_path
 from sylvan.plans.features import (EMBEDDING_RANGES, EVENT_FEATURES, EVENT_RANGES,
                                    embeddings_forest, event_features, events_forest,
                                    sql_event_features, sql_score_events, sql_walk_sums)
@@ -238,6 +243,25 @@ def sparse_awkward_keys(spark, sf_dir):
     return long.union(vectorised).select("vec_id", "score")
 
 
+@query("score_bitvector", SQL_SCORE)
+def score_bitvector_q(spark, sf_dir):
+    """F4 by bit vectors: native bit functions over literal tables, no nested conditions."""
+    return score_bitvector(events_forest(spark, T_, D_), event_features(spark, sf_dir), "event_id", FEATS)
+
+
+_SLICES = (0, 3, 7)
+
+
+@query("score_slices", f"SELECT * FROM ({_sql_batches()}) WHERE batch_id IN {_SLICES}")
+def score_slices(spark, sf_dir):
+    """Some batches of the table, each read from its own files by a zone map and scored."""
+    index = SliceIndex.build(event_features(spark, sf_dir), "event_id", scratch_path(spark, "slices"), rows_per_file=500)
+    forest = events_forest(spark, T_, D_)
+    parts = [S.score_vectorised(forest, index.slice(i, BATCH_Q), "event_id", FEATS).select(
+        "event_id", F.lit(i).cast("long").alias("batch_id"), "prediction") for i in _SLICES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- A13 -----------------------------------------------------------------------
 
 def prediction_histogram_df(spark, sf_dir):
