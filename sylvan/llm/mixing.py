@@ -10,7 +10,9 @@ source and leading hash bits (4,096 buckets), find the bucket in which the
 running sum passes the budget, refine that bucket alone by the next 12 bits,
 and only the documents of that last cell (one in 16 million of a source) are
 looked at hash by hash. Sums are partially aggregated before each shuffle, so
-a source with a third of all rows costs no more than any other.
+a source with a third of all rows costs no more than any other. Targets need the
+order of the sources and running sums; both are taken range by range, so there
+may be as many sources as documents.
 
 Defined results: null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own, last in the order; rows that repeat both id
@@ -43,6 +45,18 @@ def doc_hash(key: str = "doc_id", text: str = "text") -> Column:
     return F.conv(F.substring(F.md5(ident.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _ranges(spark: SparkSession, df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Written: ``df`` range-partitioned by ``order``, each row with its range (``__range``)."""
+    return materialise(spark, df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), name)
+
+
+def _before(ranges: DataFrame, **sums: Column) -> DataFrame:
+    """(``__range``, sums over all earlier ranges): one row a partition, so it is broadcast and prefixed in one task."""
+    earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranges.groupBy("__range").agg(*[c.alias(k) for k, c in sums.items()])
+    return F.broadcast(parts.select("__range", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums]))
+
+
 def source_targets(by_source: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2) -> DataFrame:
     """(source, source_size) -> + target, one row per source.
 
@@ -50,30 +64,41 @@ def source_targets(by_source: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: i
     ``share`` of all words; no target passes ``cap`` times its source. With
     caps c and weights w the targets are min(c, level * w) for the level at
     which they add up to the budget: a source is capped when the sum at its
-    own ratio c / w stays within the budget, which two running sums over the
-    (one row per source) table decide in whole numbers.
+    own ratio c / w stays within the budget. That sum grows with the ratio, so
+    the largest ratio within the budget settles every source.
+
+    Sources may be many (hosts): their places in the order and the running sums
+    over distinct ratios come from ranges and what earlier ranges add up to, so
+    no task sees all of them; a few totals reach the driver. Sums are whole numbers.
     """
+    spark = by_source.sparkSession
     num, den = share
     unit = lcm(*weights)
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    up = W.orderBy("__ratio").rangeBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.partitionBy()
     exact = "decimal(38,0)"
-    t = by_source.withColumn("__w", F.element_at(F.array(*[F.lit(w) for w in weights]),
-                                                 ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    t = (t.withColumn("__c", F.col("source_size") * cap)
-          .withColumn("__ratio", F.col("__c") * (F.lit(unit) / F.col("__w")).cast("long"))
-          .withColumn("__c_le", F.sum("__c").over(up)).withColumn("__w_le", F.sum("__w").over(up))
-          .withColumn("__w_all", F.sum("__w").over(everything)).withColumn("__all", F.sum("source_size").over(everything)))
-    t = t.withColumn("__capped", F.lit(den) * (F.col("__c_le").cast(exact) * F.col("__w")
-                                               + F.col("__c").cast(exact) * (F.col("__w_all") - F.col("__w_le")))
-                     <= F.lit(num) * F.col("__all").cast(exact) * F.col("__w"))
-    free = F.when(F.col("__capped"), F.lit(0)).otherwise(F.col("__w"))
-    full = F.when(F.col("__capped"), F.col("__c")).otherwise(F.lit(0))
-    t = t.withColumn("__free", F.sum(free).over(everything)).withColumn("__full", F.sum(full).over(everything))
-    level = F.col("__w").cast("double") * (num * F.col("__all") - den * F.col("__full")).cast("double") / (den * F.col("__free")).cast("double")
-    return t.select("source", "source_size",
-                    F.when(F.col("__capped"), F.col("__c").cast("double")).otherwise(level).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    named = _ranges(spark, by_source, order, "mix-sources")
+    place = F.row_number().over(W.partitionBy("__range").orderBy(order)) + F.col("__before") - 1
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (place % len(weights) + 1).cast("int")).cast("long")
+    c = F.col("source_size") * cap
+    t = materialise(spark, named.join(_before(named, __before=F.count(F.lit(1))), "__range")
+                    .select("source", "source_size", w.alias("__w"), c.alias("__c"))
+                    .withColumn("__ratio", F.col("__c") * (F.lit(unit) / F.col("__w")).cast("long")), "mix-weights")
+    total = lambda k: F.coalesce(F.sum(F.col(k).cast(exact)), F.lit(0)).cast(exact)
+    everything, w_all = (int(x) for x in t.agg(total("source_size"), total("__w")).first())
+
+    ratios = _ranges(spark, t.groupBy("__ratio").agg(total("__c").alias("c"), total("__w").alias("w")), F.col("__ratio"), "mix-ratios")
+    up = W.partitionBy("__range").orderBy("__ratio").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = (ratios.join(_before(ratios, c0=F.sum("c"), w0=F.sum("w")), "__range")
+                 .select("__ratio", (F.col("c0") + F.sum("c").over(up)).cast(exact).alias("c"), (F.col("w0") + F.sum("w").over(up)).cast(exact).alias("w")))
+    whole = lambda x: F.lit(str(x)).cast(exact)
+    within = (F.col("c") * whole(den * unit) + F.col("__ratio").cast(exact) * ((whole(w_all) - F.col("w")) * whole(den))
+              <= whole(num * everything * unit))
+    last = run.where(within).agg(F.max_by(F.struct("__ratio", "c", "w"), "__ratio").alias("r")).first().r
+    ratio, full, w_full = (int(last["__ratio"]), int(last.c), int(last.w)) if last else (-1, 0, 0)
+
+    left, free = num * everything - den * full, den * (w_all - w_full)
+    level = F.col("__w").cast("double") * F.lit(float(left)) / F.lit(float(free or 1))
+    return t.select("source", "source_size", F.when(F.col("__ratio") <= ratio, F.col("__c").cast("double")).otherwise(level).alias("target"))
 
 
 def _passing(hist: DataFrame, budget: DataFrame, level: str) -> DataFrame:

@@ -56,6 +56,21 @@ def test_mix_targets_and_takes(spark):
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3000])
+def test_targets_of_many_sources(spark, n):
+    """Ranges and what stands before them give the targets of plain Python, with ties, empty sources and a null one."""
+    sizes = {f"s{i * 7919 % 100003:06d}": [0, 1, 50, 50, 50, 1000, 10 ** 9][i % 7] + (i % 11 == 0) * i for i in range(n)} | {None: 40}
+    want = targets(sizes)
+    t = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(4)
+    for parts in (1, 4):
+        got = {r.source: r for r in mixing.source_targets(t.repartition(parts)).collect()}
+        assert got.keys() == sizes.keys()
+        for s, r in got.items():
+            assert r.source_size == sizes[s] and r.target == pytest.approx(float(want[s]), rel=1e-12)
+    none = mixing.source_targets(t.where("false"))
+    assert none.columns == ["source", "source_size", "target"] and none.count() == 0
+
+
 def test_mixed_repeats_documents_as_taken(spark):
     docs = fixture.frame(spark, fixture.rows(repeat_ids=False))
     got = mixing.mixed(spark, docs)
