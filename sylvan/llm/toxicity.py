@@ -40,7 +40,8 @@ DOCS, LEXICON = 12_000, 30_000
 #: What a token without evidence costs, and the least |log-odds| / standard error of one with.
 COST, LEAST_Z = 0.3, 2.2
 CUT = 0.3
-REMEMBERED = 100_000
+#: Words a worker remembers, and the longest of them (longer ones are looked up each time).
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def token_features(w: str) -> tuple[str, ...]:
@@ -84,13 +85,15 @@ class Scorer(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        s = self[word] = max(self.lexicon.get(f, 0.0) for f in token_features(word))
+        s = max(self.lexicon.get(f, 0.0) for f in token_features(word))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:  # also within a text
+                self.clear()
+            self[word] = s
         return s
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the tokens that have evidence."""
-        if len(self) > REMEMBERED:
-            self.clear()
         s = np.fromiter(map(self.__getitem__, words), dtype=float, count=len(words))
         at = np.flatnonzero(s > 0)
         return at, s[at]
@@ -116,11 +119,12 @@ def evidence(n: int, scores: list[float], lam: float, k: float) -> tuple[float,
     return (float(np.log1p(max(x))), float(np.log1p(sum(x)))) if x else (0.0, 0.0)
 
 
-def solve_lambda(scores: np.ndarray, n: int, cost: float = COST) -> float:
-    """The positive root of E[exp(lambda s)] = 1 over n clean tokens, of which ``scores`` are positive."""
-    scores = np.append(scores, scores.max() if len(scores) else 5.0)  # one more, so rare hits do not make it infinite
-    share = (n + 1 - len(scores)) / (n + 1)
-    f = lambda x: np.exp(np.minimum(x * scores, 60)).sum() / (n + 1) + share * np.exp(-x * cost) - 1
+def solve_lambda(scores: np.ndarray, times: np.ndarray, n: int, cost: float = COST) -> float:
+    """The positive root of E[exp(lambda s)] = 1 over n clean tokens, of which ``times`` have each of the positive ``scores``."""
+    # one more, so rare hits do not make it infinite
+    scores, times = np.append(scores, scores.max() if len(scores) else 5.0), np.append(times, 1)
+    share = (n + 1 - times.sum()) / (n + 1)
+    f = lambda x: (times * np.exp(np.minimum(x * scores, 60))).sum() / (n + 1) + share * np.exp(-x * cost) - 1
     lo, hi = 1e-4, 20.0
     if f(lo) >= 0:
         return lo
@@ -202,22 +206,38 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, docs_bound: int
         return Model({}, 1.0, 1.0, np.array([np.log((share + 1e-12) / (1 - share + 1e-12)), 0.0, 0.0]))
     lexicons = spark.sparkContext.broadcast(crossed)
 
+    def found(pdf: pd.DataFrame, scorers: list[Scorer]) -> Iterator[tuple[int, int, np.ndarray, list[float]]]:
+        for t, y, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"]):
+            words = words_of(t)
+            at, s = scorers[fold](words)
+            yield y, len(words), s, [x for _, _, x in segments(at, s)]
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of clean texts: (tokens, strongest segment) of each, and how many tokens have each score (n is null)."""
+        scorers = [Scorer(x) for x in lexicons.value]
+        for pdf in batches:
+            rows, hits = [], Counter()
+            for y, n, s, x in found(pdf, scorers):
+                if y == 0:
+                    hits.update(s.tolist())
+                    rows.append((n, max(x, default=0.0), 1))
+            yield pd.DataFrame(rows + [(None, v, k) for v, k in hits.items()], columns=["n", "x", "times"]).astype({"n": "Int64"})
+
+    # one row for a clean text of the sample at most, and one for each score of the lexicons
+    got = (sample.mapInPandas(clean, "n long, x double, times long").groupBy("n", "x").agg(F.sum("times").alias("times"))
+                 .orderBy("n", "x").toPandas())
+    hits, rows = got[got["n"].isna()], got[got["n"].notna()]
+    n, best, many = rows["n"].to_numpy(dtype=float), rows["x"].to_numpy(), rows["times"].to_numpy()
+    lam = solve_lambda(hits["x"].to_numpy(), hits["times"].to_numpy(), int((n * many).sum()))
+    k = many.sum() / max(float((many * np.maximum(n, 1) * np.exp(-lam * best)).sum()), 1e-9)
+
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers = [Scorer(x) for x in lexicons.value]
         for pdf in batches:
-            rows = []
-            for t, y, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"]):
-                words = words_of(t)
-                at, s = scorers[fold](words)
-                rows.append((y, len(words), s.tolist() if y == 0 else [], [x for _, _, x in segments(at, s)]))
-            yield pd.DataFrame(rows, columns=["y", "n", "hits", "found"])
-
-    got = sample.mapInPandas(weigh, "y int, n long, hits array<double>, found array<double>").toPandas()
-    clean = got[got["y"] == 0]
-    lam = solve_lambda(np.concatenate([np.asarray(h, dtype=float) for h in clean["hits"]]), int(clean["n"].sum()))
-    best = clean["found"].map(lambda f: max(f) if len(f) else 0.0).to_numpy(dtype=float)
-    k = len(clean) / max(float((clean["n"].clip(lower=1) * np.exp(-lam * best)).sum()), 1e-9)
-    x = np.array([(1.0, *evidence(n, list(f), lam, k)) for n, f in zip(got["n"], got["found"])])
+            yield pd.DataFrame([(y, *evidence(n, x, lam, k)) for y, n, _, x in found(pdf, scorers)], columns=["y", "strongest", "total"])
+
+    got = sample.mapInPandas(weigh, "y int, strongest double, total double").orderBy("y", "strongest", "total").toPandas()
+    x = np.column_stack([np.ones(len(got)), got["strongest"], got["total"]])
     return Model(lexicon, lam, k, logistic(x, got["y"].to_numpy(dtype=float)))
 
 

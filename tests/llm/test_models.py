@@ -122,6 +122,38 @@ def test_toxicity(spark):
     assert len(got[1002].passages) == 1 and (got[1002].passages[0].start, got[1002].passages[0].end) == (0, 3)
 
 
+def test_toxicity_fit_brings_counts_not_lists(spark, monkeypatch):
+    """One long clean text full of evidence adds no rows to what the driver gets; partitions change nothing."""
+    docs, labels = sample_rows()
+    docs[7] = (7, "ko zgrobul " * 40000)
+    d, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got, frames = [], []
+    whole = type(d).toPandas
+    monkeypatch.setattr(type(d), "toPandas", lambda self: frames.append(whole(self)) or frames[-1])
+    for n in (2, 7):
+        got.append(toxicity.fit(spark, d.repartition(n), lb))
+    assert got[0].lexicon == got[1].lexicon
+    assert (got[0].lam, got[0].k) == (got[1].lam, got[1].k) and np.array_equal(got[0].weights, got[1].weights)
+    assert all(len(f) <= len(docs) + 2 * len(got[0].lexicon) + 2000 for f in frames)
+    assert not any(isinstance(v, (list, np.ndarray)) for f in frames for c in f for v in f[c].head(3))
+
+
+def test_lambda_counts_equal_scores_together():
+    s = np.array([.5, .5, .5, 2.0, 2.0, 3.1])
+    v, n = np.unique(s, return_counts=True)
+    assert toxicity.solve_lambda(v, n, 4000) == pytest.approx(toxicity.solve_lambda(s, np.ones(6), 4000), rel=1e-12)
+    assert toxicity.solve_lambda(np.array([]), np.array([]), 100) > 0
+
+
+def test_scorer_forgets_within_a_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    scorer = toxicity.Scorer({"w7": 1.5, "x" * 900: 2.0})
+    words = [f"w{i}" for i in range(500)] + ["x" * 900, "w7"]
+    at, s = scorer(words)
+    assert at.tolist() == [7, 500, 501] and s.tolist() == [1.5, 2.0, 1.5]
+    assert len(scorer) <= 50 and max(map(len, scorer)) <= toxicity.LONGEST
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)]])
 def test_toxicity_without_both_kinds(spark, labels):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
