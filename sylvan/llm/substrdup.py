@@ -54,7 +54,8 @@ FLUSH = 2_000_000
 PER_BUCKET = 1_000_000
 #: Second-pass groups at least, so that many tasks share them at any size.
 LEAST_BUCKETS = 128
-REMEMBERED = 150_000
+#: Words a worker remembers, and the longest of them (longer ones are hashed each time).
+REMEMBERED, LONGEST = 150_000, 64
 _LAST_ID = (1 << 63) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROW2 = np.uint64(0xD6E8FEB86659FD93)
@@ -65,7 +66,11 @@ class _Known(dict):
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
-        h = self[word] = xxh64_intdigest(word)
+        h = xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:  # also within a text
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -74,8 +79,6 @@ def window_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     if n < 1:
         return np.empty(0, dtype=np.uint64)
     known = held("word hashes", _Known)
-    if len(known) > REMEMBERED:
-        known.clear()
     a = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     h = a[:n].copy()
     for k in range(1, width):

@@ -411,3 +411,13 @@ def test_candidates_come_from_the_pivot_table(spark, monkeypatch):
         monkeypatch.setattr(neardup, "pivots", lambda refs=refs: refs)
         got = {tuple(sorted((r.u, r.v))) for r in neardup.links(spark, df, crowd=10 ** 6).collect()}
         assert got == want
+
+
+def test_window_hashes_forget_within_a_text(monkeypatch):
+    words = [f"w{i}".encode() for i in range(400)] + [b"x" * 5000] * 3 + [f"w{i}".encode() for i in range(40)]
+    known = substrdup._Known()
+    want = substrdup.window_hashes(words)
+    monkeypatch.setattr(substrdup, "REMEMBERED", 30)
+    monkeypatch.setattr(substrdup, "held", lambda key, make: known)
+    assert (substrdup.window_hashes(words) == want).all()
+    assert len(known) <= 30 and max(map(len, known)) <= substrdup.LONGEST
