@@ -104,3 +104,18 @@ def require_no_nulls(df: DataFrame, cols: Sequence[str]) -> None:
     bad = {k: v for k, v in row.items() if v}
     if bad:
         raise ValueError(f"missing values in features: {bad}")
+
+
+def mllib_metrics(df: DataFrame, label: str, prediction: str, score: str | None = None) -> DataFrame:
+    """A5: (metric, value) as MLlib's evaluators give them; with ``score`` also its errors against the label.
+
+    ``df`` is read once a metric, so pass a written table.
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    d = df.select(F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("prediction"))
+    rows = [(m, MulticlassClassificationEvaluator(metricName=m).evaluate(d))
+            for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall")]
+    if score is not None:
+        s = df.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("prediction"))
+        rows += [(m, RegressionEvaluator(metricName=m).evaluate(s)) for m in ("mse", "rmse", "mae")]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double")

@@ -90,6 +90,34 @@ def regression_mse(spark, sf_dir):
     return E.regression_errors(scored, "value", "score")
 
 
+@query("mllib_evaluators",
+       f"WITH report AS ({sql_report(SQL_YP.replace('s.event_id, ', ''))}), yp AS ({SQL_YP}), v AS ("
+       "SELECT 'accuracy' AS metric, f1_score AS value FROM report WHERE label = 'accuracy' "
+       "UNION ALL SELECT 'f1', f1_score FROM report WHERE label = 'weighted avg' "
+       "UNION ALL SELECT 'weightedPrecision', precision FROM report WHERE label = 'weighted avg' "
+       "UNION ALL SELECT 'weightedRecall', recall FROM report WHERE label = 'weighted avg' "
+       "UNION ALL SELECT 'mse', avg(pow(y - score, 2)) FROM yp UNION ALL SELECT 'rmse', sqrt(avg(pow(y - score, 2))) FROM yp "
+       "UNION ALL SELECT 'mae', avg(abs(y - score)) FROM yp) "
+       "SELECT metric, round(value, 5) AS value, 0 AS differs FROM v")
+def mllib_evaluators(spark, sf_dir):
+    """A5: MLlib's evaluators on the scored events, and whether the report and the errors of this library say otherwise."""
+    path = scratch_path(spark, "scores")
+    labelled_scores(spark, sf_dir).select("y", "prediction", "score").write.parquet(path)
+    scored = spark.read.parquet(path)
+    report = E.classification_report(scored, "y", "prediction", digits=12)
+    share, average = F.col("label") == "accuracy", F.col("label") == "weighted avg"
+    pick = lambda m, c, where: report.where(where).select(F.lit(m).alias("metric"), F.col(c).alias("own"))
+    own = pick("accuracy", "f1_score", share)
+    for m, c in (("f1", "f1_score"), ("weightedPrecision", "precision"), ("weightedRecall", "recall")):
+        own = own.unionByName(pick(m, c, average))
+    errors = E.regression_errors(scored, "y", "score", digits=12)
+    for m in ("mse", "rmse"):
+        own = own.unionByName(errors.select(F.lit(m).alias("metric"), F.col(m).alias("own")))
+    both = E.mllib_metrics(scored, "y", "prediction", "score").join(own, "metric", "left")
+    return both.select("metric", F.round("value", 5).alias("value"),
+                       (F.abs(F.col("value") - F.coalesce("own", "value")) > 1e-9).cast("int").alias("differs"))
+
+
 @query("class_weight",
        "SELECT CASE WHEN count(*) FILTER (WHERE quality <> 0) = 0 THEN 0.0 ELSE "
        "count(*) / count(*) FILTER (WHERE quality <> 0) END AS weight FROM labels")

@@ -69,8 +69,23 @@ def row_cap(spark, sf_dir):
 
 @query("chunk_union", "SELECT * FROM supplier")
 def chunk_union(spark, sf_dir):
+    """Key ranges laid out by one scan, read one by one and put together again."""
     sup = table(spark, sf_dir, "supplier")
-    return files.union_chunks(files.key_range_chunks(sup, "s_suppkey", 3))
+    return files.union_chunks(files.write_key_chunks(sup, "s_suppkey", 3, scratch_path(spark, "chunks")))
+
+
+@query("chunk_sizes", "SELECT 0 AS outside, CAST(4 AS BIGINT) AS chunks, true AS even, CAST(count(*) AS BIGINT) AS rows FROM orders")
+def chunk_sizes(spark, sf_dir):
+    """Four chunks of orders by price, null in every tenth row: rows, none outside its range, each near a quarter of the keys."""
+    price = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice"))
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]).select("o_orderkey", price.alias("price"))
+    chunks = files.write_key_chunks(orders, "price", 4, scratch_path(spark, "chunks"), 0.0)
+    sizes = files.union_chunks([c.agg(F.lit(i).alias("i"), F.count("price").alias("keys"), F.count(F.lit(1)).alias("n"),
+                                      F.min("price").alias("first"), F.max("price").alias("last")) for i, c in enumerate(chunks)])
+    a, b = sizes.alias("a"), sizes.alias("b")  # four rows
+    both = a.join(b, F.col("b.i") == F.col("a.i") + 1, "left")
+    return both.agg(F.count_if(F.col("a.last") >= F.col("b.first")).cast("int").alias("outside"), F.count(F.lit(1)).alias("chunks"),
+                    (F.max("a.keys") * 4 <= F.sum("a.keys") * 1.1 + 4).alias("even"), F.sum("a.n").alias("rows"))
 
 
 @query("table_projection", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

@@ -86,6 +86,19 @@ def score_pruned(spark, sf_dir):
     return S.score_vectorised(forest, x, "event_id", feats)
 
 
+@query("score_pruned_features",
+       sql_walk_sums(sql_event_features(), "event_id", "[x.f0, x.f1]", T_, D_, EVENT_RANGES[:2])
+       + "SELECT k AS event_id, sum(value * tree_weight) AS score, CAST(sum(value * tree_weight) > 0 AS INTEGER) AS prediction FROM leaves GROUP BY k")
+def score_pruned_features(spark, sf_dir):
+    """of four features the forest reads two, so the columns of the others never leave the file."""
+    forest = grid_forest(spark, T_, D_, EVENT_RANGES[:2])
+    feats = [F.col("value").cast("float").cast("double"), F.hour("ts").cast("double"),
+             (F.col("user_id") % 16).cast("double"), F.octet_length("props").cast("double")]
+    used = {r[0] for r in forest.used_features().collect()}  # model-sized
+    x = table(spark, sf_dir, "events", ["event_id", "value", "ts", "user_id", "props"])
+    return S.score_vectorised(forest, x, "event_id", [c if i in used else F.lit(None).cast("double") for i, c in enumerate(feats)])
+
+
 @query("score_missing", sql_score_events(T_, D_, missing=True))
 def score_missing(spark, sf_dir):
     return _scored(spark, sf_dir, "relational", missing=True)

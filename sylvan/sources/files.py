@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvan.operators.names import spare_name
+
 
 def read_csv_headerless(spark: SparkSession, path: str, schema: T.StructType | str,
                         repartition: int | None = None) -> DataFrame:
@@ -46,13 +48,36 @@ def union_chunks(chunks: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def chunk_bounds(df: DataFrame, key: str, n_chunks: int, rel_error: float = 0.001) -> list[float]:
+    """The n_chunks - 1 keys that begin a new chunk (none for a table without keys); reads the key column alone."""
+    return df.approxQuantile(key, [i / n_chunks for i in range(1, n_chunks)], rel_error)
+
+
+def write_key_chunks(df: DataFrame, key: str, n_chunks: int, path: str, rel_error: float = 0.001) -> list[DataFrame]:
+    """Lay ``df`` out below ``path`` in ``n_chunks`` key ranges and return the chunks, in key order.
+
+    One scan of the table writes all chunks (no shuffle: each task writes its
+    rows of each chunk), and a chunk reads its own files only. Every row is in
+    exactly one chunk, null keys in the first; chunks may be empty; columns keep
+    their names, order and types.
+    """
+    spark, chunk = df.sparkSession, spare_name(df, "chunk")
+    number = F.lit(0)
+    for b in chunk_bounds(df, key, n_chunks, rel_error):
+        number = number + F.coalesce((F.col(f"`{key}`") >= F.lit(b)).cast("int"), F.lit(0))
+    df.withColumn(chunk, number).write.partitionBy(chunk).parquet(path)
+    whole = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(chunk, T.IntegerType())])).parquet(path)
+    return [whole.where(F.col(chunk) == i).drop(chunk) for i in range(n_chunks)]
+
+
 def key_range_chunks(df: DataFrame, key: str, n_chunks: int, rel_error: float = 0.001):
-    """Split one table into ``n_chunks`` key ranges (filters reach the scan).
+    """Split one table into ``n_chunks`` key ranges by filters that reach the scan.
 
-    Every row is in exactly one chunk; null keys are in the first.
+    Every row is in exactly one chunk; null keys are in the first. Each chunk scans
+    the table, which pays where row groups are sorted by the key or few chunks are
+    read; :func:`write_key_chunks` scans it once.
     """
-    qs = df.approxQuantile(key, [i / n_chunks for i in range(1, n_chunks)], rel_error)
-    bounds = [None] + qs + [None]
+    bounds = [None] + chunk_bounds(df, key, n_chunks, rel_error) + [None]
     out = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         cond = F.lit(True)

@@ -68,3 +68,29 @@ def test_relational_reuses_key_partitioning(spark):
     a = {r[0]: r[1] for r in df.select("event_id", "score").collect()}
     b = {r[0]: r[1] for r in base.select("event_id", "score").collect()}
     assert a == b
+
+
+def test_unread_features_are_not_scanned(spark):
+    from sylvan.plans.scoring import score_pruned_features
+    plan = _plan(score_pruned_features(spark, SF))
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "event_id" in x)
+    read = scan.split("ReadSchema: struct<")[1]
+    assert "value" in read and "ts:" in read and "user_id" not in read and "props" not in read
+
+
+def test_a_written_chunk_reads_its_own_files(spark, tmp_path):
+    from sylvan.sources.files import union_chunks, write_key_chunks
+    rows = [(i, None if i % 9 == 0 else float(i % 500), f"x{i}") for i in range(3000)] + [(-1, float("nan"), "nan")]
+    df = spark.createDataFrame(rows, "chunk long, `a key` double, text string").repartition(3)
+    chunks = write_key_chunks(df, "a key", 4, str(tmp_path / "c"))
+    assert all(c.columns == df.columns for c in chunks)
+    for i, c in enumerate(chunks):
+        pruned = next(x for x in _plan(c).splitlines() if "FileScan" in x).split("PartitionFilters: [")[1].split("]")[0]
+        assert f"= {i})" in pruned and "_chunk" in pruned
+    assert union_chunks(chunks).exceptAll(df).count() == 0 == df.exceptAll(union_chunks(chunks)).count()
+    assert chunks[0].where("`a key` is null").count() == df.where("`a key` is null").count()
+    assert chunks[3].where("chunk = -1").count() == 1
+    hot = spark.createDataFrame([(1, 5.0)] * 900 + [(2, 6.0)] * 100, "id long, k double")
+    assert sorted(c.count() for c in write_key_chunks(hot, "k", 3, str(tmp_path / "h"))) == [0, 0, 1000]
+    none = write_key_chunks(hot.where("false"), "k", 3, str(tmp_path / "e"))
+    assert [c.count() for c in none] == [0, 0, 0]
