@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sylvan.llm.common import held, id_crc32, text_or_empty, workers_ready
+from sylvan.llm.common import held, id_crc32, release, text_or_empty, workers_ready
 
 #: Bounds of the sample: documents, words of each.
 DOCS, RUN_WORDS = 3000, 120
@@ -277,6 +277,7 @@ def fit(spark: SparkSession, docs: DataFrame, key="doc_id", text="text", lang="l
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.element_at(want, F.col("lang"))) == 0)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()  # what an earlier operator's tasks remembered
         for pdf in batches:
             out = []
             for t, y in zip(pdf["text"], pdf["lang"]):
