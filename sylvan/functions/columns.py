@@ -26,8 +26,9 @@ def as_int8(c) -> Column:
     return col_(c).cast("tinyint")
 
 
-def as_int16(c) -> Column:
-    return col_(c).cast("smallint")
+def as_int16(c, strict: bool = True) -> Column:
+    """Not ``strict``: null for a value that no smallint holds, where the cast would end the job."""
+    return col_(c).cast("smallint") if strict else try_as(c, "smallint")
 
 
 def as_int32(c) -> Column:

@@ -138,9 +138,10 @@ def pack_features(spark, sf_dir):
        "CAST(CAST(event_type = 'purchase' AS INTEGER) AS TINYINT) AS label_i8, "
        "CAST(user_id AS INTEGER) AS user_i32 FROM events")
 def cast_features(spark, sf_dir):
+    """Every event once; an id beyond smallint has no ``user_i16`` and stands in ``user_i32``, whose cast stays strict, so none is lost."""
     ev = table(spark, sf_dir, "events", ["event_id", "value", "user_id", "event_type"])
     return ev.select("event_id", C.as_float32("value").alias("value_f32"),
-                     C.as_int16("user_id").alias("user_i16"),
+                     C.as_int16("user_id", strict=False).alias("user_i16"),
                      C.as_int8((F.col("event_type") == "purchase").cast("int")).alias("label_i8"),
                      C.as_int32("user_id").alias("user_i32"))
 

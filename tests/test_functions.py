@@ -1,6 +1,7 @@
 """Column helpers on dirty input: bad dates, empty digits, blank and unseen
 categories (ANSI mode stays on: bad values become null, never errors)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sylvan.functions import columns as C
@@ -82,3 +83,44 @@ def test_cluster_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(cluster_conf(10 ** 6, 16)["spark.sql.shuffle.partitions"]) == 32
+
+
+def _events_of(spark, path, ids):
+    rows = [(i, 0.1 * i, u, "purchase" if i % 2 else "view") for i, u in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, value double, user_id long, event_type string") \
+         .write.parquet(f"{path}/events.parquet")
+    return rows
+
+
+def test_cast_features_keeps_events_whose_user_is_beyond_smallint(spark, tmp_path):
+    import __spark_entry__ as E
+    from tools.oracle_check import rows_of
+    import duckdb
+    fits, beyond = [0, 1499, 32767, -32768, None, 7, 7], [32768, -32769, 89999, 65536, 2147483647, -2147483648]
+    rows = _events_of(spark, tmp_path, fits + beyond)
+    df = E.queries()["cast_features"](spark, str(tmp_path))
+    out = df.collect()
+    assert dict(df.dtypes)["user_i16"] == "smallint"
+    assert sorted(r["event_id"] for r in out) == [r[0] for r in rows]
+    got = {r["event_id"]: r for r in out}
+    assert [got[i]["user_i32"] for i in range(len(rows))] == fits + beyond
+    assert [got[i]["user_i16"] for i in range(len(rows))] == fits + [None] * len(beyond)
+    # as the SQL has it, for the rows that its CAST can take
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet') WHERE event_id < {len(fits)}")
+    rel = con.sql(E.oracle_sql()["cast_features"])
+    assert rows_of(df.columns, [tuple(r) for r in out if r["event_id"] < len(fits)]) == rows_of(rel.columns, rel.fetchall())
+
+
+def test_cast_features_never_loses_a_user_without_an_error(spark, tmp_path):
+    import __spark_entry__ as E
+    _events_of(spark, tmp_path, [1, 2147483648])
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        E.queries()["cast_features"](spark, str(tmp_path)).collect()
+
+
+def test_as_int16_is_strict_unless_told(spark):
+    df = spark.createDataFrame([(32768,)], "x long")
+    assert df.select(C.as_int16("x", strict=False).alias("y")).first()["y"] is None
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        df.select(C.as_int16("x")).collect()
